@@ -70,7 +70,11 @@ poll AS (
          ts AS captured_at,
          CASE WHEN event_type = 'error' THEN 'Bus'
               WHEN event_type = 'signup' THEN NULL
-              ELSE 'DART' END AS train_type
+              ELSE 'DART' END AS train_type,
+         CASE WHEN user_id % 7 = 0 THEN 'Dublin Heuston' WHEN user_id % 7 = 1 THEN NULL
+              ELSE 'Bray' END AS origin,
+         CASE WHEN value >= 50 THEN 'Howth' ELSE 'Greystones' END AS destination,
+         CASE WHEN event_id % 2 = 0 THEN 'Northbound' ELSE 'Southbound' END AS direction
   FROM events
 )"""
 

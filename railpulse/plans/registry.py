@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from railpulse.functions.ranges import TimeRange
 from railpulse.functions.scope import ScopeFilter
@@ -537,3 +538,76 @@ SELECT train_code, station_code, station_full_name, train_date, sch_depart, late
 FROM rec WHERE late_minutes > 4
 ORDER BY captured_at DESC, train_code, station_code, sch_depart, late_minutes, train_date LIMIT 50"""))(
     lambda spark, d: L.recent_rows(_a(spark, d)))
+
+
+# ---------------------------------------------------------------------------
+# Batch data operations (binding B and A)
+# ---------------------------------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from railpulse.functions.scope import resolve_scope  # noqa: E402
+from railpulse.operators import dataops as D  # noqa: E402
+from railpulse.sources.bindings import polls as _polls  # noqa: E402
+
+POLL_KEY = ("train_code", "station_code", "train_date", "sch_depart")
+AS_OF = _dt.datetime(2001, 6, 1, 3, 0, 0)
+CUTOFF = D.retention_cutoff(AS_OF)
+UPSERT_SPLIT = "2024-01-15 00:00:00"
+
+
+def _state_changes_sql(reset: bool) -> str:
+    day = "CAST(captured_at - INTERVAL 3 HOUR AS DATE)" if reset else "NULL"
+    return O.b(f""",
+x AS (SELECT *, LAG(late_minutes) OVER (PARTITION BY {", ".join(POLL_KEY)}, {day}
+                                        ORDER BY captured_at, poll_id) AS prev FROM poll)
+SELECT poll_id, train_code, station_code, train_date, sch_depart, late_minutes, captured_at, train_type,
+       origin, destination, direction
+FROM x WHERE prev IS DISTINCT FROM late_minutes""")
+
+
+register("state_changes", _state_changes_sql(True))(
+    lambda spark, d: D.state_changes(_polls(spark, d), key=POLL_KEY))
+register("state_changes_no_reset", _state_changes_sql(False))(
+    lambda spark, d: D.state_changes(_polls(spark, d), key=POLL_KEY, reset_hour=None))
+
+register("trip_upsert", O.b(f""",
+x AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY train_code, train_date ORDER BY captured_at, poll_id) AS rn
+      FROM poll)
+SELECT train_code, train_date, train_type, origin, destination, direction FROM x WHERE rn = 1"""))(
+    lambda spark, d: D.upsert_trips(
+        D.first_write_trips(_polls(spark, d).where(F.col("captured_at") < F.lit(UPSERT_SPLIT).cast("timestamp_ntz"))),
+        _polls(spark, d).where(F.col("captured_at") >= F.lit(UPSERT_SPLIT).cast("timestamp_ntz"))))
+
+register("orphan_trips", O.a("""
+SELECT trip_id, train_code, train_date FROM trip
+WHERE NOT EXISTS (SELECT 1 FROM snapshot s WHERE s.trip_id = trip.trip_id)"""))(
+    lambda spark, d: D.orphan_trips(_a(spark, d).trips(), _a(spark, d).snapshots())
+    .select("trip_id", "train_code", "train_date"))
+
+register("snapshots_retained", O.a(f"""
+SELECT trip_id, station_code, late_minutes, captured_at FROM snapshot
+WHERE captured_at >= TIMESTAMP '{CUTOFF:%Y-%m-%d %H:%M:%S}'"""))(
+    lambda spark, d: D.snapshots_retained(_a(spark, d).snapshots(), AS_OF)
+    .select("trip_id", "station_code", "late_minutes", "captured_at"))
+
+register("metrics_retained", O.ab(METRICS_CTE + f"""
+SELECT * FROM metrics WHERE service_date >= DATE '{CUTOFF.date()}'"""))(
+    lambda spark, d: M.metrics_retained(M.build_daily_metrics(_a(spark, d), with_updated_at=False),
+                                        CUTOFF.date()))
+
+register("service_hours", O.b("""
+SELECT poll_id, train_code, station_code, captured_at FROM poll
+WHERE strftime(captured_at, '%H:%M:%S.%f') > '05:59:59.000000'
+   OR strftime(captured_at, '%H:%M:%S.%f') < '00:31:00.000000'"""))(
+    lambda spark, d: _polls(spark, d).where(D.in_service_hours())
+    .select("poll_id", "train_code", "station_code", "captured_at"))
+
+register("scope_resolution", O.ab("""
+SELECT service_scope, scope AS resolved_scope, UPPER(station_code) = 'HSTON' AS at_heuston,
+       COUNT(*) AS snapshots
+FROM resolved GROUP BY 1, 2, 3"""))(
+    lambda spark, d: _a(spark, d).snapshots().join(_a(spark, d).trips(), "trip_id")
+    .groupBy("service_scope", resolve_scope().alias("resolved_scope"),
+             (F.upper("station_code") == "HSTON").alias("at_heuston"))
+    .agg(F.count(F.lit(1)).alias("snapshots")))

@@ -110,4 +110,10 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.lit("Bus"))
          .when(F.col("event_type") == "signup", F.lit(None).cast("string"))
          .otherwise(F.lit("DART")).alias("train_type"),
+        F.when(F.pmod("user_id", F.lit(7)) == 0, F.lit("Dublin Heuston"))
+         .when(F.pmod("user_id", F.lit(7)) == 1, F.lit(None).cast("string"))
+         .otherwise(F.lit("Bray")).alias("origin"),
+        F.when(F.col("value") >= 50, F.lit("Howth")).otherwise(F.lit("Greystones")).alias("destination"),
+        F.when(F.pmod("event_id", F.lit(2)) == 0, F.lit("Northbound"))
+         .otherwise(F.lit("Southbound")).alias("direction"),
     )
