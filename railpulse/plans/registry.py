@@ -611,3 +611,130 @@ FROM resolved GROUP BY 1, 2, 3"""))(
     .groupBy("service_scope", resolve_scope().alias("resolved_scope"),
              (F.upper("station_code") == "HSTON").alias("at_heuston"))
     .agg(F.count(F.lit(1)).alias("snapshots")))
+
+
+# ---------------------------------------------------------------------------
+# Landed payloads (binding C): station catalogue and live boards
+# ---------------------------------------------------------------------------
+
+from railpulse.operators import catalog as C  # noqa: E402
+from railpulse.operators import live as LV  # noqa: E402
+from railpulse.sources import payloads as P  # noqa: E402
+
+STN_VIEW = """
+stn AS (
+  SELECT s_suppkey AS sid,
+         CASE (s_suppkey // 20) % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'M' ELSE 'S' END AS station_type,
+         s_name AS station_desc,
+         CASE WHEN s_suppkey % 4 = 0 THEN '' WHEN s_suppkey % 4 = 1 THEN NULL
+              ELSE 'Alias ' || CAST(s_suppkey AS VARCHAR) END AS station_alias,
+         s_acctbal / 100.0 AS latitude, -s_acctbal / 200.0 AS longitude,
+         CASE WHEN s_suppkey % 20 = 0 THEN 'HSTON' WHEN s_suppkey % 20 = 1 THEN 'CNLLY'
+              WHEN s_suppkey % 20 = 2 THEN 'cnlly' ELSE 'ST' || CAST(s_suppkey % 20 AS VARCHAR) END AS station_code,
+         CAST(s_suppkey AS INTEGER) AS station_id,
+         UPPER(TRIM(COALESCE(CASE WHEN s_suppkey % 20 = 0 THEN 'HSTON' WHEN s_suppkey % 20 = 1 THEN 'CNLLY'
+              WHEN s_suppkey % 20 = 2 THEN 'cnlly' ELSE 'ST' || CAST(s_suppkey % 20 AS VARCHAR) END, ''))) AS code
+  FROM supplier),
+dflt AS (SELECT * FROM (VALUES ('CNLLY', 'Dublin Connolly', 'Connolly'), ('HSTON', 'Dublin Heuston', 'Heuston'))
+         AS v(station_code, station_desc, station_alias)),
+cl AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY code ORDER BY sid) AS rn
+                      FROM stn WHERE station_type = 'D' AND code <> '') x WHERE rn = 1),
+cl2 AS (SELECT station_desc, station_alias, latitude, longitude, station_code, station_id, code FROM cl
+        UNION ALL
+        SELECT station_desc, station_alias, 0.0, 0.0, station_code, 0, station_code FROM dflt
+        WHERE station_code = 'CNLLY' AND NOT EXISTS (SELECT 1 FROM cl WHERE UPPER(cl.station_code) = 'CNLLY')),
+hl AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY code
+                                                   ORDER BY CASE station_type WHEN 'M' THEN 0 ELSE 1 END, sid) AS rn
+                      FROM stn WHERE station_type IN ('M', 'S') AND code <> '') x WHERE rn = 1),
+hl2 AS (SELECT station_desc, station_alias, latitude, longitude, station_code, station_id, code FROM hl
+        UNION ALL
+        SELECT station_desc, station_alias, 0.0, 0.0, station_code, 0, station_code FROM dflt
+        WHERE station_code = 'HSTON' AND NOT EXISTS (SELECT 1 FROM hl WHERE UPPER(hl.station_code) = 'HSTON')),
+allst AS (SELECT * FROM cl2 UNION ALL SELECT * FROM hl2 WHERE code NOT IN (SELECT code FROM cl2)),
+roles AS (SELECT code, 'CONNOLLY' AS service_scope FROM cl2 UNION ALL SELECT code, 'HEUSTON' FROM hl2)"""
+
+LIVE_VIEW = """
+lv AS (SELECT s.trip_id, s.captured_at, s.station_code AS board_station, t.train_code, s.station_full_name,
+              s.station_code, strftime(s.captured_at, '%H:%M:%S') AS query_time, t.train_date, t.origin,
+              t.destination, 'En Route' AS status, CAST(s.trip_id % 30 AS INTEGER) AS due_in, s.late_minutes,
+              s.sch_depart, t.direction,
+              CASE t.train_type WHEN '5-LOW' THEN 'Bus' WHEN '4-NOT SPECIFIED' THEN NULL ELSE 'DART' END AS train_type
+       FROM snapshot s JOIN trip t ON t.trip_id = s.trip_id)"""
+
+STN_COLS = "station_desc, station_alias, latitude, longitude, station_code, station_id"
+LIVE_OUT = ("board_station", "train_code", "station_full_name", "station_code", "query_time", "train_date",
+            "origin", "destination", "status", "due_in", "late_minutes", "sch_depart", "direction", "train_type")
+LIVE_OUT_SQL = ", ".join(LIVE_OUT)
+HEU = ("(LOWER(COALESCE(origin, '')) LIKE '%heuston%' OR LOWER(COALESCE(destination, '')) LIKE '%heuston%')")
+
+
+def _stn(body: str) -> str:
+    return O.with_views(body, STN_VIEW)
+
+
+def _lv(body: str, *extra) -> str:
+    return O.with_views(body, O.TRIP_VIEW, O.SNAPSHOT_VIEW, LIVE_VIEW, *extra)
+
+
+def _catalog(spark, d):
+    return P.parse_stations(P.station_payloads(spark, d))
+
+
+def _stations_out(df):
+    return df.select(*C.STATION_COLS)
+
+
+def _live_rows(spark, d):
+    return P.parse_live(P.live_payloads(spark, d).withColumnRenamed("station_code", "board_station"))
+
+
+register("station_catalog", _stn(f"""
+SELECT {STN_COLS}, CASE WHEN station_alias IS NOT NULL AND TRIM(station_alias) <> '' THEN station_alias
+                       ELSE station_desc END AS display_name
+FROM stn WHERE station_type = 'D'"""))(
+    lambda spark, d: C.with_display_name(_stations_out(C.stations_by_type(_catalog(spark, d), " d "))))
+register("station_catalog_types", _stn(f"SELECT {STN_COLS} FROM hl"))(
+    lambda spark, d: _stations_out(C.stations_by_types(_catalog(spark, d), "M, S,")))
+register("collection_stations", _stn(f"SELECT {STN_COLS} FROM allst"))(
+    lambda spark, d: _stations_out(C.all_collection_stations(_catalog(spark, d))))
+register("tracked_stations", _stn(f"SELECT {STN_COLS} FROM allst WHERE code IN ('CNLLY', 'HSTON')"))(
+    lambda spark, d: _stations_out(C.tracked_stations(_catalog(spark, d))))
+register("station_roles", _stn("SELECT code, service_scope FROM roles"))(
+    lambda spark, d: C.station_roles(_catalog(spark, d)))
+
+register("live_rows", _lv(f"SELECT {LIVE_OUT_SQL} FROM lv"))(
+    lambda spark, d: _live_rows(spark, d).select(*LIVE_OUT))
+_LATEST = """,
+latest AS (SELECT lv.* FROM lv JOIN (SELECT board_station AS b, MAX(captured_at) AS m FROM lv GROUP BY 1) x
+           ON x.b = lv.board_station AND x.m = lv.captured_at),
+board AS (SELECT * FROM latest WHERE LOWER(COALESCE(train_type, '')) <> 'bus'
+          AND (UPPER(TRIM(board_station)) = 'HSTON' OR NOT """ + HEU + "))"
+register("live_board", _lv(_LATEST + f"\nSELECT {LIVE_OUT_SQL} FROM board"))(
+    lambda spark, d: LV.live_board(P.live_payloads(spark, d)).select(*LIVE_OUT))
+register("live_board_counts", _lv(_LATEST + """
+SELECT board_station, COUNT(*) AS trains,
+       CAST(SUM(CASE WHEN late_minutes >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS late_trains,
+       COUNT(*) - CAST(SUM(CASE WHEN late_minutes >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS on_time_trains
+FROM board GROUP BY board_station"""))(
+    lambda spark, d: LV.board_counts(LV.live_board(P.live_payloads(spark, d))))
+register("collect_routed", O.with_views(f"""
+SELECT {", ".join("lv." + c for c in LIVE_OUT)}, r.service_scope
+FROM lv JOIN roles r ON r.code = UPPER(TRIM(COALESCE(lv.board_station, '')))
+WHERE LOWER(COALESCE(lv.train_type, '')) <> 'bus'
+  AND CASE WHEN r.service_scope = 'HEUSTON' THEN {HEU} OR r.code = 'HSTON' ELSE NOT {HEU} END""",
+    O.TRIP_VIEW, O.SNAPSHOT_VIEW, LIVE_VIEW, STN_VIEW))(
+    lambda spark, d: LV.route_live_rows(_live_rows(spark, d), _catalog(spark, d))
+    .select(*LIVE_OUT, "service_scope"))
+register("live_row_scalars", _lv("""
+SELECT train_code, station_code, late_minutes, due_in,
+       CASE WHEN late_minutes BETWEEN 0 AND 4 THEN 'On Time' WHEN late_minutes BETWEEN 5 AND 9 THEN 'Small Delay'
+            WHEN late_minutes BETWEEN 10 AND 19 THEN 'Medium Delay' WHEN late_minutes BETWEEN 20 AND 39 THEN 'Big Delay'
+            ELSE 'Extreme Delay' END AS category,
+       CASE WHEN late_minutes BETWEEN 0 AND 4 THEN 'On Time'
+            WHEN late_minutes BETWEEN 5 AND 9 THEN 'Small Delay (5–9 min)'
+            WHEN late_minutes BETWEEN 10 AND 19 THEN 'Medium Delay (10–19 min)'
+            WHEN late_minutes BETWEEN 20 AND 39 THEN 'Big Delay (20–39 min)'
+            ELSE 'Extreme Delay (40+ min)' END AS category_label,
+       late_minutes >= 5 AS is_late,
+       CASE WHEN due_in = 0 THEN 'A chegar' ELSE CAST(due_in AS VARCHAR) || ' min' END AS due_in_display
+FROM lv"""))(lambda spark, d: LV.live_scalars(_live_rows(spark, d)))
