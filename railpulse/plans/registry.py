@@ -738,3 +738,17 @@ SELECT train_code, station_code, late_minutes, due_in,
        late_minutes >= 5 AS is_late,
        CASE WHEN due_in = 0 THEN 'A chegar' ELSE CAST(due_in AS VARCHAR) || ' min' END AS due_in_display
 FROM lv"""))(lambda spark, d: LV.live_scalars(_live_rows(spark, d)))
+
+
+# ---------------------------------------------------------------------------
+# Streaming: the change filter as a stateful stream over landed poll documents
+# ---------------------------------------------------------------------------
+
+from railpulse.streaming.jobs import stream_state_changes  # noqa: E402
+
+register("stream_state_changes", O.b(""",
+x AS (SELECT *, LAG(late_minutes) OVER (PARTITION BY train_code, station_code, train_date,
+                                                     CAST(captured_at - INTERVAL 3 HOUR AS DATE)
+                                        ORDER BY captured_at, poll_id) AS prev FROM poll)
+SELECT train_code, station_code, train_date, late_minutes, captured_at
+FROM x WHERE prev IS DISTINCT FROM late_minutes"""))(stream_state_changes)
