@@ -204,7 +204,8 @@ def top_delayed_trips(data: RailData, window: TimeRange, filt: ScopeFilter = SCO
 
 
 def recent_delayed_trips(data: RailData, filt: ScopeFilter = SCOPED, cap="auto",
-                         min_delay: int = DELAYED_MIN, limit: int = LIMIT_RECENT_TRIPS) -> DataFrame:
+                         min_delay: int = DELAYED_MIN, limit: int = LIMIT_RECENT_TRIPS,
+                         keep_captured_at: bool = False) -> DataFrame:
     """Latest delayed snapshot of each trip, the ``limit`` newest trips.
 
     No date window (the reference ignores it here, SURVEY Q14).
@@ -219,9 +220,10 @@ def recent_delayed_trips(data: RailData, filt: ScopeFilter = SCOPED, cap="auto",
                        F.col("last_row.station_full_name").alias("station_full_name"),
                        F.col("last_row.late_minutes").alias("late_minutes"))
     top = latest.orderBy(F.col("captured_at").desc(), F.col("trip_id").asc()).limit(limit)
-    return top.select("train_code", "station_full_name", F.col("late_minutes").cast("int"),
-                      hhmm("captured_at").alias("captured_hhmm"), "origin", "destination",
-                      "captured_at").orderBy(F.col("captured_at").desc()).drop("captured_at")
+    out = top.select("train_code", "station_full_name", F.col("late_minutes").cast("int"),
+                     hhmm("captured_at").alias("captured_hhmm"), "origin", "destination",
+                     "captured_at").orderBy(F.col("captured_at").desc())
+    return out if keep_captured_at else out.drop("captured_at")
 
 
 def recent_delay_rows(data: RailData, min_exclusive: int = DELAYED_MIN - 1,

@@ -752,3 +752,47 @@ x AS (SELECT *, LAG(late_minutes) OVER (PARTITION BY train_code, station_code, t
                                         ORDER BY captured_at, poll_id) AS prev FROM poll)
 SELECT train_code, station_code, train_date, late_minutes, captured_at
 FROM x WHERE prev IS DISTINCT FROM late_minutes"""))(stream_state_changes)
+
+
+# ---------------------------------------------------------------------------
+# Bundles and summary shapes
+# ---------------------------------------------------------------------------
+
+from railpulse.plans import overview as OV  # noqa: E402
+
+
+def _overview(code):
+    def run(spark, d):
+        data = OV.CachedData(_a(spark, d))
+        return OV.overview_document(OV.overview(data, WHOLE, code))
+    return run
+
+
+register("analytics_overview", None)(_overview(None))
+register("analytics_overview_scope", None)(_overview("HSTON"))
+
+register("analytics_summary", O.ab(f""",
+s AS (SELECT * FROM snapshot WHERE {WIN} AND late_minutes <= 500),
+t AS (SELECT COUNT(*) AS total_records,
+             CAST(COALESCE(SUM(CASE WHEN late_minutes >= 5 THEN 1 ELSE 0 END), 0) AS BIGINT) AS total_delays,
+             {O.round1('COALESCE(AVG(CASE WHEN late_minutes >= 5 THEN CAST(late_minutes AS DOUBLE) END), 0)')} AS avg_delay_minutes,
+             CAST(COALESCE(SUM(CASE WHEN late_minutes BETWEEN 0 AND 4 THEN 1 ELSE 0 END), 0) AS BIGINT) AS on_time,
+             CAST(COALESCE(SUM(CASE WHEN late_minutes BETWEEN 5 AND 9 THEN 1 ELSE 0 END), 0) AS BIGINT) AS small,
+             CAST(COALESCE(SUM(CASE WHEN late_minutes BETWEEN 10 AND 19 THEN 1 ELSE 0 END), 0) AS BIGINT) AS medium,
+             CAST(COALESCE(SUM(CASE WHEN late_minutes BETWEEN 20 AND 39 THEN 1 ELSE 0 END), 0) AS BIGINT) AS big,
+             CAST(COALESCE(SUM(CASE WHEN late_minutes >= 40 OR late_minutes < 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS extreme
+      FROM s),
+ws AS (SELECT station_code AS most_delayed_station FROM s WHERE late_minutes >= 5
+       GROUP BY station_code ORDER BY COUNT(*) DESC, station_code LIMIT 1),
+wt AS (SELECT t2.train_code AS most_delayed_train FROM s JOIN trip t2 ON t2.trip_id = s.trip_id
+       WHERE s.late_minutes >= 5 GROUP BY t2.train_code ORDER BY COUNT(*) DESC, t2.train_code LIMIT 1)
+SELECT t.*, (SELECT most_delayed_station FROM ws) AS most_delayed_station,
+       (SELECT most_delayed_train FROM wt) AS most_delayed_train FROM t"""))(
+    lambda spark, d: OV.analytics_summary(_a(spark, d), WHOLE))
+
+register("station_delay_summary", O.a(f"""
+SELECT station_code, MAX(station_full_name) AS station_name, COUNT(*) AS delay_count,
+       {O.round1('AVG(CAST(late_minutes AS DOUBLE))')} AS avg_delay_minutes,
+       MAX(late_minutes) AS max_delay_minutes
+FROM snapshot WHERE {WIN} AND late_minutes <= 500 AND late_minutes >= 5 GROUP BY station_code"""))(
+    lambda spark, d: OV.station_delay_summary(_a(spark, d), WHOLE))
