@@ -35,60 +35,57 @@ METRIC_COLUMNS = (
 )
 
 
-def _resolved_trip_grain(data: RailData, window: TimeRange | None, cap: int | None) -> DataFrame:
-    """(service_date, scope, station, origin, destination, trip) with count,
-    peak and station name.
-
-    Snapshots are reduced per (trip, date, station, raw scope bucket) before
-    the trip join; the bucket then resolves with the trip's Heuston flag and a
-    second, shuffle-free aggregation (the join output is clustered by trip_id)
-    merges buckets that resolve to the same scope.
+def _resolved_rows(data: RailData, window: TimeRange | None, cap: int | None) -> DataFrame:
+    """(service_date, scope, station, origin, destination, trip, name) with
+    snapshot count and peak.
+
+    Snapshots are reduced per (trip, date, station, name, raw scope bucket)
+    before the trip join — all aggregation buffers are fixed-width, so this is
+    a hash aggregate with map-side combine; the station name is a grouping key
+    rather than a ``max`` buffer.  The bucket then resolves with the trip's
+    Heuston flag.
     """
     s = filtered_snapshots(data, PeakSpec(window=window, cap=cap))
+    base = [F.col("trip_id"), F.to_date("captured_at").alias("service_date"),
+            F.upper("station_code").alias("station_code"), F.col("station_full_name"), F.col("late_minutes")]
+    trips_cols = [endpoint_or_unknown("origin").alias("origin"),
+                  endpoint_or_unknown("destination").alias("destination")]
     if "resolved_scope" in s.columns:
-        scope_col = F.col("resolved_scope")
-        s = s.select("trip_id", F.to_date("captured_at").alias("service_date"),
-                     scope_col.alias("_scope"), F.upper("station_code").alias("station_code"),
-                     "station_full_name", "late_minutes")
-        pre = s.groupBy("trip_id", "service_date", "_scope", "station_code").agg(
-            F.count(F.lit(1)).alias("n"), F.max("late_minutes").alias("p"),
-            F.max("station_full_name").alias("name"))
-        trips = data.trips().select("trip_id", endpoint_or_unknown("origin").alias("origin"),
-                                    endpoint_or_unknown("destination").alias("destination"))
-        j = pre.join(trips, "trip_id").withColumnRenamed("_scope", "service_scope")
-    else:
-        s = s.select("trip_id", F.to_date("captured_at").alias("service_date"),
-                     scope_bucket().alias("_bucket"), F.col("service_scope").alias("_raw"),
-                     F.upper("station_code").alias("station_code"), "station_full_name",
-                     "late_minutes")
-        # Bucket X keeps its raw scope value; H/C/U are resolved below.
-        pre = s.groupBy("trip_id", "service_date", "_bucket",
-                        F.when(F.col("_bucket") == "X", F.col("_raw")).alias("_raw"),
-                        "station_code").agg(
-            F.count(F.lit(1)).alias("n"), F.max("late_minutes").alias("p"),
-            F.max("station_full_name").alias("name"))
-        trips = data.trips().select("trip_id", heuston_trip().alias("_heuston_trip"),
-                                    endpoint_or_unknown("origin").alias("origin"),
-                                    endpoint_or_unknown("destination").alias("destination"))
-        j = pre.join(trips, "trip_id").select(
-            "*",
-            F.when(F.col("_bucket") == "H", F.lit("HEUSTON"))
-             .when(F.col("_bucket") == "C", F.lit("CONNOLLY"))
-             .when(F.col("_bucket") == "U",
-                   F.when(F.col("_heuston_trip"), F.lit("HEUSTON")).otherwise(F.lit("CONNOLLY")))
-             .otherwise(F.col("_raw")).alias("service_scope"))
-    return j.groupBy("service_date", "service_scope", "station_code", "origin", "destination",
-                     "trip_id").agg(
-        F.sum("n").cast("long").alias("snapshot_count"),
-        F.max("p").alias("peak_delay"),
-        F.max("name").alias("station_full_name"))
+        s = s.select(*base, F.col("resolved_scope").alias("service_scope"))
+        pre = s.groupBy("trip_id", "service_date", "service_scope", "station_code", "station_full_name").agg(
+            F.count(F.lit(1)).alias("n"), F.max("late_minutes").alias("p"))
+        return pre.join(data.trips().select("trip_id", *trips_cols), "trip_id")
+    s = s.select(*base, scope_bucket().alias("_bucket"), F.col("service_scope").alias("_raw"))
+    # Bucket X keeps its raw scope value; H/C/U are resolved after the join.
+    pre = s.groupBy("trip_id", "service_date", "_bucket",
+                    F.when(F.col("_bucket") == "X", F.col("_raw")).alias("_raw"),
+                    "station_code", "station_full_name").agg(
+        F.count(F.lit(1)).alias("n"), F.max("late_minutes").alias("p"))
+    trips = data.trips().select("trip_id", heuston_trip().alias("_heuston_trip"), *trips_cols)
+    return pre.join(trips, "trip_id").select(
+        "trip_id", "service_date", "station_code", "station_full_name", "origin", "destination", "n", "p",
+        F.when(F.col("_bucket") == "H", F.lit("HEUSTON"))
+         .when(F.col("_bucket") == "C", F.lit("CONNOLLY"))
+         .when(F.col("_bucket") == "U",
+               F.when(F.col("_heuston_trip"), F.lit("HEUSTON")).otherwise(F.lit("CONNOLLY")))
+         .otherwise(F.col("_raw")).alias("service_scope"))
+
+
+GRAIN = ("service_date", "service_scope", "station_code", "origin", "destination")
 
 
 def build_daily_metrics(data: RailData, window: TimeRange | None = None,
                         cap: int | None = MAX_STAT_DELAY, min_delay: int = DELAYED_MIN,
                         with_updated_at: bool = True) -> DataFrame:
-    """The metrics rows for all snapshots (or those inside ``window``)."""
-    tp = _resolved_trip_grain(data, window, cap)
+    """The metrics rows for all snapshots (or those inside ``window``).
+
+    Measures come from a trip-grain hash aggregation; the station name (a
+    string ``max``) is taken over the distinct names of each metrics row, a
+    metrics-sized frame, and joined back on the grain (NULL-safe).
+    """
+    rows = _resolved_rows(data, window, cap)
+    tp = rows.groupBy(*GRAIN, "trip_id").agg(F.sum("n").cast("long").alias("snapshot_count"),
+                                             F.max("p").alias("peak_delay"))
     peak = F.col("peak_delay")
     delayed = peak >= min_delay
     cats = []
@@ -96,8 +93,7 @@ def build_daily_metrics(data: RailData, window: TimeRange | None = None,
         cond = (peak >= lo) if hi is None else peak.between(lo, hi)
         col = name.split()[0].lower() + "_delay_trips"
         cats.append(count_if(cond).alias(col))
-    m = tp.groupBy("service_date", "service_scope", "station_code", "origin", "destination").agg(
-        F.max("station_full_name").alias("station_full_name"),
+    m = tp.groupBy(*GRAIN).agg(
         F.sum("snapshot_count").cast("long").alias("total_snapshots"),
         F.count(F.lit(1)).alias("unique_trips"),
         count_if(delayed).alias("delayed_trips"),
@@ -107,6 +103,14 @@ def build_daily_metrics(data: RailData, window: TimeRange | None = None,
         sum_if(delayed, "peak_delay").alias("total_delay_minutes"),
         *cats,
     )
+    names = rows.groupBy(*GRAIN, "station_full_name").agg(F.lit(1).alias("_one")) \
+        .groupBy(*GRAIN).agg(F.max("station_full_name").alias("station_full_name"))
+    on = [m[k].eqNullSafe(names[k]) for k in GRAIN]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    m = m.join(names, cond, "inner").select(*[m[k] for k in GRAIN], names["station_full_name"],
+                                            *[m[c] for c in m.columns if c not in GRAIN])
     cols = list(METRIC_COLUMNS)
     if with_updated_at:
         m = m.withColumn("updated_at", F.current_timestamp())

@@ -138,7 +138,7 @@ def trip_peaks(data: RailData, spec: PeakSpec) -> DataFrame:
             return [F.when(sel[bk], F.col(f"{prefix}_{bk}")) for bk in buckets]
 
         out = [F.col(k) for k in keys] + [F.col(c) for c in spec.trip_cols] + \
-              [F.col(n) for n, _ in spec.trip_exprs]
+              [F.col(n) for n, _ in spec.trip_exprs] + [F.col("_heuston_trip")]
         count = None
         for bk in buckets:
             term = F.when(sel[bk], F.col(f"n_{bk}")).otherwise(F.lit(0))

@@ -25,7 +25,9 @@ from railpulse.functions.expr import (
 )
 from railpulse.functions.ranges import TimeRange
 from railpulse.functions.scope import ScopeFilter, heuston_trip, scope_bucket
-from railpulse.operators.peaks import PEAK_ROW_FIELDS, PeakSpec, filtered_snapshots, trip_peaks
+from railpulse.operators.peaks import (
+    LAST_ROW_FIELDS, PEAK_ROW_FIELDS, PeakSpec, filtered_snapshots, trip_peaks,
+)
 from railpulse.sources.tables import RailData
 
 SCOPED = ScopeFilter.scopes()
@@ -162,41 +164,58 @@ TOP_TRIP_COLUMNS = ("train_code", "station_full_name", "train_date", "sch_depart
                     "captured_at")
 
 
+def _pick_rows(data: RailData, window, filt: ScopeFilter, cap, top: DataFrame, match,
+               pick, min_late: int | None = None) -> DataFrame:
+    """Join the snapshots of the selection to the ``top`` trips and pick one
+    row per trip.
+
+    ``top`` is bounded by the report limit, so it is broadcast — once, with all
+    its columns, so the first phase runs a single time.  ``match(cols)`` keeps
+    the candidate rows, ``pick`` is the row-choosing aggregate.
+    """
+    s = filtered_snapshots(data, PeakSpec(window=window, filt=filt, cap=cap, min_late=min_late))
+    top_cols = [c for c in top.columns if c != "trip_id"]
+    snap_cols = [c for c in s.columns if c != "trip_id"]
+    s = s.select("trip_id", *[F.col(c).alias(f"_s_{c}") for c in snap_cols])
+    j = s.join(F.broadcast(top), "trip_id")
+    if filt.is_scoped:
+        if "_s_resolved_scope" in j.columns:
+            j = j.where(F.col("_s_resolved_scope").isin(list(filt.scope_set)))
+        else:
+            b = scope_bucket("_s_service_scope", "_s_station_code")
+            sel = F.lit(False)
+            for bk in filt.buckets():
+                sel = sel | ((b == bk) & filt.bucket_selected(bk, F.col("_heuston_trip")))
+            j = j.where(sel)
+    j = j.where(match)
+    return j.groupBy("trip_id", *top_cols).agg(pick.alias("_row"))
+
+
 def top_delayed_trips(data: RailData, window: TimeRange, filt: ScopeFilter = SCOPED, cap="auto",
                       min_delay: int = DELAYED_MIN, limit: int = LIMIT_TRIPS,
                       peak_lookup: str = "auto") -> DataFrame:
     """Trips with the largest peak (>= min_delay) and the earliest snapshot at
     that peak (station, schedule, capture time as HH:mm).
 
-    ``peak_lookup="unfiltered"`` reproduces the single-station variant of the
-    reference, whose peak lookup ignores the station filter (SURVEY Q8).
+    Two phases: peaks and counts are hash-aggregated per trip (fixed-width
+    buffers), the top ``limit`` trips are taken, and only their snapshots are
+    matched again to find the peak row.  ``peak_lookup="unfiltered"``
+    reproduces the single-station variant whose lookup ignores the station
+    filter (SURVEY Q8).
     """
     cap = _cap_for(filt, cap)
     if peak_lookup == "auto":
         peak_lookup = "unfiltered" if filt.kind == "station" else "filtered"
     trip_cols = ("train_code", "train_date", "direction", "origin", "destination")
-    spec = PeakSpec(window=window, filt=filt, cap=cap, trip_cols=trip_cols,
-                    peak_row=(peak_lookup == "filtered"), need_join=True)
+    spec = PeakSpec(window=window, filt=filt, cap=cap, trip_cols=trip_cols, need_join=True)
     tp = trip_peaks(data, spec).where(F.col("peak_delay") >= min_delay)
     top = tp.orderBy(F.col("peak_delay").desc(), F.col("trip_id").asc()).limit(limit)
-    if peak_lookup == "filtered":
-        top = top.select("*", *[F.col(f"peak_row.{f}").alias(f) for f in PEAK_ROW_FIELDS]) \
-            .drop("peak_row")
-    else:
-        # The lookup reads every snapshot of the window; the selected trips are
-        # a ``limit``-bounded frame, so broadcasting it is safe at any scale.
-        snaps = data.snapshots(window)
-        if cap is not None:
-            snaps = snaps.where(F.col("late_minutes") <= cap)
-        keyed = F.broadcast(top.select("trip_id", "peak_delay"))
-        rows = (snaps.join(keyed, "trip_id", "left_semi")
-                .join(keyed, "trip_id")
-                .where(F.col("late_minutes") == F.col("peak_delay"))
-                .groupBy("trip_id")
-                .agg(F.min(F.struct(*[F.col(f) for f in PEAK_ROW_FIELDS])).alias("peak_row")))
-        top = top.join(rows, "trip_id").select(
-            "*", *[F.col(f"peak_row.{f}").alias(f) for f in PEAK_ROW_FIELDS]).drop("peak_row")
-    return top.select(
+    lookup_filter = filt if peak_lookup == "filtered" else ScopeFilter.network()
+    pick = F.min(F.struct(*[F.col(f"_s_{f}").alias(f) for f in PEAK_ROW_FIELDS]))
+    rows = _pick_rows(data, window, lookup_filter, cap, top,
+                      F.col("_s_late_minutes") == F.col("peak_delay"), pick)
+    out = rows.select("*", *[F.col(f"_row.{f}").alias(f) for f in PEAK_ROW_FIELDS]).drop("_row")
+    return out.select(
         "trip_id", "train_code", "station_full_name", "train_date", "sch_depart", "sch_arrival",
         "direction", "origin", "destination", F.col("peak_delay").cast("int").alias("peak_delay"),
         "snapshot_count", hhmm("captured_at").alias("captured_hhmm"),
@@ -208,21 +227,27 @@ def recent_delayed_trips(data: RailData, filt: ScopeFilter = SCOPED, cap="auto",
                          keep_captured_at: bool = False) -> DataFrame:
     """Latest delayed snapshot of each trip, the ``limit`` newest trips.
 
-    No date window (the reference ignores it here, SURVEY Q14).
+    No date window (the reference ignores it here, SURVEY Q14).  Phase one
+    hash-aggregates each trip's latest delayed capture time; phase two reads
+    the rows of the ``limit`` chosen trips at that instant and breaks ties.
     """
     cap = _cap_for(filt, cap)
     spec = PeakSpec(window=None, filt=filt, cap=cap, min_late=min_delay,
-                    last_row_min=min_delay, trip_cols=("train_code", "origin", "destination"),
-                    need_join=True)
+                    extra_max=(("last_seen", F.col("captured_at")),),
+                    trip_cols=("train_code", "origin", "destination"), need_join=True)
     tp = trip_peaks(data, spec)
-    latest = tp.select("trip_id", "train_code", "origin", "destination",
-                       F.col("last_row.captured_at").alias("captured_at"),
-                       F.col("last_row.station_full_name").alias("station_full_name"),
-                       F.col("last_row.late_minutes").alias("late_minutes"))
-    top = latest.orderBy(F.col("captured_at").desc(), F.col("trip_id").asc()).limit(limit)
-    out = top.select("train_code", "station_full_name", F.col("late_minutes").cast("int"),
+    top = tp.orderBy(F.col("last_seen").desc(), F.col("trip_id").asc()).limit(limit)
+    pick = F.max(F.struct(*[F.col(f"_s_{c}").alias(c) for c in LAST_ROW_FIELDS]))
+    rows = _pick_rows(data, None, filt, cap, top, F.col("_s_captured_at") == F.col("last_seen"), pick,
+                      min_late=min_delay)
+    out = rows.select("trip_id", "train_code", "origin", "destination",
+                      F.col("_row.captured_at").alias("captured_at"),
+                      F.col("_row.station_full_name").alias("station_full_name"),
+                      F.col("_row.late_minutes").cast("int").alias("late_minutes"))
+    out = out.select("train_code", "station_full_name", "late_minutes",
                      hhmm("captured_at").alias("captured_hhmm"), "origin", "destination",
-                     "captured_at").orderBy(F.col("captured_at").desc())
+                     "captured_at", "trip_id") \
+        .orderBy(F.col("captured_at").desc(), F.col("trip_id").asc()).drop("trip_id")
     return out if keep_captured_at else out.drop("captured_at")
 
 
