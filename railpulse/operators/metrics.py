@@ -130,33 +130,40 @@ def rebuild_metrics(data: RailData, path: str) -> None:
 
 
 def refresh_dates(data: RailData, path: str, dates) -> None:
-    """O-S8: recompute the given service dates and overwrite only them.
+    """O-S8: recompute the given service dates and replace only their partitions.
 
-    A date whose snapshots are all gone must lose its partition too: dynamic
-    overwrite leaves untouched partitions in place, so those are removed
-    explicitly.
+    One Spark job computes all touched dates into a staging folder under the
+    shared checkpoint directory; each date's partition is then swapped in by
+    a directory move.  A date with no remaining snapshots loses its partition
+    (dynamic overwrite alone would leave the stale one in place).
     """
+    import uuid
+
+    from railpulse.session import checkpoint_root
+
     spark = data.spark
     dates = sorted({d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)) for d in dates})
     if not dates:
         return
-    for d in dates:
-        window = TimeRange(dt.datetime.combine(d, dt.time()),
-                           dt.datetime.combine(d + dt.timedelta(days=1), dt.time()))
-        fresh = build_daily_metrics(data, window)
-        (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("service_date").parquet(path))
-        _drop_partition_if_empty(spark, path, d, fresh)
-
-
-def _drop_partition_if_empty(spark, path: str, d: dt.date, fresh: DataFrame) -> None:
-    if fresh.limit(1).count() > 0:
-        return
+    window = TimeRange(dt.datetime.combine(dates[0], dt.time()),
+                       dt.datetime.combine(dates[-1] + dt.timedelta(days=1), dt.time()))
+    fresh = build_daily_metrics(data, window).where(
+        F.col("service_date").isin([d.isoformat() for d in dates]))
+    staging = f"{checkpoint_root(spark)}/metrics-staging-{uuid.uuid4().hex}"
+    fresh.write.partitionBy("service_date").parquet(staging)
     jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(f"{path}/service_date={d.isoformat()}")
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hpath):
-        fs.delete(hpath, True)
+    conf = spark._jsc.hadoopConfiguration()
+    for d in dates:
+        part = f"service_date={d.isoformat()}"
+        src = jvm.org.apache.hadoop.fs.Path(f"{staging}/{part}")
+        dst = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+        fs = dst.getFileSystem(conf)
+        if fs.exists(dst):
+            fs.delete(dst, True)
+        if fs.exists(src):
+            if not fs.exists(dst.getParent()):
+                fs.mkdirs(dst.getParent())
+            fs.rename(src, dst)
 
 
 def drop_partitions_before(spark, path: str, column: str, cutoff: dt.date) -> int:

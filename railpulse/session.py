@@ -29,6 +29,8 @@ DEFAULTS = {
 def get_spark(master: str | None = None, app: str = "railpulse",
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
+    # pandas deprecation chatter from Arrow batch concatenation in workers.
+    os.environ.setdefault("PYTHONWARNINGS", "ignore::FutureWarning")
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
