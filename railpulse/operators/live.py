@@ -25,10 +25,16 @@ def board_filter(include_heuston: Column | bool) -> Column:
 
 
 def latest_payloads(payloads: DataFrame) -> DataFrame:
-    """The newest board document per station (``max_by`` per station)."""
-    return payloads.groupBy("station_code").agg(
-        F.max_by("payload", "captured_at").alias("payload"),
-        F.max("captured_at").alias("captured_at"))
+    """The newest board document per station.
+
+    The newest poll instant per station is a hash aggregate over two
+    fixed-size columns; a left-semi join then keeps only those documents
+    (Catalyst pushes it below any aggregate that builds the documents, so
+    older boards are never rendered or parsed).
+    """
+    newest = payloads.groupBy("station_code").agg(F.max("captured_at").alias("captured_at"))
+    return payloads.join(newest, ["station_code", "captured_at"], "left_semi") \
+        .select("station_code", "payload", "captured_at")
 
 
 def live_board(payloads: DataFrame) -> DataFrame:
