@@ -46,32 +46,37 @@ def state_changes(rows: DataFrame, key=STATE_KEY, order=("captured_at", "poll_id
     within the same service day (the state map is cleared at ``reset_hour``).
 
     The previous *emitted* value always equals the previous reading's value,
-    so this is a ``lag`` comparison.  To keep any window partition bounded even
-    when one key carries a large share of all readings, the day is cut into
-    hourly chunks: a chunk's first reading compares against the last reading
-    of the key's preceding chunk, found from a per-chunk aggregate (at most 24
-    rows per key and day).
+    so this is a ``lag`` comparison.  To keep every window partition bounded
+    even when one key carries a large share of all readings, the day is cut
+    into hourly chunks: one window pass over (key, day, chunk) gives each
+    reading its in-chunk predecessor and marks the chunk's last reading; the
+    first reading of a chunk compares against the last reading of the key's
+    preceding chunk, found by a second window over at most 24 chunk rows per
+    key and day.  No aggregate carries a struct buffer, so no sort-based
+    aggregation is needed.
     """
     key = [k for k in key if k in rows.columns]
     day = service_day("captured_at", reset_hour).alias("_day")
     shift = reset_hour or 0
     chunk = F.pmod(F.hour("captured_at") - F.lit(shift), F.lit(24)).alias("_chunk")
-    r = rows.select("*", day, chunk)
     part = [*key, "_day"]
+    w = Window.partitionBy(*part, "_chunk").orderBy(*[F.col(o) for o in order])
+    r = rows.select("*", day, chunk).select(
+        "*", F.lag("late_minutes").over(w).alias("_prev"),
+        F.lead(F.lit(1)).over(w).isNull().alias("_last"))
 
-    last = (r.groupBy(*part, "_chunk")
-            .agg(F.max(F.struct(*[F.col(o) for o in order], F.col("late_minutes"))).alias("_last")))
+    last = r.where(F.col("_last")).select(*part, "_chunk", F.col("late_minutes").alias("_chunk_late"))
     w_chunk = Window.partitionBy(*part).orderBy("_chunk")
-    prev_chunk = last.select(*part, "_chunk",
-                             F.lag(F.col("_last.late_minutes")).over(w_chunk).alias("_prev_chunk_late"))
-
-    cond = _null_safe_on(r, prev_chunk, [*part, "_chunk"])
-    joined = r.join(prev_chunk, cond, "inner").select(
-        r["*"], prev_chunk["_prev_chunk_late"])
-    w = Window.partitionBy(*part, "_chunk").orderBy(*[F.col(o) for o in order])
-    prev = F.coalesce(F.lag("late_minutes").over(w), F.col("_prev_chunk_late"))
-    out = joined.withColumn("_prev", prev).where(~F.col("_prev").eqNullSafe(F.col("late_minutes")))
-    return out.drop("_day", "_chunk", "_prev_chunk_late", "_prev")
+    prev_chunk = last.select(*part, "_chunk", F.lag("_chunk_late").over(w_chunk).alias("_prev_chunk_late"))
+
+    inner = r.where(F.col("_prev").isNotNull())
+    firsts = r.where(F.col("_prev").isNull())
+    cond = _null_safe_on(firsts, prev_chunk, [*part, "_chunk"])
+    firsts = firsts.join(prev_chunk, cond, "left").select(
+        firsts["*"], prev_chunk["_prev_chunk_late"]) \
+        .withColumn("_prev", F.col("_prev_chunk_late")).drop("_prev_chunk_late")
+    out = inner.unionByName(firsts).where(~F.col("_prev").eqNullSafe(F.col("late_minutes")))
+    return out.drop("_day", "_chunk", "_prev", "_last")
 
 
 # ---------------------------------------------------------------------------
