@@ -157,3 +157,10 @@ class ScopeFilter:
             return F.lit(CONNOLLY in self.values)
         resolved = F.when(trip_is_heuston, F.lit(HEUSTON)).otherwise(F.lit(CONNOLLY))
         return resolved.isin(list(self.values))
+
+
+def overview_code_col(scope) -> Column:
+    """Column form of :func:`code_from_scope`."""
+    u = F.upper(_c(scope))
+    return (F.when(u == F.lit(HEUSTON), F.lit(HEUSTON_CODE))
+            .when(u == F.lit(CONNOLLY), F.lit(CONNOLLY_CODE)).otherwise(F.lit("OVERVIEW")))

@@ -132,3 +132,14 @@ def tracked_stations(catalog: DataFrame, codes: str = TRACKED_STATION_CODES) ->
 
 def with_display_name(stations: DataFrame) -> DataFrame:
     return stations.withColumn("display_name", station_display_name("station_alias", "station_desc"))
+
+
+def selected_station_name(stations: DataFrame, code: str) -> DataFrame:
+    """O-P14: description of the station whose code matches ``code`` ignoring
+    case, else the code itself (one row)."""
+    spark = stations.sparkSession
+    want = spark.createDataFrame([(code,)], "code string")
+    match = stations.where(F.upper("station_code") == code.strip().upper()) \
+        .agg(F.min("station_desc").alias("station_desc"))
+    return want.withColumn("_k", F.lit(1)).join(match.withColumn("_k", F.lit(1)), "_k", "left") \
+        .select(F.coalesce("station_desc", "code").alias("station_name"))

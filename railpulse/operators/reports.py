@@ -20,8 +20,8 @@ from railpulse.functions.constants import (
     LIMIT_TRIPS, MAX_STAT_DELAY,
 )
 from railpulse.functions.expr import (
-    count_if, delay_probability, endpoint_or_unknown, hhmm, hour_label, non_empty, round1,
-    safe_ratio, sum_if,
+    count_if, delay_probability, endpoint_or_unknown, hhmm, hour_label, non_empty, reliability_band,
+    round1, safe_ratio, sum_if,
 )
 from railpulse.functions.ranges import TimeRange
 from railpulse.functions.scope import ScopeFilter, heuston_trip, scope_bucket
@@ -65,7 +65,7 @@ def dashboard(data: RailData, window: TimeRange, filt: ScopeFilter = SCOPED,
         "total_delay_minutes", "max_delay",
         round1(safe_ratio("total_delay_minutes", "delayed_trips")).alias("average_delay"),
         delay_probability("delayed_trips", "unique_trips").alias("delay_probability"),
-    )
+    ).withColumn("reliability_band", reliability_band("delay_probability"))
 
 
 def delay_categories(data: RailData, window: TimeRange, filt: ScopeFilter = SCOPED,

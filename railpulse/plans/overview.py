@@ -75,7 +75,8 @@ def station_page(data: RailData, payloads: DataFrame, station_code: str, window:
                  metrics: DataFrame | None = None) -> dict[str, DataFrame]:
     """O-B2: one station's live board plus network analytics (top-15 rank, no routes)."""
     parts = overview(data, window, None, metrics, rank_limit=LIMIT_STATIONS, with_routes=False)
-    board = live_board(payloads).where(F.upper("board_station") == station_code.strip().upper())
+    # The board is requested by its code as given (the API is keyed by it).
+    board = live_board(payloads).where(F.col("board_station") == station_code.strip())
     parts["board"] = board
     parts["boardCounts"] = board_counts(board)
     return parts

@@ -75,7 +75,9 @@ agg AS (SELECT CAST(COALESCE(SUM(n), 0) AS BIGINT) AS total_snapshots,
 SELECT total_snapshots, unique_trips, delayed_trips, unique_trips - delayed_trips AS on_time_trips,
        total_delay_minutes, max_delay,
        {O.round1(O.ratio('total_delay_minutes', 'delayed_trips'))} AS average_delay,
-       {O.prob('delayed_trips', 'unique_trips')} AS delay_probability
+       {O.prob('delayed_trips', 'unique_trips')} AS delay_probability,
+       CASE WHEN {O.prob('delayed_trips', 'unique_trips')} < 20 THEN 'low'
+            WHEN {O.prob('delayed_trips', 'unique_trips')} < 40 THEN 'medium' ELSE 'high' END AS reliability_band
 FROM agg""")
 
 
@@ -546,7 +548,7 @@ ORDER BY captured_at DESC, train_code, station_code, sch_depart, late_minutes, t
 
 import datetime as _dt  # noqa: E402
 
-from railpulse.functions.scope import resolve_scope  # noqa: E402
+from railpulse.functions.scope import overview_code_col, resolve_scope  # noqa: E402
 from railpulse.operators import dataops as D  # noqa: E402
 from railpulse.sources.bindings import polls as _polls  # noqa: E402
 
@@ -605,12 +607,15 @@ WHERE strftime(captured_at, '%H:%M:%S.%f') > '05:59:59.000000'
 
 register("scope_resolution", O.ab("""
 SELECT service_scope, scope AS resolved_scope, UPPER(station_code) = 'HSTON' AS at_heuston,
+       CASE WHEN UPPER(scope) = 'HEUSTON' THEN 'HSTON' WHEN UPPER(scope) = 'CONNOLLY' THEN 'CNLLY'
+            ELSE 'OVERVIEW' END AS overview_code,
        COUNT(*) AS snapshots
-FROM resolved GROUP BY 1, 2, 3"""))(
+FROM resolved GROUP BY 1, 2, 3, 4"""))(
     lambda spark, d: _a(spark, d).snapshots().join(_a(spark, d).trips(), "trip_id")
     .groupBy("service_scope", resolve_scope().alias("resolved_scope"),
              (F.upper("station_code") == "HSTON").alias("at_heuston"))
-    .agg(F.count(F.lit(1)).alias("snapshots")))
+    .agg(F.count(F.lit(1)).alias("snapshots"))
+    .withColumn("overview_code", overview_code_col("resolved_scope")))
 
 
 # ---------------------------------------------------------------------------
@@ -796,3 +801,24 @@ SELECT station_code, MAX(station_full_name) AS station_name, COUNT(*) AS delay_c
        MAX(late_minutes) AS max_delay_minutes
 FROM snapshot WHERE {WIN} AND late_minutes <= 500 AND late_minutes >= 5 GROUP BY station_code"""))(
     lambda spark, d: OV.station_delay_summary(_a(spark, d), WHOLE))
+
+
+def _station_page(spark, d):
+    data = OV.CachedData(_a(spark, d))
+    parts = OV.station_page(data, P.live_payloads(spark, d), "CNLLY", WHOLE)
+    doc = OV.overview_document({k: v for k, v in parts.items() if k not in ("board", "boardCounts")})
+    board = parts["board"].select(F.struct("train_code", "station_code", "late_minutes", "due_in",
+                                           "origin", "destination").alias("r")) \
+        .agg(F.array_sort(F.collect_list("r")).alias("board"), F.lit(1).alias("_k"))
+    counts = parts["boardCounts"].select(F.col("trains").alias("board_trains"),
+                                         F.col("late_trains").alias("board_late"),
+                                         F.col("on_time_trains").alias("board_on_time"), F.lit(1).alias("_k"))
+    name = C.selected_station_name(C.all_collection_stations(_catalog(spark, d)), "cnlly") \
+        .withColumn("_k", F.lit(1))
+    return doc.withColumn("_k", F.lit(1)).join(board, "_k").join(counts, "_k", "left").join(name, "_k").drop("_k")
+
+
+register("station_page", None)(_station_page)
+register("selected_station_name", _stn("""
+SELECT COALESCE((SELECT MIN(station_desc) FROM allst WHERE UPPER(station_code) = 'CNLLY'), 'cnlly') AS station_name"""))(
+    lambda spark, d: C.selected_station_name(C.all_collection_stations(_catalog(spark, d)), "cnlly"))
