@@ -1,19 +1,21 @@
 """Stateful change detection (O-T2/O-T3) for Structured Streaming.
 
 Per key (scope, train, station, train date, scheduled departure, service day)
-the state holds the lateness last emitted.  A reading is emitted iff its
+the lateness last emitted is kept in the state of its (scope, station, service
+day) group.  A reading is emitted iff its
 lateness differs from that value; the state then takes the new value.  The
 service day (captured_at − 3 h) is part of the key, so the daily reset of the
 reference is a new key; the old key's state expires by event-time timeout once
 the watermark passes the end of its service day.
 
-The group function only sees one key's readings of one micro-batch — at most
-one reading per poll per key — so the pandas frame it handles is small.
+The group function sees one station's readings of one micro-batch and works
+on them as a vectorised pandas frame (shift within train key, compare).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,34 +26,60 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from railpulse.functions.constants import DAILY_RESET_HOUR
 from railpulse.operators.dataops import service_day
 
-STATE_SCHEMA = "last_late INT"
-KEY_COLS = ("service_scope", "train_code", "station_code", "train_date", "sch_depart", "_service_day")
+# Ship this module's functions to Python workers by value: workers then need
+# nothing from this repository on their path.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to import by name
+    pass
+
+# State per (scope, station, service day): the last emitted lateness of every
+# train key seen there that day, as two parallel arrays.
+STATE_SCHEMA = "keys ARRAY<STRING>, lates ARRAY<INT>"
+GROUP_COLS = ("service_scope", "station_code", "_service_day")
+TRAIN_COLS = ("train_code", "train_date", "sch_depart")
+_NULL = "\u0000"
+
+
+def _train_key(rows: pd.DataFrame) -> pd.Series:
+    parts = [rows[c].astype(object).where(rows[c].notna(), _NULL).astype(str) for c in TRAIN_COLS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out + "|" + p
+    return out
 
 
 def _emit_changes(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One station-day of one micro-batch, vectorised with pandas."""
     if state.hasTimedOut:
         state.remove()
         return
     frames = [p for p in pdfs if len(p)]
     if not frames:
         return
-    rows = pd.concat(frames, ignore_index=True).sort_values(["_event_time", "_seq"], kind="stable")
-    last = state.get[0] if state.exists else None
-    keep = []
-    for late in rows["late_minutes"].tolist():
-        late = int(late)
-        changed = last is None or late != last
-        keep.append(changed)
-        if changed:
-            last = late
-    state.update((last,))
-    # Expire the key one reset period after its service day ends.
+    rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    rows = rows.assign(_tk=_train_key(rows)).sort_values(["_tk", "_event_time", "_seq"], kind="stable")
+    late = rows["late_minutes"].astype("int64")
+    prev = late.groupby(rows["_tk"], sort=False).shift(1)
+    known = {}
+    if state.exists:
+        keys, lates = state.get
+        known = dict(zip(keys, lates))
+    first = prev.isna()
+    if known and first.any():
+        prev = prev.where(~first, rows["_tk"].map(known))
+    changed = prev.isna() | (prev != late)
+    lasts = late.groupby(rows["_tk"], sort=False).last()
+    known.update({k: int(v) for k, v in lasts.items()})
+    state.update((list(known.keys()), [int(v) for v in known.values()]))
+    # Expire the station-day one reset period after the service day ends.
     day = key[-1]
     if isinstance(day, dt.datetime):
         day = day.date()
     end = dt.datetime.combine(day + dt.timedelta(days=1), dt.time(DAILY_RESET_HOUR))
     state.setTimeoutTimestamp(int(end.replace(tzinfo=dt.timezone.utc).timestamp() * 1000))
-    out = rows[keep]
+    out = rows[changed.to_numpy()].drop(columns=["_tk"])
     if len(out):
         yield out
 
@@ -59,17 +87,21 @@ def _emit_changes(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
 def change_filter(rows: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Apply the change filter to a streaming (or batch) frame of live rows.
 
-    Requires columns of ``KEY_COLS`` (minus the service day), ``late_minutes``,
-    ``captured_at`` and a tie-break ``_seq``.  ``captured_at`` is wall-clock
-    (timestamp_ntz); the watermark needs a TIMESTAMP, so a UTC cast is used
-    (``spark.sql.session.timeZone`` is UTC).
+    Requires ``service_scope``, ``station_code``, the train key columns,
+    ``late_minutes``, ``captured_at`` and a tie-break ``_seq``.  ``captured_at``
+    is wall-clock (timestamp_ntz); the watermark needs a TIMESTAMP, so a UTC
+    cast is used (``spark.sql.session.timeZone`` is UTC).
+
+    Groups are (scope, station, service day): each Python call handles one
+    station's readings of a micro-batch as a vectorised frame, and the state
+    holds at most one entry per train seen at that station that day.
     """
     df = rows.withColumn("_service_day", service_day("captured_at", DAILY_RESET_HOUR)) \
              .withColumn("_event_time", F.col("captured_at").cast("timestamp"))
     if rows.isStreaming:
         df = df.withWatermark("_event_time", watermark)
     out_schema = df.schema
-    return df.groupBy(*KEY_COLS).applyInPandasWithState(
+    return df.groupBy(*GROUP_COLS).applyInPandasWithState(
         _emit_changes, outputStructType=out_schema, stateStructType=STATE_SCHEMA,
         outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout,
     ).drop("_service_day", "_event_time")
