@@ -74,7 +74,19 @@ def hour_label(hour) -> Column:
 
 
 def hhmm(ts) -> Column:
-    return F.date_format(_c(ts), "HH:mm")
+    """HH:mm of a wall-clock timestamp (zone-free field extraction)."""
+    c = _c(ts)
+    return F.when(c.isNotNull(), F.format_string("%02d:%02d", F.hour(c), F.minute(c)))
+
+
+def hhmmss(ts) -> Column:
+    c = _c(ts)
+    return F.when(c.isNotNull(), F.format_string("%02d:%02d:%02d", F.hour(c), F.minute(c), F.second(c)))
+
+
+def iso_date(ts) -> Column:
+    """yyyy-MM-dd of a wall-clock timestamp (zone-free)."""
+    return F.to_date(_c(ts)).cast("string")
 
 
 def endpoint_or_unknown(col) -> Column:

@@ -140,5 +140,11 @@ def snapshots_retained(snapshots: DataFrame, as_of: dt.datetime, days: int = RET
 def in_service_hours(ts="captured_at") -> Column:
     """Active when the wall-clock time is after 05:59:59 or before 00:31."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    tod = F.date_format(c, "HH:mm:ss.SSSSSS")
-    return (tod > F.lit(SERVICE_START_AFTER + ".000000")) | (tod < F.lit(SERVICE_END_BEFORE + ".000000"))
+    # Seconds of the day from zone-free field extraction (plus the fraction).
+    tod = (F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)).cast("double") \
+        + F.date_format(c, "SSSSSS").cast("double") / 1e6
+
+    def secs(hms: str) -> int:
+        h, m, s = (int(x) for x in hms.split(":"))
+        return h * 3600 + m * 60 + s
+    return (tod > F.lit(float(secs(SERVICE_START_AFTER)))) | (tod < F.lit(float(secs(SERVICE_END_BEFORE))))

@@ -50,7 +50,7 @@ class TpchBinding(RailData):
         return joined.select(
             key.alias("trip_id"),
             F.concat(F.lit("E"), _mod("o_custkey", 500).cast("string")).alias("train_code"),
-            F.date_format("o_orderdate", "yyyy-MM-dd").alias("train_date"),
+            F.to_date("o_orderdate").cast("string").alias("train_date"),
             F.col("o_orderpriority").alias("train_type"),
             F.when(F.col("c_nationkey") == 0, F.lit(""))
              .when(F.col("c_nationkey") == 1, F.lit(None).cast("string"))
@@ -103,7 +103,7 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("poll_id"),
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("train_code"),
         F.upper("event_type").alias("station_code"),
-        F.date_format("ts", "yyyy-MM-dd").alias("train_date"),
+        F.to_date("ts").cast("string").alias("train_date"),
         F.lit(None).cast("string").alias("sch_depart"),
         (F.floor(F.col("value") / 25).cast("int") * 5 - 5).cast("int").alias("late_minutes"),
         F.col("ts").alias("captured_at"),

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from railpulse.functions.expr import hhmmss
 from railpulse.sources.bindings import TpchBinding, read_table
 
 LIVE_ROOT = "ArrayOfObjStationData"
@@ -127,7 +128,7 @@ def live_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         "trip_id", "captured_at",
         F.col("train_code"), F.col("station_full_name"), F.col("station_code"),
-        F.date_format("captured_at", "HH:mm:ss").alias("query_time"),
+        hhmmss("captured_at").alias("query_time"),
         F.col("train_date"), F.col("origin"), F.col("destination"),
         F.lit(None).cast("string").alias("origin_time"),
         F.lit(None).cast("string").alias("destination_time"),

@@ -69,7 +69,8 @@ def write_batch(store: ParquetStore, batch: DataFrame, batch_id: int) -> None:
     # 1. trips first seen in this batch; lookup restricted to the batch's keys.
     cand = D.first_write_trips(batch).withColumn("trip_id", D.trip_id_expr())
     existing = store.trips().select("trip_id", "train_date")
-    seen = existing.join(F.broadcast(cand.select("trip_id", "train_date")), ["trip_id", "train_date"], "left_semi")
+    # The batch's candidate keys are small; AQE broadcasts them after measuring.
+    seen = existing.join(cand.select("trip_id", "train_date"), ["trip_id", "train_date"], "left_semi")
     fresh = cand.join(seen, ["trip_id", "train_date"], "left_anti") \
         .withColumn("batch_id", F.lit(batch_id))
     (fresh.select("trip_id", "train_code", "train_date", "train_type", "origin", "destination", "direction",

@@ -89,15 +89,20 @@ def change_filter(rows: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
     Requires ``service_scope``, ``station_code``, the train key columns,
     ``late_minutes``, ``captured_at`` and a tie-break ``_seq``.  ``captured_at``
-    is wall-clock (timestamp_ntz); the watermark needs a TIMESTAMP, so a UTC
-    cast is used (``spark.sql.session.timeZone`` is UTC).
+    is wall-clock (timestamp_ntz); the watermark needs a TIMESTAMP, so the wall
+    clock is read as UTC whatever the session time zone.
 
     Groups are (scope, station, service day): each Python call handles one
     station's readings of a micro-batch as a vectorised frame, and the state
     holds at most one entry per train seen at that station that day.
     """
+    c = F.col("captured_at")
+    # Wall clock read as UTC, independent of the session time zone, so the
+    # watermark and the state timeouts (computed as UTC) share one frame.
+    event_time = F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                                  F.date_format(c, "ss.SSSSSS").cast("decimal(8,6)"), F.lit("UTC"))
     df = rows.withColumn("_service_day", service_day("captured_at", DAILY_RESET_HOUR)) \
-             .withColumn("_event_time", F.col("captured_at").cast("timestamp"))
+             .withColumn("_event_time", event_time)
     if rows.isStreaming:
         df = df.withWatermark("_event_time", watermark)
     out_schema = df.schema

@@ -62,3 +62,17 @@ def test_service_hours(spark):
     df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp_ntz").alias("ts"))
     got = [r[0] for r in df.select(in_service_hours("ts")).collect()]
     assert got == [False, True, True, True, False, False, True]
+
+
+def test_zone_independent_times(spark):
+    """Wall-clock fields must not shift with the session zone (DST gaps)."""
+    from railpulse.functions.expr import hhmm, hhmmss, iso_date
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("1997-04-06 02:30:15",)], "t string") \
+            .select(F.col("t").cast("timestamp_ntz").alias("ts"))
+        r = df.select(hhmm("ts"), hhmmss("ts"), iso_date("ts"), in_service_hours("ts")).first()
+        assert tuple(r) == ("02:30", "02:30:15", "1997-04-06", False)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)

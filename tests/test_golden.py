@@ -83,3 +83,26 @@ def test_recent_delays_ignore_window(golden):
     rows = R.recent_delayed_trips(golden, ScopeFilter.scopes()).collect()
     assert [r["train_code"] for r in rows] == ["P601", "A203", "E801"]
     assert rows[0]["captured_hhmm"] == "00:10"
+
+
+def test_catalogue_defaults(spark):
+    """Built-in terminus rows are added only when a scope's list lacks them,
+    first occurrence per normalised code wins, blank codes are dropped."""
+    from railpulse.operators import catalog as C
+    rows = [("D", 0, 0, "Bray", None, 1.0, 2.0, "BRAY", 1),
+            ("D", 0, 1, "Bray again", None, 1.0, 2.0, " bray ", 2),
+            ("D", 0, 2, "Blank", None, 1.0, 2.0, "  ", 3),
+            ("M", 0, 0, "Kildare", "", 1.0, 2.0, "KDARE", 4),
+            ("S", 0, 0, "Heuston", "Heuston", 1.0, 2.0, "hston", 5)]
+    cat = spark.createDataFrame(rows, "station_type string, page long, position long, station_desc string, "
+                                      "station_alias string, latitude double, longitude double, "
+                                      "station_code string, station_id int")
+    conn = {r.station_code: r.station_desc for r in C.collection_stations(cat, "CONNOLLY").collect()}
+    assert conn == {"BRAY": "Bray", "CNLLY": "Dublin Connolly"}
+    heu = {r.station_code: r.station_desc for r in C.collection_stations(cat, "HEUSTON").collect()}
+    assert heu == {"KDARE": "Kildare", "hston": "Heuston"}
+    tracked = {r.station_code for r in C.tracked_stations(cat).collect()}
+    assert tracked == {"CNLLY", "hston"}
+    name = C.selected_station_name(C.all_collection_stations(cat), "kdare").first()[0]
+    assert name == "Kildare"
+    assert C.selected_station_name(C.all_collection_stations(cat), "XYZ").first()[0] == "XYZ"
