@@ -103,8 +103,11 @@ def build_daily_metrics(data: RailData, window: TimeRange | None = None,
         sum_if(delayed, "peak_delay").alias("total_delay_minutes"),
         *cats,
     )
-    names = rows.groupBy(*GRAIN, "station_full_name").agg(F.lit(1).alias("_one")) \
-        .groupBy(*GRAIN).agg(F.max("station_full_name").alias("station_full_name"))
+    # The inner count keeps the distinct step (otherwise the optimizer folds
+    # it into the string max, which then sorts join-sized input).
+    names = rows.groupBy(*GRAIN, "station_full_name").agg(F.count(F.lit(1)).alias("_n")) \
+        .groupBy(*GRAIN).agg(F.max(F.when(F.col("_n") > 0, F.col("station_full_name")))
+                             .alias("station_full_name"))
     on = [m[k].eqNullSafe(names[k]) for k in GRAIN]
     cond = on[0]
     for c in on[1:]:
