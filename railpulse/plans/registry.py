@@ -822,3 +822,34 @@ register("station_page", None)(_station_page)
 register("selected_station_name", _stn("""
 SELECT COALESCE((SELECT MIN(station_desc) FROM allst WHERE UPPER(station_code) = 'CNLLY'), 'cnlly') AS station_name"""))(
     lambda spark, d: C.selected_station_name(C.all_collection_stations(_catalog(spark, d)), "cnlly"))
+
+
+# ---------------------------------------------------------------------------
+# O-S5 snapshot append, batch form of the collector: route -> change filter ->
+# snapshot rows with their service_date partition
+# ---------------------------------------------------------------------------
+
+def _snapshot_append(spark, d):
+    routed = LV.route_live_rows(_live_rows(spark, d), _catalog(spark, d)) \
+        .withColumn("captured_at", F.col("captured_at")).withColumn("poll_id", F.col("position").cast("long"))
+    changed = D.state_changes(routed)
+    return changed.select("service_scope", "station_code", "station_full_name", "sch_depart", "late_minutes",
+                          "captured_at", "train_code", "train_date",
+                          F.to_date("captured_at").alias("service_date"))
+
+
+register("snapshot_append", O.with_views(f""",
+routed AS (
+  SELECT lv.*, r.service_scope,
+         ROW_NUMBER() OVER (PARTITION BY lv.board_station, lv.captured_at
+                            ORDER BY lv.trip_id, lv.sch_depart, lv.late_minutes) AS pos
+  FROM lv JOIN roles r ON r.code = UPPER(TRIM(COALESCE(lv.board_station, '')))
+  WHERE LOWER(COALESCE(lv.train_type, '')) <> 'bus'
+    AND CASE WHEN r.service_scope = 'HEUSTON' THEN {HEU} OR r.code = 'HSTON' ELSE NOT {HEU} END),
+x AS (SELECT *, LAG(late_minutes) OVER (PARTITION BY service_scope, train_code, station_code, train_date, sch_depart,
+                                                     CAST(captured_at - INTERVAL 3 HOUR AS DATE)
+                                        ORDER BY captured_at, pos) AS prev
+      FROM routed)
+SELECT service_scope, station_code, station_full_name, sch_depart, late_minutes, captured_at, train_code, train_date,
+       CAST(captured_at AS DATE) AS service_date
+FROM x WHERE prev IS DISTINCT FROM late_minutes""", O.TRIP_VIEW, O.SNAPSHOT_VIEW, LIVE_VIEW, STN_VIEW))(_snapshot_append)
