@@ -63,6 +63,20 @@ def scope_bucket(service_scope="service_scope", station_code="station_code") ->
             .otherwise(F.lit("X")))
 
 
+def bucket_condition(bucket: str, service_scope="service_scope", station_code="station_code") -> Column:
+    """Plain boolean form of ``scope_bucket(...) == bucket`` (small predicates
+    stay inside generated code)."""
+    sc = _c(service_scope)
+    hston = is_heuston_station(station_code)
+    if bucket == "H":
+        return (sc == F.lit(HEUSTON)) | (sc.isNull() & hston)
+    if bucket == "C":
+        return sc == F.lit(CONNOLLY)
+    if bucket == "U":
+        return sc.isNull() & ~hston
+    return sc.isNotNull() & ~sc.isin(HEUSTON, CONNOLLY)
+
+
 def scope_from_code(code: str | None) -> str | None:
     """HSTON/HEUSTON -> HEUSTON, CNLLY/CONNOLLY -> CONNOLLY, else None."""
     if code is None:
@@ -149,6 +163,26 @@ class ScopeFilter:
             out.append("U")
         return tuple(out)
 
+    def row_selected(self, trip_is_heuston: Column, service_scope="service_scope",
+                     station_code="station_code") -> Column:
+        """Whether a snapshot row belongs to the selection, given its trip.
+
+        The plan-time choices are folded here so the predicate stays small:
+        explicit scopes compare directly; a NULL scope resolves to HEUSTON at
+        HSTON, else by the trip's Heuston flag.
+        """
+        sc = _c(service_scope)
+        heu, con = HEUSTON in self.values, CONNOLLY in self.values
+        explicit = sc.isin(list(self.values))
+        if heu and con:
+            return explicit | sc.isNull()
+        hston = is_heuston_station(station_code)
+        if heu:
+            return explicit | (sc.isNull() & (hston | trip_is_heuston))
+        if con:
+            return explicit | (sc.isNull() & ~hston & ~trip_is_heuston)
+        return explicit
+
     def bucket_selected(self, bucket: str, trip_is_heuston: Column) -> Column:
         """Whether rows of ``bucket`` belong to the selection, given the trip."""
         if bucket == "H":

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railpulse.functions.ranges import TimeRange
-from railpulse.functions.scope import ScopeFilter, heuston_trip, scope_bucket
+from railpulse.functions.scope import ScopeFilter, bucket_condition, heuston_trip
 from railpulse.sources.tables import RailData
 
 # Fields of the peak row: ordering first, then the values reported.
@@ -123,11 +123,10 @@ def trip_peaks(data: RailData, spec: PeakSpec) -> DataFrame:
         s = s.where(F.col("resolved_scope").isin(list(spec.filt.scope_set)))
     if spec.filt.is_scoped and not stored_scope:
         buckets = spec.filt.buckets()
-        b = scope_bucket()
-        s = s.where(b.isin(list(buckets)))
+        s = s.where(F.col("service_scope").isNull() | F.col("service_scope").isin(list(spec.filt.scope_set)))
         aggs = []
         for bk in buckets:
-            aggs += _base_aggs(spec, b == F.lit(bk), f"_{bk}")
+            aggs += _base_aggs(spec, bucket_condition(bk), f"_{bk}")
         pre = s.groupBy(*keys).agg(*aggs)
         trips = data.trips().select("trip_id", heuston_trip().alias("_heuston_trip"),
                                     *spec.trip_cols, *[c.alias(n) for n, c in spec.trip_exprs])

@@ -24,7 +24,7 @@ from railpulse.functions.expr import (
     round1, safe_ratio, sum_if,
 )
 from railpulse.functions.ranges import TimeRange
-from railpulse.functions.scope import ScopeFilter, heuston_trip, scope_bucket
+from railpulse.functions.scope import ScopeFilter, bucket_condition, heuston_trip
 from railpulse.operators.peaks import (
     LAST_ROW_FIELDS, PEAK_ROW_FIELDS, PeakSpec, filtered_snapshots, trip_peaks,
 )
@@ -110,12 +110,12 @@ def _scoped_sums(data: RailData, spec: PeakSpec, dims, measures) -> DataFrame:
             s = s.where(F.col("resolved_scope").isin(list(filt.scope_set)))
         return s.groupBy(*dim_names).agg(*[F.sum(c).alias(n) for n, c in measures])
     buckets = filt.buckets()
-    b = scope_bucket()
-    s = s.where(b.isin(list(buckets)))
+    s = s.where(F.col("service_scope").isNull() | F.col("service_scope").isin(list(filt.scope_set)))
     aggs = []
     for bk in buckets:
+        cond = bucket_condition(bk)
         for n, c in measures:
-            aggs.append(F.sum(F.when(b == bk, c)).alias(f"{n}_{bk}"))
+            aggs.append(F.sum(F.when(cond, c)).alias(f"{n}_{bk}"))
     pre = s.groupBy("trip_id", *dim_names).agg(*aggs)
     trips = data.trips().select("trip_id", heuston_trip().alias("_heuston_trip"))
     j = pre.join(trips, "trip_id", "inner")
@@ -182,11 +182,7 @@ def _pick_rows(data: RailData, window, filt: ScopeFilter, cap, top: DataFrame, m
         if "_s_resolved_scope" in j.columns:
             j = j.where(F.col("_s_resolved_scope").isin(list(filt.scope_set)))
         else:
-            b = scope_bucket("_s_service_scope", "_s_station_code")
-            sel = F.lit(False)
-            for bk in filt.buckets():
-                sel = sel | ((b == bk) & filt.bucket_selected(bk, F.col("_heuston_trip")))
-            j = j.where(sel)
+            j = j.where(filt.row_selected(F.col("_heuston_trip"), "_s_service_scope", "_s_station_code"))
     j = j.where(match)
     return j.groupBy("trip_id", *top_cols).agg(pick.alias("_row"))
 
