@@ -23,7 +23,7 @@ from railpulse.functions.constants import (
 )
 from railpulse.functions.expr import count_if, delay_probability, endpoint_or_unknown, round1, safe_ratio, sum_if
 from railpulse.functions.ranges import TimeRange
-from railpulse.functions.scope import ScopeFilter, heuston_trip, scope_bucket
+from railpulse.functions.scope import ScopeFilter, heuston_trip, is_heuston_station
 from railpulse.operators.peaks import PeakSpec, filtered_snapshots
 from railpulse.sources.tables import RailData
 
@@ -39,11 +39,11 @@ def _resolved_rows(data: RailData, window: TimeRange | None, cap: int | None) ->
     """(service_date, scope, station, origin, destination, trip, name) with
     snapshot count and peak.
 
-    Snapshots are reduced per (trip, date, station, name, raw scope bucket)
-    before the trip join — all aggregation buffers are fixed-width, so this is
+    Snapshots are reduced per (trip, date, station, name, scope known without
+    the trip) before the trip join — all aggregation buffers are fixed-width, so this is
     a hash aggregate with map-side combine; the station name is a grouping key
-    rather than a ``max`` buffer.  The bucket then resolves with the trip's
-    Heuston flag.
+    rather than a ``max`` buffer.  A NULL scope away from HSTON then resolves
+    with the trip's Heuston flag.
     """
     s = filtered_snapshots(data, PeakSpec(window=window, cap=cap))
     base = [F.col("trip_id"), F.to_date("captured_at").alias("service_date"),
@@ -55,20 +55,19 @@ def _resolved_rows(data: RailData, window: TimeRange | None, cap: int | None) ->
         pre = s.groupBy("trip_id", "service_date", "service_scope", "station_code", "station_full_name").agg(
             F.count(F.lit(1)).alias("n"), F.max("late_minutes").alias("p"))
         return pre.join(data.trips().select("trip_id", *trips_cols), "trip_id")
-    s = s.select(*base, scope_bucket().alias("_bucket"), F.col("service_scope").alias("_raw"))
-    # Bucket X keeps its raw scope value; H/C/U are resolved after the join.
-    pre = s.groupBy("trip_id", "service_date", "_bucket",
-                    F.when(F.col("_bucket") == "X", F.col("_raw")).alias("_raw"),
-                    "station_code", "station_full_name").agg(
+    # Resolved without the trip: explicit scopes keep their value, NULL at
+    # HSTON is HEUSTON; NULL elsewhere ("_u") waits for the trip's flag.
+    sc = F.col("service_scope")
+    known = F.when(sc.isNull() & is_heuston_station("station_code"), F.lit("HEUSTON")).otherwise(sc)
+    s = s.select(*base, known.alias("_known"))
+    pre = s.groupBy("trip_id", "service_date", "_known", "station_code", "station_full_name").agg(
         F.count(F.lit(1)).alias("n"), F.max("late_minutes").alias("p"))
     trips = data.trips().select("trip_id", heuston_trip().alias("_heuston_trip"), *trips_cols)
     return pre.join(trips, "trip_id").select(
         "trip_id", "service_date", "station_code", "station_full_name", "origin", "destination", "n", "p",
-        F.when(F.col("_bucket") == "H", F.lit("HEUSTON"))
-         .when(F.col("_bucket") == "C", F.lit("CONNOLLY"))
-         .when(F.col("_bucket") == "U",
-               F.when(F.col("_heuston_trip"), F.lit("HEUSTON")).otherwise(F.lit("CONNOLLY")))
-         .otherwise(F.col("_raw")).alias("service_scope"))
+        F.coalesce(F.col("_known"),
+                   F.when(F.col("_heuston_trip"), F.lit("HEUSTON")).otherwise(F.lit("CONNOLLY")))
+        .alias("service_scope"))
 
 
 GRAIN = ("service_date", "service_scope", "station_code", "origin", "destination")
