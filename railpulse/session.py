@@ -54,7 +54,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="railpulse-ckpt-", dir=os.environ.get("RAILPULSE_SCRATCH", "/tmp"))
+        conf_dir = tempfile.mkdtemp(prefix="railpulse-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(conf_dir)

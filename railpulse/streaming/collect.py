@@ -64,7 +64,6 @@ def live_rows(landed: DataFrame, catalog: DataFrame | None = None, scope: str |
 
 
 def write_batch(store: ParquetStore, batch: DataFrame, batch_id: int) -> None:
-    spark = store.spark
     batch = batch.withColumn("poll_id", F.col("_seq").cast("long"))
     # 1. trips first seen in this batch; lookup restricted to the batch's keys.
     cand = D.first_write_trips(batch).withColumn("trip_id", D.trip_id_expr())
@@ -87,7 +86,6 @@ def write_batch(store: ParquetStore, batch: DataFrame, batch_id: int) -> None:
     # 3. metrics of the dates this batch touched (a handful of dates).
     dates = [r[0] for r in snaps.select("service_date").distinct().collect()]
     M.refresh_dates(store, store.metrics_path, dates)
-    del spark
 
 
 def start_collect(spark: SparkSession, landing: str, store_root: str, checkpoint: str | None = None,

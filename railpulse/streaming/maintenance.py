@@ -52,8 +52,8 @@ def maintain(store: ParquetStore, as_of: dt.datetime, days: int = RETENTION_DAYS
     if fs.exists(dp) and cutoff.time() != dt.time():
         staging = f"{checkpoint_root(spark)}/staging-{uuid.uuid4().hex}"
         kept = spark.read.parquet(day_dir).where(F.col("captured_at") >= ntz_literal(cutoff))
-        kept.write.partitionBy("batch_id").parquet(staging) if "batch_id" in kept.columns \
-            else kept.write.parquet(staging)
+        writer = kept.write.partitionBy("batch_id") if "batch_id" in kept.columns else kept.write
+        writer.parquet(staging)
         _replace_dir(spark, staging, day_dir)
     # Metrics: whole days before the cutoff date.
     stats["metric_days_dropped"] = drop_partitions_before(spark, store.metrics_path, "service_date",
