@@ -6,7 +6,7 @@ elements are ignored, a namespace on the root is accepted, an empty root or a
 malformed document yields no rows, and missing integer fields read as 0 (the
 reference maps them to Java ``int``).
 
-Binding C renders payloads from the test tables with ``to_xml`` so the parse
+Binding C renders payloads from the test tables with string expressions so the parse
 path is exercised on data that grows with the scale factor: one live payload
 per (station, poll instant) — the departures board of one station, bounded by
 the API's look-ahead window — and station catalogue payloads of at most
@@ -103,6 +103,23 @@ def parse_stations(df: DataFrame, payload: str = "payload") -> DataFrame:
     return rows.select(*keep, "position", *cols)
 
 
+def xml_text(col) -> F.Column:
+    """XML text escaping of a value (&, <, >)."""
+    c = (F.col(col) if isinstance(col, str) else col).cast("string")
+    for raw, esc in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(raw), F.lit(esc))
+    return c
+
+
+def xml_element(tag: str, fields) -> F.Column:
+    """``<tag><Field>value</Field>…</tag>`` from (xml name, column) pairs with
+    plain string expressions; NULL fields are omitted, '' is an empty element
+    (the same document ``to_xml`` writes, without a per-row XML writer)."""
+    parts = [F.when(col.isNotNull(), F.concat(F.lit(f"<{xml}>"), xml_text(col), F.lit(f"</{xml}>")))
+             for xml, col in fields]
+    return F.concat(F.lit(f"<{tag}>"), F.concat_ws("", *parts), F.lit(f"</{tag}>"))
+
+
 def _document(elements_sorted: F.Column, root: str) -> F.Column:
     return F.concat(F.lit(f'<{root} xmlns="{NAMESPACE}">'), F.array_join(elements_sorted, ""),
                     F.lit(f"</{root}>"))
@@ -147,8 +164,7 @@ def live_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(station_code, captured_at, payload): one board document per station poll."""
     rows = live_source_rows(spark, sf_dir)
-    elem = F.to_xml(F.struct(*[F.col(name).alias(xml) for xml, name, _ in LIVE_FIELDS]),
-                    {"rowTag": LIVE_ELEMENT, "indent": ""})
+    elem = xml_element(LIVE_ELEMENT, [(xml, F.col(name)) for xml, name, _ in LIVE_FIELDS])
     keyed = rows.select("station_code", "captured_at",
                         F.struct("trip_id", "sch_depart", "late_minutes", elem.alias("xml")).alias("e"))
     docs = keyed.groupBy("station_code", "captured_at").agg(F.collect_list("e").alias("es"))
@@ -181,8 +197,7 @@ def station_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def station_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(station_type, page, payload): catalogue pages of at most CATALOG_PAGE stations."""
     rows = station_source_rows(spark, sf_dir)
-    elem = F.to_xml(F.struct(*[F.col(name).alias(xml) for xml, name, _ in STATION_FIELDS]),
-                    {"rowTag": STATION_ELEMENT, "indent": ""})
+    elem = xml_element(STATION_ELEMENT, [(xml, F.col(name)) for xml, name, _ in STATION_FIELDS])
     keyed = rows.select("station_type", F.floor(F.col("station_id_long") / CATALOG_PAGE).alias("page"),
                         F.struct("station_id_long", elem.alias("xml")).alias("e"))
     docs = keyed.groupBy("station_type", "page").agg(F.collect_list("e").alias("es"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from railpulse.functions.constants import CONNOLLY
 from railpulse.session import checkpoint_root
 from railpulse.sources.bindings import polls
-from railpulse.sources.payloads import LIVE_ELEMENT, LIVE_FIELDS, LIVE_ROOT, _document
+from railpulse.sources.payloads import LIVE_ELEMENT, LIVE_FIELDS, LIVE_ROOT, _document, xml_element
 from railpulse.streaming.collect import land, start_change_stream
 
 SLICES = 4
@@ -27,9 +27,8 @@ def poll_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = polls(spark, sf_dir)
     present = {"train_code", "station_code", "train_date", "late_minutes", "sch_depart", "train_type",
                "origin", "destination", "direction"}
-    fields = [(F.col(name) if name in present else F.lit(None).cast("string" if t == "STRING" else "int"))
-              .alias(xml) for xml, name, t in LIVE_FIELDS]
-    elem = F.to_xml(F.struct(*fields), {"rowTag": LIVE_ELEMENT, "indent": ""})
+    elem = xml_element(LIVE_ELEMENT, [(xml, F.col(name) if name in present else F.lit(None).cast("string"))
+                                      for xml, name, _ in LIVE_FIELDS])
     keyed = p.select(F.col("station_code").alias("board_station"), F.col("captured_at").alias("polled_at"),
                      F.struct("poll_id", elem.alias("xml")).alias("e"))
     docs = keyed.groupBy("board_station", "polled_at").agg(F.collect_list("e").alias("es"))

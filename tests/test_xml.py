@@ -24,3 +24,16 @@ def test_edge_cases(spark):
     rows = _rows(spark, docs)
     got = [(r.doc, r.train_code, r.late_minutes, r.due_in) for r in rows]
     assert got == [(1, "E1", 3, 0), (2, "E2 & co", 0, 0), (2, "E3", -4, 12)]
+
+
+def test_render_round_trip(spark):
+    """Rendered elements parse back to the same values: escaping, '' vs NULL."""
+    from pyspark.sql import functions as F
+
+    from railpulse.sources.payloads import LIVE_ELEMENT, LIVE_ROOT, _document, xml_element
+    src = spark.createDataFrame([("A&B <x>", "", None, 7)], "code string, origin string, dest string, late int")
+    elem = xml_element(LIVE_ELEMENT, [("Traincode", F.col("code")), ("Origin", F.col("origin")),
+                                      ("Destination", F.col("dest")), ("Late", F.col("late"))])
+    doc = src.select(_document(F.array(elem), LIVE_ROOT).alias("payload"))
+    r = parse_live(doc).first()
+    assert (r.train_code, r.origin, r.destination, r.late_minutes, r.due_in) == ("A&B <x>", "", None, 7, 0)
