@@ -24,9 +24,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from railpulse.functions.constants import HEUSTON_CODE
 from railpulse.operators import dataops as D
 from railpulse.operators import metrics as M
-from railpulse.operators.live import route_live_rows
+from railpulse.operators.catalog import normalize_code
+from railpulse.operators.live import board_filter, route_live_rows
 from railpulse.session import checkpoint_root
 from railpulse.sources.payloads import parse_live
 from railpulse.sources.tables import ParquetStore
@@ -108,3 +110,26 @@ def start_change_stream(spark: SparkSession, landing: str, out_path: str, checkp
     return (changed.writeStream.format("parquet").option("path", out_path)
             .option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())
+
+
+def start_live_board(spark: SparkSession, landing: str, board_path: str, checkpoint: str,
+                     trigger: dict | None = None):
+    """O-T6 streaming form: the current board of every station.
+
+    A streaming aggregation keeps, per station, the newest poll document
+    (state: one row per station); each trigger rewrites the updated stations'
+    boards (parsed, bus and Heuston filters applied) with dynamic partition
+    overwrite, so the board table always holds the latest poll per station.
+    """
+    landed = read_landed_stream(spark, landing)
+    newest = landed.groupBy("board_station").agg(
+        F.max_by("payload", "polled_at").alias("payload"), F.max("polled_at").alias("polled_at"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = parse_live(batch).where(board_filter(normalize_code("board_station") == F.lit(HEUSTON_CODE)))
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("board_station").parquet(board_path))
+
+    return (newest.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "30 seconds"})).start())

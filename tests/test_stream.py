@@ -70,3 +70,26 @@ def test_collect_stream(spark):
     assert store.trips().join(store.snapshots(), "trip_id", "left_anti").count() == 0
     maintain(store, as_of)
     assert store.snapshots().count() == n1
+
+
+def test_live_board_stream(spark):
+    """The streaming board equals the batch board over the same documents."""
+    from railpulse.operators.live import live_board
+    from railpulse.sources.payloads import live_payloads
+    from railpulse.streaming.collect import start_live_board
+
+    root = f"{checkpoint_root(spark)}/test-board-{uuid.uuid4().hex}"
+    docs = live_payloads(spark, SMALL).withColumnRenamed("station_code", "board_station") \
+        .withColumnRenamed("captured_at", "polled_at")
+    cut = "1998-01-01 00:00:00"
+    land(docs.where(F.col("polled_at") < F.lit(cut).cast("timestamp_ntz")).coalesce(1), f"{root}/landing")
+    land(docs.where(F.col("polled_at") >= F.lit(cut).cast("timestamp_ntz")).coalesce(1), f"{root}/landing")
+    q = start_live_board(spark, f"{root}/landing", f"{root}/board", f"{root}/ckpt", trigger={"availableNow": True})
+    q.awaitTermination()
+    assert q.exception() is None
+    cols = ["board_station", "train_code", "station_code", "late_minutes", "due_in"]
+    got = spark.read.parquet(f"{root}/board").select(*cols)
+    want = live_board(docs.withColumnRenamed("board_station", "station_code")
+                      .withColumnRenamed("polled_at", "captured_at")).select(*cols)
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
