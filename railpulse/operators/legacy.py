@@ -106,9 +106,9 @@ def station_stats(data, window, min_delay=DELAYED_MIN, limit=LIMIT_STATIONS) ->
                     "_avg").orderBy(*order).drop("_avg")
 
 
-def hourly(data, window, late_gt=0) -> DataFrame:
+def hourly(data, window, late_gt=0, filt=NETWORK) -> DataFrame:
     # Snapshot grain; the record view only adds the inner join to trips.
-    rec = records(data, window, NETWORK)
+    rec = records(data, window, filt)
     late = F.col("late_minutes") > late_gt
     g = rec.groupBy(F.hour("captured_at").alias("hour")).agg(
         F.count(F.lit(1)).alias("total"),
@@ -123,9 +123,9 @@ TOP10_DIMS = ("station_full_name", "sch_depart", "sch_arrival")
 TOP10_TRIP = ("train_code", "train_date", "direction", "origin", "destination")
 
 
-def top10(data, window, min_delay=DELAYED_MIN, limit=LIMIT_TRIPS) -> DataFrame:
+def top10(data, window, min_delay=DELAYED_MIN, limit=LIMIT_TRIPS, filt=NETWORK) -> DataFrame:
     """Legacy largest delays: groups by 8 descriptive columns, no peak lookup."""
-    g = _groups(data, window, NETWORK, TOP10_DIMS, TOP10_TRIP).where(F.col("peak_delay") >= min_delay)
+    g = _groups(data, window, filt, TOP10_DIMS, TOP10_TRIP).where(F.col("peak_delay") >= min_delay)
     cols = ("train_code", "station_full_name", "train_date", "sch_depart", "sch_arrival", "direction",
             "origin", "destination")
     order = [F.col("peak_delay").desc()] + [F.col(c).asc() for c in cols]
@@ -133,8 +133,8 @@ def top10(data, window, min_delay=DELAYED_MIN, limit=LIMIT_TRIPS) -> DataFrame:
         *cols, F.col("peak_delay").cast("int"), "snapshot_count").orderBy(*order)
 
 
-def destinations(data, window, min_delay=DELAYED_MIN, limit=LIMIT_DESTINATIONS) -> DataFrame:
-    g = _groups(data, window, NETWORK, KEY_SNAPSHOT, KEY_TRIP + ("destination",)) \
+def destinations(data, window, min_delay=DELAYED_MIN, limit=LIMIT_DESTINATIONS, filt=NETWORK) -> DataFrame:
+    g = _groups(data, window, filt, KEY_SNAPSHOT, KEY_TRIP + ("destination",)) \
         .where(non_empty("destination"))
     delayed = F.col("peak_delay") >= min_delay
     r = g.groupBy("destination").agg(
