@@ -25,7 +25,8 @@ LIVE_ROOT = "ArrayOfObjStationData"
 LIVE_ELEMENT = "objStationData"
 STATION_ROOT = "ArrayOfObjStation"
 STATION_ELEMENT = "objStation"
-NAMESPACE = "http://api.irishrail.ie/realtime/"
+# Default namespace written on rendered documents; parsing ignores namespaces.
+NAMESPACE = "urn:railpulse:realtime"
 
 # XML element name -> canonical column.
 LIVE_FIELDS = (

@@ -2,7 +2,7 @@
 
 from railpulse.sources.payloads import parse_live
 
-NS = 'xmlns="http://api.irishrail.ie/realtime/"'
+NS = 'xmlns="http://example.org/realtime/"'
 
 
 def _rows(spark, docs):
