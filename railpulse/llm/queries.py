@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from railpulse.llm import warc
 from railpulse.llm.quality_rules import op5_quality_rules
 from railpulse.llm.secret_scan import op1_secret_scan
+from railpulse.llm.sharding import op6_sharding
+from railpulse.llm.toxicity import op8_toxicity
+from railpulse.llm.warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op5_quality_rules, op6_sharding, op8_toxicity, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": warc.ORACLE_SQL}
