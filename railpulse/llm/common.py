@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,12 +17,24 @@ from railpulse.session import ensure_checkpoint_dir
 BATCH_ROWS = 500
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, wherever it was started.
+    A cluster without that folder gets the package as ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small, unless the session names a size itself."""
+    workers_import(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not spark._jsparkSession.conf().contains(key):
         spark.conf.set(key, str(BATCH_ROWS))
