@@ -216,7 +216,8 @@ def read_archive(spark, root: str) -> DataFrame:
                     raise ValueError(f"{file} has {len(rows)} records, the manifest says {records}")
                 yield pa.RecordBatch.from_pylist([dict(zip(fields.names, r, strict=True)) for r in rows], schema=fields)
 
-    return files.select("file", "records").repartition("file").mapInArrow(
+    # a task for each file: manifest lines are too small for Spark to tell how much work they stand for
+    return files.select("file", "records").repartition(max(1, files.count())).mapInArrow(
         work, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
