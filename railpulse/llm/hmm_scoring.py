@@ -16,6 +16,7 @@ without training rows every count is 0.  Other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -63,23 +64,18 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
 
 
-class Classes:
-    """Word -> class; remembers a bounded number of words."""
+def numbers(found: dict[bytes, int], words: list[bytes], missing: int) -> np.ndarray:
+    """The words' values in a dictionary."""
+    return np.fromiter(map(found.get, words, itertools.repeat(missing)), np.int64, len(words))
 
-    def __init__(self, top: dict[bytes, int]):
-        self.top, self.seen = top, dict(top)
 
-    def of(self, words: list[bytes]) -> list[int]:
-        if len(self.seen) > COUNTER_WORDS:
-            self.seen = dict(self.top)
-        get = self.seen.get
-        out = [get(w) for w in words]
-        if None in out:
-            for i, c in enumerate(out):
-                if c is None:
-                    w = words[i]
-                    out[i] = self.seen[w] = 1 + TOP_WORDS + zlib.crc32(w) % HASHED
-        return out
+def classes_of(top: dict[bytes, int], words: list[bytes]) -> np.ndarray:
+    """Classes of words and of the end after them."""
+    out = numbers(top, words, -1)
+    rare = out < 0
+    hashed = np.fromiter(map(zlib.crc32, itertools.compress(words, rare.tolist())), np.int64, int(rare.sum()))
+    out[rare] = 1 + TOP_WORDS + hashed % HASHED
+    return np.append(out, 0)
 
 
 @dataclass
@@ -138,7 +134,6 @@ def baum_welch_counts(rows: DataFrame, model: Model) -> dict[tuple[int, int], np
 
     def run(batches):
         m = shared.value
-        known = Classes(m.top)
         total = [np.zeros((1, STATES)), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))]
 
         def add(flat: np.ndarray, ends: np.ndarray) -> None:
@@ -157,7 +152,7 @@ def baum_welch_counts(rows: DataFrame, model: Model) -> dict[tuple[int, int], np
         for batch in batches:
             flat, ends, n = [], [], 0
             for data in utf8(batch.column(0)):
-                flat.append(np.array([*known.of(words_of(data)), 0]))
+                flat.append(classes_of(m.top, words_of(data)))
                 n += len(flat[-1])
                 ends.append(n)
                 if n > 500_000:
@@ -283,7 +278,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def work(texts: pa.Table, known: pa.Table) -> pa.Table:
         m = shared.value
         at = dict(zip(known.column("word").cast(pa.binary()).to_pylist(), known.column("c").to_pylist(), strict=True))
-        lookup = Classes(m.top)
         base = -np.log10(m.tokens + 0.5 * (m.words + 1))
         cols: list[list] = [[], [], [], []]
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -302,7 +296,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         n = 0
         for data in utf8(texts.column("text")):
             words = words_of(data)
-            held.append((np.array([*lookup.of(words), 0]), np.array([*(at.get(w, 0) for w in words), m.ends], float)))
+            held.append((classes_of(m.top, words), np.append(numbers(at, words, 0), m.ends).astype(float)))
             n += len(words) + 1
             if n > 500_000:
                 flush()
