@@ -61,8 +61,6 @@ SERVICE_START_AFTER = "05:59:59"
 SERVICE_END_BEFORE = "00:31:00"
 # The change-detection state is cleared daily at this hour.
 DAILY_RESET_HOUR = 3
-# Poll period of the collector.
-POLL_SECONDS = 30
 
 # Row limits of the reports.
 LIMIT_STATIONS = 15

@@ -14,6 +14,7 @@ reference (SURVEY Q2):
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -36,7 +37,7 @@ def _as_date(value) -> dt.date | None:
     if isinstance(value, dt.date):
         return value
     text = str(value).strip()
-    if not text:
+    if not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", text):
         return None
     try:
         return dt.date.fromisoformat(text)
@@ -77,7 +78,8 @@ class TimeRange:
         as_of = as_of or dt.datetime.now()
         if period is not None and str(period).strip().lower() == "all":
             return cls.of_dates(None, None, as_of, open_end)
-        if from_date is None and to_date is None and default_today:
+        given = [d for d in (from_date, to_date) if d is not None and str(d).strip()]
+        if not given and default_today:
             today = as_of.date()
             return cls.of_dates(today, today, as_of, open_end)
         return cls.of_dates(from_date, to_date, as_of, open_end)

@@ -53,19 +53,9 @@ def resolve_scope(service_scope="service_scope", station_code="station_code",
     return F.coalesce(_c(service_scope), fallback)
 
 
-def scope_bucket(service_scope="service_scope", station_code="station_code") -> Column:
-    """Pre-join bucket of a snapshot, see module docstring."""
-    s = _c(service_scope)
-    return (F.when(s.isNull() & is_heuston_station(station_code), F.lit("H"))
-            .when(s.isNull(), F.lit("U"))
-            .when(s == F.lit(HEUSTON), F.lit("H"))
-            .when(s == F.lit(CONNOLLY), F.lit("C"))
-            .otherwise(F.lit("X")))
-
-
 def bucket_condition(bucket: str, service_scope="service_scope", station_code="station_code") -> Column:
-    """Plain boolean form of ``scope_bucket(...) == bucket`` (small predicates
-    stay inside generated code)."""
+    """Whether a snapshot is in a pre-join bucket, see module docstring (small
+    predicates stay inside generated code)."""
     sc = _c(service_scope)
     hston = is_heuston_station(station_code)
     if bucket == "H":
@@ -78,10 +68,11 @@ def bucket_condition(bucket: str, service_scope="service_scope", station_code="s
 
 
 def scope_from_code(code: str | None) -> str | None:
-    """HSTON/HEUSTON -> HEUSTON, CNLLY/CONNOLLY -> CONNOLLY, else None."""
+    """HSTON/HEUSTON -> HEUSTON, CNLLY/CONNOLLY -> CONNOLLY, else None; any
+    case, but no surrounding blanks."""
     if code is None:
         return None
-    c = code.strip().upper()
+    c = code.upper()
     if c in (HEUSTON_CODE, HEUSTON):
         return HEUSTON
     if c in (CONNOLLY_CODE, CONNOLLY):
@@ -98,13 +89,6 @@ def code_from_scope(scope: str | None) -> str:
     return "OVERVIEW"
 
 
-def scope_from_code_col(code) -> Column:
-    """Column form of :func:`scope_from_code` (NULL when unknown)."""
-    u = F.upper(_c(code))
-    return (F.when(u.isin(HEUSTON_CODE, HEUSTON), F.lit(HEUSTON))
-            .when(u.isin(CONNOLLY_CODE, CONNOLLY), F.lit(CONNOLLY)))
-
-
 @dataclass(frozen=True)
 class ScopeFilter:
     """Which snapshots a report reads.

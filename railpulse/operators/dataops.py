@@ -43,40 +43,32 @@ def service_day(ts="captured_at", reset_hour: int | None = DAILY_RESET_HOUR) ->
 def state_changes(rows: DataFrame, key=STATE_KEY, order=("captured_at", "poll_id"),
                   reset_hour: int | None = DAILY_RESET_HOUR) -> DataFrame:
     """Readings whose lateness differs from the previous reading of the key
-    within the same service day (the state map is cleared at ``reset_hour``).
+    within the same service day (the state map is cleared at ``reset_hour``;
+    with None the key has one epoch).
 
     The previous *emitted* value always equals the previous reading's value,
     so this is a ``lag`` comparison.  To keep every window partition bounded
-    even when one key carries a large share of all readings, the day is cut
-    into hourly chunks: one window pass over (key, day, chunk) gives each
-    reading its in-chunk predecessor and marks the chunk's last reading; the
-    first reading of a chunk compares against the last reading of the key's
-    preceding chunk, found by a second window over at most 24 chunk rows per
-    key and day.  No aggregate carries a struct buffer, so no sort-based
-    aggregation is needed.
+    even when one key carries a large share of all readings, time is cut into
+    clock hours: one window pass over (key, day, hour) gives each reading its
+    predecessor in the hour.  The first reading of an hour compares against
+    the last of the key's preceding hour, found by a second window over the
+    first and last readings of the hours only.  Both branches read the same
+    shuffled rows, which Spark exchanges once.
     """
     key = [k for k in key if k in rows.columns]
     day = service_day("captured_at", reset_hour).alias("_day")
-    shift = reset_hour or 0
-    chunk = F.pmod(F.hour("captured_at") - F.lit(shift), F.lit(24)).alias("_chunk")
     part = [*key, "_day"]
-    w = Window.partitionBy(*part, "_chunk").orderBy(*[F.col(o) for o in order])
-    r = rows.select("*", day, chunk).select(
-        "*", F.lag("late_minutes").over(w).alias("_prev"),
-        F.lead(F.lit(1)).over(w).isNull().alias("_last"))
-
-    last = r.where(F.col("_last")).select(*part, "_chunk", F.col("late_minutes").alias("_chunk_late"))
-    w_chunk = Window.partitionBy(*part).orderBy("_chunk")
-    prev_chunk = last.select(*part, "_chunk", F.lag("_chunk_late").over(w_chunk).alias("_prev_chunk_late"))
-
-    inner = r.where(F.col("_prev").isNotNull())
-    firsts = r.where(F.col("_prev").isNull())
-    cond = _null_safe_on(firsts, prev_chunk, [*part, "_chunk"])
-    firsts = firsts.join(prev_chunk, cond, "left").select(
-        firsts["*"], prev_chunk["_prev_chunk_late"]) \
-        .withColumn("_prev", F.col("_prev_chunk_late")).drop("_prev_chunk_late")
+    by = [F.col(o) for o in order]
+    hour = Window.partitionBy(*part, "_chunk").orderBy(*by)
+    r = rows.select("*", day, F.date_trunc("hour", "captured_at").alias("_chunk")).select(
+        "*", F.lag("late_minutes").over(hour).alias("_prev"),
+        (F.row_number().over(hour) == 1).alias("_first"), F.lead(F.lit(1)).over(hour).isNull().alias("_last"))
+    inner = r.where(~F.col("_first"))
+    edges = r.where(F.col("_first") | F.col("_last"))
+    epoch = Window.partitionBy(*part).orderBy("_chunk", *by)
+    firsts = edges.withColumn("_prev", F.lag("late_minutes").over(epoch)).where(F.col("_first"))
     out = inner.unionByName(firsts).where(~F.col("_prev").eqNullSafe(F.col("late_minutes")))
-    return out.drop("_day", "_chunk", "_prev", "_last")
+    return out.drop("_day", "_chunk", "_prev", "_first", "_last")
 
 
 # ---------------------------------------------------------------------------
@@ -117,11 +109,11 @@ def upsert_trips(existing: DataFrame, rows: DataFrame, key=TRIP_KEY) -> DataFram
 
 def orphan_trips(trips: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Trips with no snapshot (NOT IN over a non-null key == anti join)."""
-    return trips.join(snapshots.select("trip_id"), "trip_id", "left_anti")
+    return trips.join(snapshots.select("trip_id").distinct(), "trip_id", "left_anti")
 
 
 def live_trips(trips: DataFrame, snapshots: DataFrame) -> DataFrame:
-    return trips.join(snapshots.select("trip_id"), "trip_id", "left_semi")
+    return trips.join(snapshots.select("trip_id").distinct(), "trip_id", "left_semi")
 
 
 def retention_cutoff(as_of: dt.datetime, days: int = RETENTION_DAYS) -> dt.datetime:

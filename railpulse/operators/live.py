@@ -28,9 +28,8 @@ def latest_payloads(payloads: DataFrame) -> DataFrame:
     """The newest board document per station.
 
     The newest poll instant per station is a hash aggregate over two
-    fixed-size columns; a left-semi join then keeps only those documents
-    (Catalyst pushes it below any aggregate that builds the documents, so
-    older boards are never rendered or parsed).
+    fixed-size columns; a left-semi join then keeps only those documents, so
+    older boards are not parsed.
     """
     newest = payloads.groupBy("station_code").agg(F.max("captured_at").alias("captured_at"))
     return payloads.join(newest, ["station_code", "captured_at"], "left_semi") \
@@ -40,8 +39,12 @@ def latest_payloads(payloads: DataFrame) -> DataFrame:
 def live_board(payloads: DataFrame) -> DataFrame:
     """O-T6: current rows of every station's board after the board filters;
     Heuston trains are included automatically at HSTON."""
-    latest = latest_payloads(payloads).withColumnRenamed("station_code", "board_station")
-    rows = parse_live(latest)
+    return board_rows(latest_payloads(payloads))
+
+
+def board_rows(latest: DataFrame) -> DataFrame:
+    """Rows of boards of which there is one document per station."""
+    rows = parse_live(latest.withColumnRenamed("station_code", "board_station"))
     at_heuston = normalize_code("board_station") == F.lit(HEUSTON_CODE)
     return rows.where(board_filter(at_heuston))
 
@@ -73,6 +76,14 @@ def route_live_rows(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     return j.where(keep).drop("_code")
 
 
+def scope_rows(rows: DataFrame, scope: str) -> DataFrame:
+    """O-P9/O-P10 for a collector of one scope: the rows that scope stores."""
+    related = heuston_trip()
+    at_hston = normalize_code("board_station") == F.lit(HEUSTON_CODE)
+    keep = (related | at_hston) if scope == HEUSTON else ~related
+    return rows.where(not_bus() & keep).withColumn("service_scope", F.lit(scope))
+
+
 def live_scalars(rows: DataFrame) -> DataFrame:
     """Per-row derived values of a live row."""
     return rows.select(

@@ -6,9 +6,8 @@ with endpoints mapped NULL/'' -> 'Unknown'.  A trip counts once per grain row
 more than once (SURVEY Q4), exactly as the reference's ranking does.
 
 Storage: Parquet partitioned by ``service_date``.  A full rebuild overwrites
-all partitions; a per-date refresh overwrites only the touched partitions
-(dynamic partition overwrite) and writes an empty marker-free partition
-removal for dates that no longer have rows.
+all partitions; a per-date refresh replaces only the touched partitions and
+removes those of dates that no longer have rows.
 """
 
 from __future__ import annotations
@@ -19,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railpulse.functions.constants import (
-    ALL_SCOPES, CATEGORIES, DELAYED_MIN, LIMIT_STATIONS, MAX_STAT_DELAY,
+    ALL_SCOPES, CATEGORIES, DELAYED_MIN, MAX_STAT_DELAY,
 )
 from railpulse.functions.expr import count_if, delay_probability, endpoint_or_unknown, round1, safe_ratio, sum_if
 from railpulse.functions.ranges import TimeRange
 from railpulse.functions.scope import ScopeFilter, heuston_trip, is_heuston_station
 from railpulse.operators.peaks import PeakSpec, filtered_snapshots
+from railpulse.sources import folders
 from railpulse.sources.tables import RailData
 
 METRIC_COLUMNS = (
@@ -134,38 +134,39 @@ def rebuild_metrics(data: RailData, path: str) -> None:
 def refresh_dates(data: RailData, path: str, dates) -> None:
     """O-S8: recompute the given service dates and replace only their partitions.
 
-    One Spark job computes all touched dates into a staging folder under the
-    shared checkpoint directory; each date's partition is then swapped in by
-    a directory move.  A date with no remaining snapshots loses its partition
-    (dynamic overwrite alone would leave the stale one in place).
+    One Spark job computes all touched dates into a staging folder beside the
+    table, reading only those dates' partitions; then the dates' folders are
+    swapped, the old ones being kept until the new ones are in place.  A date
+    with no remaining snapshots loses its partition.
     """
-    import uuid
-
-    from railpulse.session import checkpoint_root
-
     spark = data.spark
     dates = sorted({d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)) for d in dates})
     if not dates:
         return
     window = TimeRange(dt.datetime.combine(dates[0], dt.time()),
                        dt.datetime.combine(dates[-1] + dt.timedelta(days=1), dt.time()))
-    fresh = build_daily_metrics(data, window).where(
-        F.col("service_date").isin([d.isoformat() for d in dates]))
-    staging = f"{checkpoint_root(spark)}/metrics-staging-{uuid.uuid4().hex}"
-    fresh.write.partitionBy("service_date").parquet(staging)
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    for d in dates:
-        part = f"service_date={d.isoformat()}"
-        src = jvm.org.apache.hadoop.fs.Path(f"{staging}/{part}")
-        dst = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
-        fs = dst.getFileSystem(conf)
-        if fs.exists(dst):
-            fs.delete(dst, True)
-        if fs.exists(src):
-            if not fs.exists(dst.getParent()):
-                fs.mkdirs(dst.getParent())
-            fs.rename(src, dst)
+    fresh = build_daily_metrics(_OnDates(data, dates), window)
+    staged = folders.staging(path)
+    fresh.write.partitionBy("service_date").parquet(staged)
+    parts = [f"service_date={d.isoformat()}" for d in dates]
+    made = folders.children(spark, staged, "service_date=")
+    folders.replace(spark, path, parts, {p: f"{staged}/{p}" for p in made})
+    folders.delete(spark, staged)
+
+
+class _OnDates(RailData):
+    """The rows of given service dates only (a store prunes all other partitions)."""
+
+    def __init__(self, base: RailData, dates: list[dt.date]):
+        self.base, self.dates, self.spark = base, [d.isoformat() for d in dates], base.spark
+
+    def snapshots(self, window: TimeRange | None = None) -> DataFrame:
+        df = self.base.snapshots(window)
+        on = F.col("service_date") if "service_date" in df.columns else F.to_date("captured_at")
+        return df.where(on.cast("date").isin([F.lit(d).cast("date") for d in self.dates]))
+
+    def trips(self) -> DataFrame:
+        return self.base.trips()
 
 
 def drop_partitions_before(spark, path: str, column: str, cutoff: dt.date) -> int:
@@ -223,5 +224,3 @@ def station_ranking(metrics: DataFrame, window: TimeRange, filt: ScopeFilter = S
         delay_probability("delayed_trips", "total_trips").alias("delay_probability"),
         "total_delay_minutes", "_ratio").orderBy(*order).drop("_ratio")
 
-
-DEFAULT_RANK_LIMIT = LIMIT_STATIONS

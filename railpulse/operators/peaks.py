@@ -53,24 +53,11 @@ class PeakSpec:
     trip_cols: tuple[str, ...] = ()  # trip columns to carry (trip-functional)
     trip_exprs: tuple = ()          # (name, Column over trip columns)
     first_seen: bool = False
-    peak_row: bool = False
-    last_row_min: int | None = None  # carry the latest row with late >= this
     min_late: int | None = None      # extra snapshot filter late >= this
     extra_max: tuple = ()            # (name, Column) extra max() aggregates
     need_join: bool = False          # force the trip join (inner-join semantics)
 
 
-def _peak_struct() -> Column:
-    return F.struct((-F.col("late_minutes")).alias("neg_late"),
-                    *[F.col(c).alias(c) for c in PEAK_ROW_FIELDS])
-
-
-def _last_struct() -> Column:
-    # max(struct) picks the latest captured_at; ties broken by the remaining
-    # fields so the pick is deterministic.
-    return F.struct(*[F.col(c).alias(c) for c in LAST_ROW_FIELDS])
-
-
 def _base_aggs(spec: PeakSpec, cond: Column | None, sfx: str) -> list[Column]:
     def w(v):
         return v if cond is None else F.when(cond, v)
@@ -80,12 +67,6 @@ def _base_aggs(spec: PeakSpec, cond: Column | None, sfx: str) -> list[Column]:
     ]
     if spec.first_seen:
         aggs.append(F.min(w(F.col("captured_at"))).alias(f"f{sfx}"))
-    if spec.peak_row:
-        aggs.append(F.min(w(_peak_struct())).alias(f"r{sfx}"))
-    if spec.last_row_min is not None:
-        keep = F.col("late_minutes") >= spec.last_row_min
-        c2 = keep if cond is None else (cond & keep)
-        aggs.append(F.max(F.when(c2, _last_struct())).alias(f"l{sfx}"))
     for name, col in spec.extra_max:
         aggs.append(F.max(w(col)).alias(f"{name}{sfx}"))
     return aggs
@@ -146,10 +127,6 @@ def trip_peaks(data: RailData, spec: PeakSpec) -> DataFrame:
         out.append(_combine(pick("p"), "max").alias("peak_delay"))
         if spec.first_seen:
             out.append(_combine(pick("f"), "min").alias("first_seen"))
-        if spec.peak_row:
-            out.append(_combine(pick("r"), "min").alias("peak_row"))
-        if spec.last_row_min is not None:
-            out.append(_combine(pick("l"), "max").alias("last_row"))
         for name, _ in spec.extra_max:
             out.append(_combine(pick(name), "max").alias(name))
         res = j.select(*out)
@@ -157,8 +134,7 @@ def trip_peaks(data: RailData, spec: PeakSpec) -> DataFrame:
 
     aggs = [a for a in _base_aggs(spec, None, "")]
     pre = s.groupBy(*keys).agg(*aggs)
-    renames = {"n": "snapshot_count", "p": "peak_delay", "f": "first_seen", "r": "peak_row",
-               "l": "last_row"}
+    renames = {"n": "snapshot_count", "p": "peak_delay", "f": "first_seen"}
     pre = pre.select(*keys, *[F.col(c).alias(renames.get(c, c)) for c in pre.columns if c not in keys])
     pre = pre.withColumn("snapshot_count", F.col("snapshot_count").cast("long"))
     if spec.trip_cols or spec.trip_exprs or spec.need_join:
@@ -166,9 +142,3 @@ def trip_peaks(data: RailData, spec: PeakSpec) -> DataFrame:
                                     *[c.alias(n) for n, c in spec.trip_exprs])
         pre = pre.join(trips, "trip_id", "inner")
     return pre
-
-
-def flatten_row(df: DataFrame, struct_col: str, fields, prefix: str = "") -> DataFrame:
-    """Expand a picked row struct into top-level columns."""
-    cols = [c for c in df.columns if c != struct_col]
-    return df.select(*cols, *[F.col(f"{struct_col}.{f}").alias(prefix + f) for f in fields])

@@ -134,7 +134,7 @@ def _scoped_sums(data: RailData, spec: PeakSpec, dims, measures) -> DataFrame:
 
 def hourly(data: RailData, window: TimeRange, filt: ScopeFilter = SCOPED, cap="auto",
            late_gt: int = 0) -> DataFrame:
-    """Per hour of capture: snapshots, snapshots late > late_gt, their mean.
+    """Per hour of capture, by hour: snapshots, snapshots late > late_gt, their mean.
 
     Hours with no snapshots are absent (no zero fill), as in the reference.
     """
@@ -152,7 +152,7 @@ def hourly(data: RailData, window: TimeRange, filt: ScopeFilter = SCOPED, cap="a
         F.col("delayed").cast("long").alias("delayed"),
         round1(safe_ratio("late_sum", "delayed")).alias("avg_delay"),
         delay_probability("delayed", "total").alias("delay_probability"),
-    )
+    ).orderBy("hour")
 
 
 # ---------------------------------------------------------------------------

@@ -1,17 +1,15 @@
 """Composite views: the analytics overview bundle (O-B1), the station page
 (O-B2), its JSON document (O-S14) and the summary shapes (O-A21).
 
-``overview`` returns a dict of lazy DataFrames.  The windowed snapshot scan and
-the trip dimension are persisted once for the bundle (the reference caches the
-whole response instead).  ``overview_document`` folds the parts into a single
-row of ordered arrays; every part is bounded (fixed limits, 24 hours, one row
+``overview`` returns a dict of lazy DataFrames; nothing is cached.
+``overview_document`` folds the parts into a single row of arrays in the
+reports' own order; every part is bounded (fixed limits, 24 hours, one row
 per station), so collecting each into an array is bounded too.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railpulse.functions.constants import DELAYED_MIN, LIMIT_STATIONS, MAX_STAT_DELAY
@@ -24,32 +22,6 @@ from railpulse.operators.live import board_counts, live_board
 from railpulse.sources.tables import RailData
 
 
-class CachedData(RailData):
-    """Persists each requested snapshot window and the trips once."""
-
-    def __init__(self, base: RailData):
-        self.base = base
-        self.spark = base.spark
-        self._snap: dict = {}
-        self._trips = None
-
-    def snapshots(self, window: TimeRange | None = None) -> DataFrame:
-        if window not in self._snap:
-            self._snap[window] = self.base.snapshots(window).persist(StorageLevel.MEMORY_AND_DISK)
-        return self._snap[window]
-
-    def trips(self) -> DataFrame:
-        if self._trips is None:
-            self._trips = self.base.trips().persist(StorageLevel.MEMORY_AND_DISK)
-        return self._trips
-
-    def release(self) -> None:
-        for df in self._snap.values():
-            df.unpersist()
-        if self._trips is not None:
-            self._trips.unpersist()
-
-
 def overview(data: RailData, window: TimeRange, station_code: str | None = None,
              metrics: DataFrame | None = None, rank_limit: int | None = None,
              with_routes: bool = True) -> dict[str, DataFrame]:
@@ -82,9 +54,11 @@ def station_page(data: RailData, payloads: DataFrame, station_code: str, window:
     return parts
 
 
-def _ordered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
+def _ordered(df: DataFrame, name: str) -> DataFrame:
+    """The rows of an ordered report as one array, in that order."""
     payload = F.struct(*[F.col(c) for c in df.columns])
-    e = F.struct(F.struct(*keys).alias("k"), payload.alias("v"))
+    # Increases along the sorted partitions, so it carries the report's order into the array.
+    e = F.struct(F.monotonically_increasing_id().alias("k"), payload.alias("v"))
     return df.select(e.alias("e")).agg(F.array_sort(F.collect_list("e")).alias("a")) \
         .select(F.transform("a", lambda x: x["v"]).alias(name), F.lit(1).alias("_k"))
 
@@ -93,22 +67,12 @@ def overview_document(parts: dict[str, DataFrame]) -> DataFrame:
     """One row: every part as an ordered array, the chart arrays, the category
     map and counters, and the whole document as JSON."""
     d = parts["dashboard"].withColumn("_k", F.lit(1))
-    sr = parts["stationRank"]
-    frames = [
-        d.select(F.struct(*[c for c in d.columns if c != "_k"]).alias("dashboard"), "_k"),
-        _ordered(sr, [-F.col("delayed_trips"),
-                      -(F.col("total_delay_minutes") / F.greatest(F.col("delayed_trips"), F.lit(1))),
-                      F.col("station_code")], "stationRank"),
-        _ordered(parts["hourly"], [F.col("hour")], "hourly"),
-        _ordered(parts["top10Delays"], [-F.col("peak_delay"), F.col("train_code")], "top10Delays"),
-        _ordered(parts["recentDelays"], [-F.unix_micros(F.col("captured_at").cast("timestamp"))],
-                 "recentDelays"),
-        _ordered(parts["destinations"], [-F.col("average_delay"), F.col("destination")], "destinations"),
-        _ordered(parts["categories"], [F.col("ordinal")], "categories"),
-    ]
+    frames = [d.select(F.struct(*[c for c in d.columns if c != "_k"]).alias("dashboard"), "_k")]
+    for name in ("stationRank", "hourly", "top10Delays", "recentDelays", "destinations"):
+        frames.append(_ordered(parts[name], name))
+    frames.append(_ordered(parts["categories"].orderBy("ordinal"), "categories"))
     if "routeRanking" in parts:
-        frames.append(_ordered(parts["routeRanking"], [-F.col("total_delay_minutes"), F.col("origin"),
-                                                      F.col("destination")], "routeRanking"))
+        frames.append(_ordered(parts["routeRanking"], "routeRanking"))
     doc = frames[0]
     for f in frames[1:]:
         doc = doc.join(f, "_k")   # single-row frames joined on a constant key

@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from railpulse.functions.ranges import TimeRange, ntz_literal
 from railpulse.sources.tables import RailData
 
-TPCH_TABLES = ("lineitem", "orders", "customer", "nation", "supplier", "events")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -91,6 +91,12 @@ def parse_live(df: DataFrame, payload: str = "payload") -> DataFrame:
     return rows.select(*keep, "position", *cols)
 
 
+def malformed(df: DataFrame, schema: str = LIVE_SCHEMA, payload: str = "payload") -> DataFrame:
+    """The documents that are not well-formed XML of the schema (a null payload too); they give no rows."""
+    doc = F.from_xml(F.col(payload), f"{schema}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
+    return df.where(F.col(payload).isNull() | doc["_corrupt"].isNotNull())
+
+
 def parse_stations(df: DataFrame, payload: str = "payload") -> DataFrame:
     keep = [c for c in df.columns if c != payload]
     parsed = df.select(*keep, F.from_xml(F.col(payload), STATION_SCHEMA).alias("_doc"))
@@ -137,10 +143,15 @@ def live_train_type(priority) -> F.Column:
             .otherwise(F.lit("DART")))
 
 
-def live_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The live rows binding C publishes: binding A snapshots with trip columns."""
+def live_source_rows(spark: SparkSession, sf_dir: str, newest: bool = False) -> DataFrame:
+    """The live rows binding C publishes: binding A snapshots with trip columns;
+    with ``newest`` only those of each station's newest poll, found on the
+    snapshot columns before any trip is looked up."""
     a = TpchBinding(spark, sf_dir)
     s = a.snapshots()
+    if newest:
+        last = s.groupBy("station_code").agg(F.max("captured_at").alias("captured_at"))
+        s = s.join(last, ["station_code", "captured_at"], "left_semi")
     t = a.trips()
     j = s.join(t, "trip_id")
     return j.select(
@@ -162,9 +173,10 @@ def live_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def live_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(station_code, captured_at, payload): one board document per station poll."""
-    rows = live_source_rows(spark, sf_dir)
+def live_payloads(spark: SparkSession, sf_dir: str, newest: bool = False) -> DataFrame:
+    """(station_code, captured_at, payload): one board document per station poll,
+    or with ``newest`` only each station's newest."""
+    rows = live_source_rows(spark, sf_dir, newest)
     elem = xml_element(LIVE_ELEMENT, [(xml, F.col(name)) for xml, name, _ in LIVE_FIELDS])
     keyed = rows.select("station_code", "captured_at",
                         F.struct("trip_id", "sch_depart", "late_minutes", elem.alias("xml")).alias("e"))

@@ -21,13 +21,12 @@ service_date date, resolved_scope string).
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from railpulse.functions.ranges import TimeRange
+from railpulse.sources import folders
 
 TRIP_SCHEMA = T.StructType([
     T.StructField("trip_id", T.LongType(), False),
@@ -87,10 +86,6 @@ class RailData:
     def trips(self) -> DataFrame:  # pragma: no cover
         raise NotImplementedError
 
-    # Columns that identify a snapshot row when breaking ties.
-    snapshot_tiebreak: tuple[str, ...] = ("captured_at", "station_code", "station_full_name",
-                                          "sch_depart", "sch_arrival", "late_minutes")
-
 
 class ParquetStore(RailData):
     """Snapshots under ``<root>/snapshots`` partitioned by ``service_date``;
@@ -113,13 +108,10 @@ class ParquetStore(RailData):
         return f"{self.root}/metrics"
 
     def _read(self, path: str, schema: T.StructType | None = None) -> DataFrame:
-        reader = self.spark.read
-        try:
-            return reader.parquet(path)
-        except Exception:  # noqa: BLE001 - a table that was never written is empty
-            if schema is None:
-                raise
+        # A table that was never written, or has lost its last partition, is empty; every other error is one.
+        if schema is not None and not folders.has_data(self.spark, path):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.parquet(path)
 
     def snapshots(self, window: TimeRange | None = None) -> DataFrame:
         part = T.StructType(SNAPSHOT_SCHEMA.fields + [T.StructField("service_date", T.DateType())])
@@ -151,7 +143,3 @@ class FrameData(RailData):
 
     def trips(self) -> DataFrame:
         return self._t
-
-
-def date_lit(d: dt.date):
-    return F.lit(d.isoformat()).cast("date")

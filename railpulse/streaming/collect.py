@@ -10,6 +10,10 @@ Landing format: JSON lines ``{board_station, polled_at, payload}`` – one
 board document per station poll, ``polled_at`` being the poll instant that
 becomes ``captured_at`` of every row in it.
 
+Polls outside the service hours are not collected, and road services and the
+other scope's trains are dropped in every mode.  Documents that are not
+well-formed go to ``<root>/rejects``.
+
 Exactly-once on replay: every write of batch ``N`` goes to partitions tagged
 ``batch_id=N`` with dynamic partition overwrite, so re-running a batch after a
 failure replaces its own output instead of duplicating it; the trip upsert is
@@ -28,11 +32,11 @@ from railpulse.functions.constants import HEUSTON_CODE
 from railpulse.operators import dataops as D
 from railpulse.operators import metrics as M
 from railpulse.operators.catalog import normalize_code
-from railpulse.operators.live import board_filter, route_live_rows
+from railpulse.operators.live import board_filter, route_live_rows, scope_rows
 from railpulse.session import checkpoint_root
-from railpulse.sources.payloads import parse_live
+from railpulse.sources.payloads import malformed, parse_live
 from railpulse.sources.tables import ParquetStore
-from railpulse.streaming.state import change_filter
+from railpulse.streaming.state import change_filter, only_batches_with_data
 
 LANDED_SCHEMA = "board_station STRING, polled_at TIMESTAMP_NTZ, payload STRING"
 # Poll instants keep their microseconds in the landed JSON.
@@ -54,19 +58,36 @@ def read_landed_stream(spark: SparkSession, path: str, max_files: int | None = N
     return reader.json(path)
 
 
-def live_rows(landed: DataFrame, catalog: DataFrame | None = None, scope: str | None = None) -> DataFrame:
-    """Parse documents, stamp the poll instant, route to scopes."""
+def live_rows(landed: DataFrame, catalog: DataFrame | None = None, scope: str | None = None,
+              rules: bool = True) -> DataFrame:
+    """Parse documents, stamp the poll instant, route to scopes.
+
+    ``rules`` applies the service hours and the scope's filters; without them
+    every row is only stamped with ``scope``.
+    """
+    if rules:
+        landed = landed.where(D.in_service_hours("polled_at"))
     rows = parse_live(landed).withColumn("captured_at", F.col("polled_at")) \
         .withColumn("_seq", F.col("position"))
     if catalog is not None:
         rows = route_live_rows(rows, catalog)
+    elif rules:
+        rows = scope_rows(rows, scope)
     else:
         rows = rows.withColumn("service_scope", F.lit(scope))
     return rows
 
 
 def write_batch(store: ParquetStore, batch: DataFrame, batch_id: int) -> None:
-    batch = batch.withColumn("poll_id", F.col("_seq").cast("long"))
+    # Read by several actions: without this, each would parse and run the state function again.
+    batch = batch.withColumn("poll_id", F.col("_seq").cast("long")).persist()
+    try:
+        _write_batch(store, batch, batch_id)
+    finally:
+        batch.unpersist()
+
+
+def _write_batch(store: ParquetStore, batch: DataFrame, batch_id: int) -> None:
     # 1. trips first seen in this batch; lookup restricted to the batch's keys.
     cand = D.first_write_trips(batch).withColumn("trip_id", D.trip_id_expr())
     existing = store.trips().select("trip_id", "train_date")
@@ -100,16 +121,26 @@ def start_collect(spark: SparkSession, landing: str, store_root: str, checkpoint
     writer = changed.writeStream.foreachBatch(lambda df, bid: write_batch(store, df, bid)) \
         .option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"processingTime": "30 seconds"}))
-    return writer.start()
+    with only_batches_with_data(spark):
+        return writer.start()
+
+
+def start_rejects(spark: SparkSession, landing: str, store_root: str, checkpoint: str,
+                  trigger: dict | None = None):
+    """Append documents that cannot be parsed to ``<root>/rejects``."""
+    return (malformed(read_landed_stream(spark, landing)).writeStream.format("parquet")
+            .option("path", f"{store_root.rstrip('/')}/rejects").option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(**(trigger or {"processingTime": "30 seconds"})).start())
 
 
 def start_change_stream(spark: SparkSession, landing: str, out_path: str, checkpoint: str,
                         scope: str | None = None, max_files: int | None = None):
     """Only the change filter, appending emitted rows to Parquet."""
-    changed = change_filter(live_rows(read_landed_stream(spark, landing, max_files), None, scope))
-    return (changed.writeStream.format("parquet").option("path", out_path)
-            .option("checkpointLocation", checkpoint).outputMode("append")
-            .trigger(availableNow=True).start())
+    changed = change_filter(live_rows(read_landed_stream(spark, landing, max_files), None, scope, rules=False))
+    with only_batches_with_data(spark):
+        return (changed.writeStream.format("parquet").option("path", out_path)
+                .option("checkpointLocation", checkpoint).outputMode("append")
+                .trigger(availableNow=True).start())
 
 
 def start_live_board(spark: SparkSession, landing: str, board_path: str, checkpoint: str,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from railpulse.functions.constants import CONNOLLY
 from railpulse.session import checkpoint_root
+from railpulse.sources import folders
 from railpulse.sources.bindings import polls
 from railpulse.sources.payloads import LIVE_ELEMENT, LIVE_FIELDS, LIVE_ROOT, _document, xml_element
 from railpulse.streaming.collect import land, start_change_stream
@@ -37,21 +38,27 @@ def poll_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Land binding-B poll documents in time slices, run the change stream to
-    completion (availableNow), return the emitted rows."""
+    """Land binding-B poll documents in time slices, run the change stream over
+    each (availableNow, one checkpoint), return the emitted rows.
+
+    A stream has to run before there is a result to read, so this starts it;
+    the documents are rendered once, and only the emitted rows stay on disk.
+    """
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    micros = F.unix_micros(F.col("polled_at").cast("timestamp"))
     docs = poll_documents(spark, sf_dir)
-    bounds = docs.agg(F.min("polled_at").alias("lo"), F.max("polled_at").alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    step = (hi - lo) / SLICES
+    # Slices are equal spans of the polls' own time.
+    lo, hi = polls(spark, sf_dir).agg(F.min(F.unix_micros(F.col("captured_at").cast("timestamp"))),
+                                      F.max(F.unix_micros(F.col("captured_at").cast("timestamp")))).first()
+    lo, hi = lo or 0, hi or 0
+    step = (hi - lo) // SLICES + 1
+    docs.withColumn("slice", F.floor((micros - F.lit(lo)) / F.lit(step)).cast("int")) \
+        .write.partitionBy("slice").parquet(f"{root}/rendered")
+    rendered = spark.read.parquet(f"{root}/rendered")
     for i in range(SLICES):
-        a = lo + step * i
-        cond = F.col("polled_at") >= F.lit(a.isoformat(sep=" ")).cast("timestamp_ntz")
-        if i < SLICES - 1:
-            cond = cond & (F.col("polled_at") < F.lit((a + step).isoformat(sep=" ")).cast("timestamp_ntz"))
-        land(docs.where(cond).coalesce(1), f"{root}/landing")
-    q = start_change_stream(spark, f"{root}/landing", f"{root}/out", f"{root}/ckpt", scope=CONNOLLY,
-                            max_files=1)
-    q.awaitTermination()
+        land(rendered.where(F.col("slice") == i), f"{root}/landing")
+        start_change_stream(spark, f"{root}/landing", f"{root}/out", f"{root}/ckpt", scope=CONNOLLY).awaitTermination()
+    for part in ("rendered", "landing", "ckpt"):
+        folders.delete(spark, f"{root}/{part}")
     return spark.read.parquet(f"{root}/out").select(
         "train_code", "station_code", "train_date", "late_minutes", "captured_at")

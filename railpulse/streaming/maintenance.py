@@ -1,17 +1,19 @@
-"""Nightly maintenance (O-T5): snapshot and metrics retention, orphan trips.
+"""Nightly maintenance (O-T5): snapshot and metrics retention, orphan trips,
+compaction of the collector's small batch folders.
 
 Idempotent and partition-scoped: whole ``service_date`` partitions older than
 the cutoff date are dropped; only the cutoff day itself is rewritten (rows
-before the cutoff instant removed) through a staging folder.  Metrics keep
-the cutoff day's partition as computed before (SURVEY Q17).  Orphan trips are
-removed by writing the live trips (left-semi join) to a fresh folder and
-swapping it in.
+before the cutoff instant removed).  Metrics keep the cutoff day's partition as
+computed before (SURVEY Q17).  The batch folders of closed days, and those of
+trips, are folded into one (``batch_id`` = ``COMPACTED``); orphan trips are left
+out of it.  The newest batch, which the collector may replay, keeps its folder,
+and folders that appear meanwhile are not touched.  New data is staged beside
+the old, which goes only when the new is in place.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,52 +21,82 @@ from railpulse.functions.constants import RETENTION_DAYS
 from railpulse.functions.ranges import ntz_literal
 from railpulse.operators import dataops as D
 from railpulse.operators.metrics import drop_partitions_before
-from railpulse.session import checkpoint_root
+from railpulse.sources import folders
 from railpulse.sources.tables import ParquetStore
 
+COMPACTED = -1  # batch id of folded batches; a stream's own ids start at 0
 
-def _fs(spark, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
+def _batch(name: str) -> int:
+    return int(name.split("=", 1)[1])
 
-def _replace_dir(spark, src: str, dst: str) -> None:
-    sp, fs = _fs(spark, src)
-    dp, _ = _fs(spark, dst)
-    if fs.exists(dp):
-        fs.delete(dp, True)
-    parent = dp.getParent()
-    if not fs.exists(parent):
-        fs.mkdirs(parent)
-    fs.rename(sp, dp)
+
+def _newest_batch(store: ParquetStore) -> int:
+    """The last batch that left trips or snapshots; it alone can be replayed."""
+    spark = store.spark
+    names = folders.children(spark, store.trips_path, "batch_id=")
+    days = folders.children(spark, store.snapshots_path, "service_date=")
+    for day in days:
+        names += folders.children(spark, f"{store.snapshots_path}/{day}", "batch_id=")
+    return max(map(_batch, names), default=COMPACTED)
+
+
+def _rewrite(store: ParquetStore, parent: str, old: list[str], rows, name: str = f"batch_id={COMPACTED}") -> None:
+    """Put ``rows`` into the folder ``name`` of ``parent`` in place of the folders ``old``."""
+    spark = store.spark
+    staged = folders.staging(parent)
+    rows.write.parquet(staged)
+    empty = not folders.has_data(spark, staged) or spark.read.parquet(staged).isEmpty()
+    folders.replace(spark, parent, old, {} if empty else {name: staged})
+    if empty:
+        folders.delete(spark, staged)
 
 
 def maintain(store: ParquetStore, as_of: dt.datetime, days: int = RETENTION_DAYS) -> dict:
     spark = store.spark
     cutoff = D.retention_cutoff(as_of, days)
-    stats = {"cutoff": cutoff.isoformat()}
-    # Snapshots: drop whole old days, rewrite the cutoff day.
+    newest = _newest_batch(store)
+    stats = {"cutoff": cutoff.isoformat(), "days_compacted": 0}
     stats["snapshot_days_dropped"] = drop_partitions_before(spark, store.snapshots_path, "service_date",
                                                             cutoff.date())
-    day_dir = f"{store.snapshots_path}/service_date={cutoff.date().isoformat()}"
-    dp, fs = _fs(spark, day_dir)
-    if fs.exists(dp) and cutoff.time() != dt.time():
-        staging = f"{checkpoint_root(spark)}/staging-{uuid.uuid4().hex}"
-        kept = spark.read.parquet(day_dir).where(F.col("captured_at") >= ntz_literal(cutoff))
-        writer = kept.write.partitionBy("batch_id") if "batch_id" in kept.columns else kept.write
-        writer.parquet(staging)
-        _replace_dir(spark, staging, day_dir)
+    # Closed days: the day before yesterday and older.
+    closed = (as_of.date() - dt.timedelta(days=1)).isoformat()
+    for day in folders.children(spark, store.snapshots_path, "service_date="):
+        date, parent = day.split("=", 1)[1], f"{store.snapshots_path}/{day}"
+        batches = folders.children(spark, parent, "batch_id=")
+        if not batches:  # a store that was not written by the collector
+            if date == cutoff.date().isoformat() and cutoff.time() != dt.time():
+                staged = folders.staging(store.snapshots_path)
+                spark.read.parquet(parent).where(F.col("captured_at") >= ntz_literal(cutoff)).write.parquet(staged)
+                folders.replace(spark, store.snapshots_path, [day], {day: staged})
+            continue
+        old = [b for b in batches if _batch(b) != newest]
+        cut = date == cutoff.date().isoformat() and cutoff.time() != dt.time()
+        if old and (cut or date < closed and len(old) > 1):
+            rows = spark.read.parquet(*[f"{parent}/{b}" for b in old])
+            _rewrite(store, parent, old, rows.where(F.col("captured_at") >= ntz_literal(cutoff)) if cut else rows)
+            stats["days_compacted"] += 1
+        if cut and f"batch_id={newest}" in batches:
+            # Under its own name: a replay writes the same folder again.
+            name = f"batch_id={newest}"
+            rows = spark.read.parquet(f"{parent}/{name}").where(F.col("captured_at") >= ntz_literal(cutoff))
+            _rewrite(store, parent, [name], rows, name)
     # Metrics: whole days before the cutoff date.
     stats["metric_days_dropped"] = drop_partitions_before(spark, store.metrics_path, "service_date",
                                                           cutoff.date())
-    # Orphan trips.
-    tp, tfs = _fs(spark, store.trips_path)
-    if tfs.exists(tp):
-        staging = f"{checkpoint_root(spark)}/trips-{uuid.uuid4().hex}"
-        trips = spark.read.parquet(store.trips_path)
-        live = D.live_trips(trips, store.snapshots())
-        writer = live.write.partitionBy("batch_id") if "batch_id" in trips.columns else live.write
-        writer.parquet(staging)
-        _replace_dir(spark, staging, store.trips_path)
+    # Trips: fold batches, without the trips that no snapshot names.
+    batches = folders.children(spark, store.trips_path, "batch_id=")
+    if batches:
+        old = [b for b in batches if _batch(b) != newest]
+        if old:
+            rows = spark.read.parquet(*[f"{store.trips_path}/{b}" for b in old])
+            _rewrite(store, store.trips_path, old, D.live_trips(rows, store.snapshots()))
+        if (name := f"batch_id={newest}") in batches:
+            rows = spark.read.parquet(f"{store.trips_path}/{name}")
+            _rewrite(store, store.trips_path, [name], D.live_trips(rows, store.snapshots()), name)
+    elif folders.has_data(spark, store.trips_path):
+        parent, name = store.trips_path.rsplit("/", 1)
+        staged = folders.staging(parent)
+        D.live_trips(store.trips(), store.snapshots()).write.parquet(staged)
+        folders.replace(spark, parent, [name], {name: staged})
     return stats

@@ -9,11 +9,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from railpulse.plans import registry
 from tools.check_oracle import TABLES, canon
 
 from .conftest import SMALL
 
-KEYS = [k for k in E.queries() if not k.startswith("stream")]
+KEYS = [k for k in registry.queries() if not k.startswith("stream")]
 _want = [p for p in os.environ.get("RAILPULSE_ORACLE_KEYS", "").split(",") if p]
 if _want:
     KEYS = [k for k in KEYS if any(p in k for p in _want)]
