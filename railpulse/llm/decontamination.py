@@ -15,7 +15,9 @@ their rows, repeated item ids give one.  Empty tables give an empty result.  Oth
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +39,8 @@ _TO_SPACE = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" or c < 32
 
 
 def words_of(data: bytes) -> list[bytes]:
-    return data.decode().lower().encode().translate(_TO_SPACE).split()
+    low = data.lower() if data.isascii() else data.decode().lower().encode()
+    return low.translate(_TO_SPACE).split()
 
 
 def answer_of(text: str) -> list[bytes]:
@@ -54,6 +57,9 @@ class Part:
     words: list[bytes]
     answer: list[bytes]  # of the item, on its last part
 
+    def __post_init__(self):
+        self.times = Counter(self.words)
+
 
 def parts_of(item: int, text: str) -> list[Part]:
     """An item in one part, or, if it is longer than a passage, in parts of about equal length."""
@@ -88,8 +94,7 @@ class Index:
 
     def known(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Positions and numbers of the words that are in the vocabulary."""
-        get = self.at.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        ids = np.fromiter(map(self.at.get, words, itertools.repeat(-1)), np.int32, len(words))
         where = np.flatnonzero(ids >= 0)
         return where, ids[where]
 
@@ -219,12 +224,15 @@ def common(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - v.bit_count()
 
 
-def judge(part: Part, region: list[bytes]) -> tuple[float, float]:
-    """Largest share of the part in order within 1.5 times its length of ``region``, and of its answer there."""
+def judge(part: Part, region: list[bytes], there: set[bytes]) -> tuple[float, float]:
+    """Largest share of the part in order within 1.5 times its length of ``region`` (with the words ``there``),
+    and of its answer there."""
     n = len(part.words)
     least = min(FULL, PARTIAL) * n
     best, answer = 0, 0.0
-    if common(part.words, region) < least:
+    # words that are not there cannot be in a common subsequence
+    missing = part.times.keys() - there
+    if n - sum(map(part.times.__getitem__, missing)) < least or common(part.words, region) < least:
         return 0.0, 0.0
     width = n + max(2, n // 2)
     for a in range(0, max(1, len(region) - n // 2), max(1, n // 4)):
@@ -262,17 +270,20 @@ def search(docs: DataFrame, parts: list[Part], index: Index, id_col: str, text_c
         begins = np.flatnonzero(np.append(True, row[1:] != row[:-1]))  # where a passage's entries begin
         cuts = [int(x) for x in np.unique(begins[np.searchsorted(begins, np.arange(0, len(row), step), "right") - 1])]
         tried: set[tuple[int, int]] = set()
+        begin, region, there = -1, [], set()
         for a, b in zip(cuts, [*cuts[1:], len(row)], strict=True):
             at, v = sums(ix.space[word[a:b]] * ix.weight[word[a:b], None], row[a:b])
             for c in range(0, len(at), 4096):
                 dots = v[c:c + 4096] @ items.T
                 cosine = dots / (np.linalg.norm(v[c:c + 4096], axis=1)[:, None] * sizes + 1e-12)
                 for k, i in zip(*np.nonzero((cosine >= MIN_COSINE) & (dots >= MIN_COVER * sizes * sizes)), strict=True):
-                    begin = int(at[c + k]) * STRIDE
+                    if begin != (begin := int(at[c + k]) * STRIDE):
+                        region = words[max(0, begin - STRIDE):begin + PASSAGE + STRIDE]
+                        there = set(region)
                     if (begin, int(i)) in tried:
                         continue
                     tried.add((begin, int(i)))
-                    share, answer = judge(ps[i], words[max(0, begin - STRIDE):begin + PASSAGE + STRIDE])
+                    share, answer = judge(ps[i], region, there)
                     if share >= FULL or share >= PARTIAL and answer >= ANSWER:
                         item = ps[i].item
                         found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (share, float(cosine[k, i]), answer))
