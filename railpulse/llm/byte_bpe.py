@@ -30,6 +30,7 @@ from railpulse.llm.common import bounded_batches, table, utf8
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 GROUP_PIECES = 400_000  # pieces of the texts that are encoded together (one text at least)
+SHORT_BYTES = 32  # pieces up to this size are contracted one pair a step
 CALL_BYTES = 200_000  # bytes of the pieces of one recursive query (one piece at least)
 CALL_ROWS = 4_000_000  # rows that the steps of one recursive query may hold
 CACHE_PIECES = 300_000  # pieces whose ids a worker remembers
@@ -54,6 +55,21 @@ WITH RECURSIVE s(w, p, t, done, step) AS (
 )
 SELECT w, p, t, done FROM s WHERE done OR step = {steps} ORDER BY w, p
 """
+#: The same for short pieces, one contraction a step: the pair with the lowest (rank, position).
+ENCODE_SHORT_SQL = """
+WITH RECURSIVE s(w, p, t, done, step) AS (
+  SELECT w, p, t, false, 0 FROM chars
+  UNION ALL
+  (WITH a AS (SELECT w, p, t, step, lead(t) OVER k AS nt, lead(p) OVER k AS np
+              FROM s WHERE NOT done AND step < {steps} WINDOW k AS (PARTITION BY w ORDER BY p)),
+   m AS (SELECT a.w, a.p, a.np, g.rank, g.rank::BIGINT * 4294967296 + a.p AS k
+         FROM a JOIN merges g ON a.t = g.l AND a.nt = g.r),
+   b AS (SELECT w, min(rank) AS rank, arg_min(p, k) AS p, arg_min(np, k) AS np FROM m GROUP BY w)
+   SELECT a.w, a.p, CASE WHEN a.p = b.p THEN b.rank ELSE a.t END, b.w IS NULL, a.step + 1
+   FROM a LEFT JOIN b ON a.w = b.w WHERE b.w IS NULL OR a.p <> b.np)
+)
+SELECT w, p, t, done FROM s WHERE done OR step = {steps} ORDER BY w, p
+"""
 DECODE_SQL = """
 SELECT d, string_agg(v.bytes, '' ORDER BY p) AS bytes FROM ids JOIN vocabulary v ON ids.t = v.t GROUP BY d ORDER BY d
 """
@@ -85,7 +101,7 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
         self.cache: dict[str, bytes] = {}
 
-    def contract(self, pieces: list[bytes]) -> list[bytes]:
+    def contract(self, pieces: list[bytes], sql: str) -> list[bytes]:
         """Ids (little-endian 32-bit) of each piece, none of which is a token itself."""
         lengths = np.array([len(x) for x in pieces])
         w = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
@@ -95,7 +111,7 @@ class Codec:
         while len(w):
             self.db.register("chars", pa.table({"w": w, "p": p, "t": t}))
             steps = max(1, min(24, CALL_ROWS // len(w)))
-            got = self.db.execute(ENCODE_SQL.format(steps=steps)).fetchnumpy()
+            got = self.db.execute(sql.format(steps=steps)).fetchnumpy()
             w, p, t, done = (np.asarray(got[k]) for k in ("w", "p", "t", "done"))
             ready, ids = w[done], t[done].astype("<u4")
             if len(ready):
@@ -107,21 +123,23 @@ class Codec:
 
     def learn(self, pieces: list[str]) -> None:
         """Put the ids of pieces into the cache."""
-        todo: list[tuple[str, bytes]] = []
+        short: list[tuple[str, bytes]] = []
+        long: list[tuple[str, bytes]] = []
         for x in pieces:
             data = x.encode()
             if (rank := self.ranks.get(data)) is not None:
                 self.cache[x] = rank.to_bytes(4, "little")
             else:
-                todo.append((x, data))
-        a = 0
-        while a < len(todo):
-            b, size = a, 0
-            while b < len(todo) and (b == a or size + len(todo[b][1]) <= CALL_BYTES):
-                size += len(todo[b][1])
-                b += 1
-            self.cache.update(zip((x for x, _ in todo[a:b]), self.contract([d for _, d in todo[a:b]]), strict=True))
-            a = b
+                (short if len(data) <= SHORT_BYTES else long).append((x, data))
+        for todo, sql in ((short, ENCODE_SHORT_SQL), (long, ENCODE_SQL)):
+            a = 0
+            while a < len(todo):
+                b, size = a, 0
+                while b < len(todo) and (b == a or size + len(todo[b][1]) <= CALL_BYTES):
+                    size += len(todo[b][1])
+                    b += 1
+                self.cache.update(zip((x for x, _ in todo[a:b]), self.contract([d for _, d in todo[a:b]], sql), strict=True))
+                a = b
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids (little-endian 32-bit) of each UTF-8 text."""
