@@ -1,11 +1,12 @@
 """License scan by conditional compression.
 
-Lines with a licence word, and lines between such lines that are close, make candidate blocks.  Each block
+Lines with a licence word, and lines between such lines that are close, make candidate blocks.  In a block
+each template's words are aligned at every common run that an alignment with few enough missing and foreign
+words must have, so none is overlooked, however long the block is or whatever quotes it holds.  A block
 is compressed alone and with every template as zstandard raw dictionary; templates are ranked by how many
-bytes they save.  In that order the wording decides: the template's words are aligned with the block's,
-and the first template whose missing and foreign words are few enough wins, unless one that saves nearly as
-many bytes has fewer of them.  What lies before and after
-the winning words is scanned again, so a block can name several licences.
+bytes they save.  In that order the first template that can be aligned wins, unless one that saves nearly as
+many bytes differs in fewer words.  What lies before and after the winning words is scanned again, so a
+block can name several licences.
 
 A null text is an empty one; texts without licences give no rows, repeated rows repeat theirs, an empty
 table gives an empty one.  Offsets are code points, ends exclusive.  Other columns are not read.
@@ -13,7 +14,6 @@ table gives an empty one.  Offsets are code points, ends exclusive.  Other colum
 
 from __future__ import annotations
 
-import difflib
 import functools
 import re
 
@@ -71,6 +71,17 @@ def _templates() -> list[tuple[str, list[bytes], zstandard.ZstdCompressor]]:
         for name, text in sorted(TEMPLATES.items())]
 
 
+@functools.cache
+def _seeds() -> tuple[int, dict[tuple[bytes, ...], list[tuple[int, int]]]]:
+    """Words of a seed, and for each seed the (template, place) that have it."""
+    width = min(least_run(len(words)) for _, words, _ in _templates())
+    out: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
+    for t, (_, words, _) in enumerate(_templates()):
+        for p in range(len(words) - width + 1):
+            out.setdefault(tuple(words[p:p + width]), []).append((t, p))
+    return width, out
+
+
 def blocks(data: bytes) -> list[tuple[int, int]]:
     """(start, end) of candidate blocks, in bytes."""
     if not LICENCE_WORD.search(data):
@@ -91,27 +102,70 @@ def blocks(data: bytes) -> list[tuple[int, int]]:
 
 
 def ranked(block: bytes) -> list[tuple[int, str, list[bytes]]]:
-    """(bytes saved, name, words) of the templates that save any, most first, the longer of equals first."""
+    """(bytes saved, name, words) of the templates that save any, the most first, the longer of equals first."""
     alone = len(zstandard.ZstdCompressor(level=LEVEL).compress(block))
     saved = [(alone - len(z.compress(block)), name, words) for name, words, z in _templates()]
     return sorted((x for x in saved if x[0] > 0), key=lambda x: (-x[0], -len(x[2]), x[1]))
 
 
-def aligned(template: list[bytes], words: list[bytes]) -> tuple[int, int, int, int] | None:
-    """(first, last, missing, foreign) of the template in ``words``; None if too much differs."""
-    match = difflib.SequenceMatcher(None, template, words, autojunk=False)
-    # anchor at the longest common run, then align within the room that the template can take there
-    run = match.find_longest_match(0, len(template), 0, len(words))
-    if not run.size:
-        return None
-    slack = max(1, int(len(template) * MAX_DIFFERENT))
-    low = max(0, run.b - run.a - slack)
-    high = min(len(words), run.b + len(template) - run.a + slack)
-    parts = [m for m in difflib.SequenceMatcher(None, template, words[low:high], autojunk=False).get_matching_blocks() if m.size]
-    first, last = low + parts[0].b, low + parts[-1].b + parts[-1].size
-    same = sum(m.size for m in parts)
-    missing, foreign = len(template) - same, last - first - same
-    return (first, last, missing, foreign) if missing + foreign <= MAX_DIFFERENT * len(template) else None
+def slack(length: int) -> int:
+    """Missing and foreign words that a template of ``length`` words may have."""
+    return int(length * MAX_DIFFERENT)
+
+
+def least_run(length: int) -> int:
+    """Words of the longest common run that every acceptable alignment of ``length`` words has at least."""
+    return -(-(length - slack(length)) // (slack(length) + 1))
+
+
+def fitted(template: list[bytes], words: list[bytes], at: int) -> tuple[int, int, int, int] | None:
+    """(first, last, missing, foreign) with the fewest differences of the template where it begins near
+    word ``at``, give or take the words it may differ by; None if too much differs."""
+    n, room = len(template), slack(len(template))
+    if at >= 0 and words[at:at + n] == template:
+        return at, at + n, 0, 0
+    # row i, place k: the cheapest way of template[:i] to the words that end at at - room + i + k, as
+    # (differences, missing, minus the first matched place, or 1 before a match)
+    row = [(0, 0, 1)] * (2 * room + 1)
+    for i, word in enumerate(template):
+        new: list[tuple[int, int, int]] = []
+        for k, (d, m, f) in enumerate(row):
+            j = at - room + i + k
+            best = (d, m, min(f, -j) if f > 0 else f) if 0 <= j < len(words) and words[j] == word else (n + 1, 0, 1)
+            if k < 2 * room:  # the template's word is missing
+                d, m, f = row[k + 1]
+                best = min(best, (d + 1, m + 1, f))
+            if k and new[-1][2] <= 0:  # the word before is foreign
+                d, m, f = new[-1]
+                best = min(best, (d + 1, m, f))
+            new.append(best)
+        row = new
+    k = min(range(2 * room + 1), key=lambda x: (row[x][0], x))
+    differences, missing, first = row[k]
+    return (-first, at - room + n + k, missing, differences - missing) if differences <= room else None
+
+
+def notices(words: list[bytes]) -> list[tuple[int, int, int, int, str]]:
+    """(first, last, missing, foreign, name) of all acceptable alignments of the templates, by place.
+
+    The words that may differ cut a template into so many runs at most, so the longest has ``least_run``
+    words or more: all common runs of that length are tried.
+    """
+    out: set[tuple[int, int, int, int, str]] = set()
+    width, seeds = _seeds()
+    run: dict[tuple[int, int], tuple[int, int]] = {}  # (template, where it would begin): last place, seeds in a row
+    tried = set()
+    for i, gram in enumerate(zip(*(words[k:] for k in range(width)))):
+        for t, p in seeds.get(gram, ()):
+            name, template, _ = _templates()[t]
+            last, n = run.get((t, i - p), (-2, 0))
+            n = n + 1 if last == i - 1 else 1
+            run[t, i - p] = i, n
+            if n + width - 1 >= least_run(len(template)) and (t, i - p) not in tried:
+                tried.add((t, i - p))
+                if got := fitted(template, words, i - p):
+                    out.add((*got, name))
+    return sorted(out)
 
 
 def scan(data: bytes) -> list[tuple[str, int, int, int, int, int]]:
@@ -121,19 +175,26 @@ def scan(data: bytes) -> list[tuple[str, int, int, int, int, int]]:
     while todo:
         a, b = todo.pop()
         words = words_of(data[a:b])
-        if not words or not LICENCE_WORD.search(data[a:b]):
+        fits: dict[str, tuple[int, int, int, int]] = {}
+        for *got, name in notices([w for w, _, _ in words]):
+            if name not in fits or sum(got[2:]) < sum(fits[name][2:]):
+                fits[name] = tuple(got)
+        if not fits:
             continue
         won = None
-        for saved, name, template in ranked(data[a:b]):
-            if won and saved < CLOSE * won[0]:
+        for saved, name, _ in ranked(data[a:b]):
+            if name not in fits:
+                continue
+            if won and saved < won[0] - (1 - CLOSE) * won[0]:
                 break
-            if (got := aligned(template, [w for w, _, _ in words])) and (not won or sum(got[2:]) < sum(won[2][2:])):
-                won = (won[0] if won else saved, name, got, saved)
-        if won:
-            _, name, (first, last, missing, foreign), saved = won
-            s, e = a + words[first][1], a + words[last - 1][2]
-            found.append((name.removesuffix("-notice"), len(data[:s].decode()), len(data[:e].decode()), saved, missing, foreign))
-            todo += [(a, s), (e, b)]
+            if not won or sum(fits[name][2:]) < sum(won[2][2:]):
+                won = (won[0] if won else saved, name, fits[name], saved)
+        if not won:
+            continue
+        _, name, (first, last, missing, foreign), saved = won
+        s, e = a + words[first][1], a + words[last - 1][2]
+        found.append((name.removesuffix("-notice"), len(data[:s].decode()), len(data[:e].decode()), saved, missing, foreign))
+        todo += [(a, s), (e, b)]
     return sorted(found, key=lambda x: x[1:3])
 
 

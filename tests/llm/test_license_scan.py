@@ -1,3 +1,5 @@
+import random
+
 from railpulse.llm import license_scan as s
 
 from .conftest import DIRS
@@ -28,3 +30,41 @@ def test_edges(docs):
             (3, "Released under the MIT License."), (4, "permission " * 3000)]
     assert sorted((r.doc_id or 0, r.license) for r in s.licenses(docs(rows)).collect()) == [(0, "MIT"), (3, "MIT"), (3, "MIT")]
     assert s.licenses(docs([])).count() == 0
+
+
+def test_partial_quote_before_a_changed_notice():
+    notice = s.TEMPLATES["GPL-3.0-notice"]
+    changed = notice.replace("redistribute", "share").replace("published", "issued")
+    quote = " ".join(notice.split()[:22])
+    for text in (changed, f"The text says: {quote}, and so on. {changed}", f"{changed} The text says: {quote}."):
+        got = s.scan(text.encode())
+        assert [(x[0], x[4], x[5]) for x in got] == [("GPL-3.0", 2, 2)]
+        assert text[got[0][1]:got[0][2]] == changed.rstrip(".")
+
+
+def test_alignment_with_fewest_differences():
+    """Equal to comparing a template with every span of words."""
+    def least(template, words):
+        best = None
+        for first in range(len(words)):
+            row = list(range(len(template) + 1))  # template[:k] against words[first:last]
+            for last in range(first, min(len(words), first + 2 * len(template))):
+                new = [row[0] + 1]
+                for k, w in enumerate(template):
+                    new.append(min(row[k + 1] + 1, new[k] + 1, row[k] if w == words[last] else 9999))
+                row = new
+                best = min(x for x in (best, row[-1]) if x is not None)
+        return best
+
+    rng = random.Random(3)
+    for name in ("GPL-3.0", "Unlicense", "ISC", "GPL-3.0-notice"):
+        template = [w for w, _, _ in s.words_of(s.TEMPLATES[name].encode())]
+        for _ in range(25):
+            words = list(template)
+            for _ in range(rng.randrange(s.slack(len(template)) + 2)):
+                at = rng.randrange(len(words))
+                words[at:at + rng.randrange(2)] = [b"x"] * rng.randrange(2)
+            words = [b"y"] * rng.randrange(4) + template[:rng.randrange(len(template) // 2)] + words + [b"z"] * rng.randrange(4)
+            got = [x[2] + x[3] for x in s.notices(words) if x[4] == name]
+            right = least(template, words)
+            assert (min(got) if got else None) == (right if right <= s.slack(len(template)) else None)
