@@ -2,11 +2,12 @@
 
 Lines with a licence word, and lines between such lines that are close, make candidate blocks.  In a block
 each template's words are aligned at every common run that an alignment with few enough missing and foreign
-words must have, so none is overlooked, however long the block is or whatever quotes it holds.  A block
-is compressed alone and with every template as zstandard raw dictionary; templates are ranked by how many
-bytes they save.  In that order the first template that can be aligned wins, unless one that saves nearly as
-many bytes differs in fewer words.  What lies before and after the winning words is scanned again, so a
-block can name several licences.
+words must have, so none is overlooked, however long the block is or whatever quotes it holds.  Round the
+alignments of a long block windows of bounded length are cut (a short block is one), so that the savings are
+not drowned.  A window is compressed alone and with every template as zstandard raw dictionary; templates
+are ranked by how many bytes they save, which orders them and drops none.  In that order the first template
+that can be aligned wins, unless one that saves nearly as many bytes differs in fewer words.  What lies
+before and after the winning words is scanned again, so a block can name several licences.
 
 A null text is an empty one; texts without licences give no rows, repeated rows repeat theirs, an empty
 table gives an empty one.  Offsets are code points, ends exclusive.  Other columns are not read.
@@ -56,6 +57,8 @@ LICENCE_WORD = re.compile(rb"(?i)licen[cs]e|copyright|redistribut|permission|war
 MAX_GAP = 3  # lines without a licence word between lines with one, and around them
 MAX_DIFFERENT = 0.12  # missing and foreign words, as a share of the template's
 CLOSE = 0.8  # templates that save this share of the winner's bytes can still win by fewer differences
+NOISE = 16  # so can those that save this many bytes less: compressed sizes waver by some bytes
+WINDOW, AROUND = 160, 40  # words of a block that is compressed whole, and round alignments in longer ones
 LEVEL = 3
 _WORD = re.compile(rb"[0-9a-z]+(?:\.[0-9]+)*")
 
@@ -102,10 +105,10 @@ def blocks(data: bytes) -> list[tuple[int, int]]:
 
 
 def ranked(block: bytes) -> list[tuple[int, str, list[bytes]]]:
-    """(bytes saved, name, words) of the templates that save any, the most first, the longer of equals first."""
+    """(bytes saved, name, words) of all templates, the most saved first, the longer of equals first."""
     alone = len(zstandard.ZstdCompressor(level=LEVEL).compress(block))
     saved = [(alone - len(z.compress(block)), name, words) for name, words, z in _templates()]
-    return sorted((x for x in saved if x[0] > 0), key=lambda x: (-x[0], -len(x[2]), x[1]))
+    return sorted(saved, key=lambda x: (-x[0], -len(x[2]), x[1]))
 
 
 def slack(length: int) -> int:
@@ -168,10 +171,30 @@ def notices(words: list[bytes]) -> list[tuple[int, int, int, int, str]]:
     return sorted(out)
 
 
+def windows(data: bytes, a: int, b: int) -> list[tuple[int, int]]:
+    """(start, end) of parts of block (a, b) that are compressed: all of a short block; of a longer one each
+    group of overlapping alignments with some words round it.  No alignment lies across a border."""
+    words = words_of(data[a:b])
+    if len(words) <= WINDOW:
+        return [(a, b)]
+    groups: list[list[int]] = []
+    for first, last, *_ in notices([w for w, _, _ in words]):
+        if groups and first < groups[-1][1]:
+            groups[-1][1] = max(groups[-1][1], last)
+        else:
+            groups.append([first, last])
+    out = []
+    for k, (first, last) in enumerate(groups):
+        low = max(first - AROUND, -(-(groups[k - 1][1] + first) // 2) if k else 0)
+        high = min(last + AROUND, -(-(last + groups[k + 1][0]) // 2) if k + 1 < len(groups) else len(words))
+        out.append((a + words[low][1], a + words[high - 1][2]))
+    return out
+
+
 def scan(data: bytes) -> list[tuple[str, int, int, int, int, int]]:
     """(licence, start, end, saved, missing, foreign) of each notice, by start, in code points."""
     found = []
-    todo = blocks(data)
+    todo = [w for a, b in blocks(data) for w in windows(data, a, b)]
     while todo:
         a, b = todo.pop()
         words = words_of(data[a:b])
@@ -185,12 +208,10 @@ def scan(data: bytes) -> list[tuple[str, int, int, int, int, int]]:
         for saved, name, _ in ranked(data[a:b]):
             if name not in fits:
                 continue
-            if won and saved < won[0] - (1 - CLOSE) * won[0]:
+            if won and saved < won[0] - max((1 - CLOSE) * won[0], NOISE):
                 break
             if not won or sum(fits[name][2:]) < sum(won[2][2:]):
                 won = (won[0] if won else saved, name, fits[name], saved)
-        if not won:
-            continue
         _, name, (first, last, missing, foreign), saved = won
         s, e = a + words[first][1], a + words[last - 1][2]
         found.append((name.removesuffix("-notice"), len(data[:s].decode()), len(data[:e].decode()), saved, missing, foreign))

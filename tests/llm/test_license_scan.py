@@ -32,6 +32,21 @@ def test_edges(docs):
     assert s.licenses(docs([])).count() == 0
 
 
+def test_long_blocks_hide_no_notice(documents):
+    """Exact notices in one line of prose of 4 to 100 KB."""
+    prose = " ".join(t.replace("\n", " ") for _, t in documents if t and not s.scan(t.encode()))
+    while len(prose) < 110_000:
+        prose += " " + prose
+    for size in (4_000, 10_000, 40_000, 100_000):
+        for line, name in LINES.items():
+            text = f"{prose[:size // 2]} {line} {prose[size // 2:size]}"
+            got = s.scan(text.encode())
+            assert [(x[0], x[4], x[5]) for x in got] == [(name, 0, 0)]
+            assert text[got[0][1]:got[0][2]] == line.rstrip(".")
+        both = f"{prose[:size]} {' '.join(LINES)} {prose[:size]} {s.TEMPLATES['BSD']} {prose[:99]}"
+        assert [x[0] for x in s.scan(both.encode())] == [*LINES.values(), "BSD"]
+
+
 def test_partial_quote_before_a_changed_notice():
     notice = s.TEMPLATES["GPL-3.0-notice"]
     changed = notice.replace("redistribute", "share").replace("published", "issued")
