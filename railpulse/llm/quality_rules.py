@@ -1,5 +1,6 @@
-"""Quality rules by compression bands: a text's zstandard ratio, whole and by fixed chunks, must lie
-between limits that depend on its length; repetitive texts fall below, incompressible ones above.
+"""Quality rules by compression bands: a text's zstandard ratio, whole and of each fixed chunk, must lie
+between limits that depend on its length; repetitive texts fall below, incompressible ones above.  One
+chunk outside its limits is enough to fail a text.
 
 A null text reads as empty.  Rows are independent: repeated rows and ids give repeated results, an
 empty table gives an empty one, and other columns are not read.
@@ -24,9 +25,8 @@ CHUNK = 4096
 BAND_ENDS = (150, 300, 600, 1200, 2500, 5000, 10000, 20000, 100000)
 BAND_LIMITS = ((0.60, 1.40), (0.58, 1.10), (0.53, 0.90), (0.475, 0.80), (0.45, 0.70), (0.428, 0.65), (0.413, 0.60),
                (0.40, 0.57), (0.382, 0.55), (0.36, 0.55))
-#: The same for each full chunk; a text fails if a larger share of its full chunks than this is outside.
+#: The same for each full chunk; what follows the last one has the limits of its length.
 CHUNK_LIMITS = (0.42, 0.70)
-CHUNK_SHARE = 0.5
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 
@@ -66,19 +66,27 @@ def measures(data: bytes, points: int) -> tuple[int, int, int, int, int]:
             len(lines) - len(set(lines)), repeat_words(words))
 
 
+def limits(length: int) -> tuple[float, float]:
+    return BAND_LIMITS[bisect.bisect_left(BAND_ENDS, length)]
+
+
 def in_bands(data: bytes, z: zstandard.ZstdCompressor) -> tuple[bool, float, float]:
-    """Whether ``data`` is within its limits, its whole ratio, and its share of full chunks outside theirs."""
+    """Whether ``data`` and each of its chunks are within their limits, its whole ratio, and the share of
+    chunks outside theirs.  A text shorter than a chunk is one chunk."""
     if not data:
         return False, 0.0, 0.0
-    low, high = BAND_LIMITS[bisect.bisect_left(BAND_ENDS, len(data))]
+    low, high = limits(len(data))
     ratio = len(z.compress(data)) / len(data)
+    ok = low <= ratio <= high
     full = len(data) // CHUNK
-    bad = 0
-    for i in range(full):
-        r = len(z.compress(data[i * CHUNK:(i + 1) * CHUNK])) / CHUNK
-        bad += not CHUNK_LIMITS[0] <= r <= CHUNK_LIMITS[1]
-    share = bad / full if full else 0.0
-    return low <= ratio <= high and share <= CHUNK_SHARE, ratio, share
+    if not full:
+        return ok, ratio, float(not ok)
+    parts = [(data[i * CHUNK:(i + 1) * CHUNK], CHUNK_LIMITS) for i in range(full)]
+    if len(data) % CHUNK:  # a rest of a few bytes is measured with some before it: frames have a fixed part
+        rest = data[-max(len(data) % CHUNK, BAND_ENDS[0]):]
+        parts.append((rest, limits(len(rest))))
+    bad = sum(not lo <= len(z.compress(part)) / len(part) <= hi for part, (lo, hi) in parts)
+    return ok and not bad, ratio, bad / len(parts)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,3 +1,5 @@
+import base64
+import bisect
 import random
 import re
 from collections import Counter
@@ -55,3 +57,29 @@ def test_edges(docs):
     assert q.quality(docs([])).count() == 0
     z = zstandard.ZstdCompressor(level=q.LEVEL)
     assert not q.in_bands(random.Random(1).randbytes(50_000), z)[0] and not q.in_bands(b"ab " * 20_000, z)[0]
+
+
+def test_only_the_chunk_rule_rejects(spark, docs, documents):
+    """Clean prose with one run of base64 that leaves the whole ratio within its limits."""
+    labels = {r.doc_id for r in spark.read.parquet(f"{DIRS['small']}/labels.parquet").where("quality = 1").collect()}
+    prose = "\n".join(t for i, t in documents if i in labels and t.isascii()).encode()
+    z = zstandard.ZstdCompressor(level=q.LEVEL)
+
+    def whole(data):
+        low, high = q.BAND_LIMITS[bisect.bisect_left(q.BAND_ENDS, len(data))]
+        return low <= len(z.compress(data)) / len(data) <= high
+
+    rng, rows = random.Random(7), []
+    for size, share in ((40_000, 0.25), (60_000, 0.2), (100_000, 0.3), (150_000, 0.2)):
+        assert q.in_bands(prose[:size], z)[0]
+        run = base64.b64encode(rng.randbytes(int(size * share * 0.75)))
+        for at in (0, int(size * (1 - share)) // 2, int(size * (1 - share))):
+            data = prose[:at] + run + prose[at:size - len(run)]
+            assert whole(data) and not q.in_bands(data, z)[0]
+            rows.append((len(rows), data.decode()))
+    tail = prose[:5 * q.CHUNK] + base64.b64encode(rng.randbytes(2250))  # 3,000 bytes, less than a chunk
+    assert whole(tail) and q.in_bands(tail[:5 * q.CHUNK], z)[0] and not q.in_bands(tail, z)[0]
+    rows.append((len(rows), tail.decode()))
+    assert not any(r.kept or r.base_failed for r in q.quality(docs(rows)).collect())
+    for rest in (1, 7, 100, 149, 150, 2000):  # a rest of clean prose is no reason, however short
+        assert q.in_bands(prose[:5 * q.CHUNK + rest], z)[0]
