@@ -11,8 +11,9 @@ number of documents linked to it and the smallest class that the links reach.
 Results are one row per document: its class (the smallest id of its connected component) and its number
 of links (other rows at or above the threshold).  A null text is an empty one; texts without words are
 equal to each other and to nothing else.  A null id is replaced by a hash of the text within the join.
-Rows that share an id count as one document each, and their classes as one.  An empty table gives an
-empty result.  Other columns are not read.
+Rows that share an id count as one document each.  Ids do not join texts: within the join classes have
+numbers of their own, and of several components with one smallest id all but one are named by a hash of
+it and of a set digest.  An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -124,7 +125,8 @@ def smallest_reached(adjacent: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, key, n, bands) of each row of ``docs``: row id, set digest, set size, band hashes."""
+    """(rid, row, key, n, bands) of each row of ``docs``: row id, hash of id and text, set digest, set size,
+    band hashes."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -133,12 +135,13 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sigs = [bands(s) for s in sets]
             ends = np.cumsum([0] + [len(s) for s in sigs]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([key_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
+                [batch.column(0), batch.column(2), pa.array([key_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
                  pa.ListArray.from_arrays(ends, np.concatenate(sigs) if sigs else np.empty(0, np.int64))],
-                names=["rid", "key", "n", "bands"])
+                names=["rid", "row", "key", "n", "bands"])
 
     rid = F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col)))
-    return docs.select(rid.alias("rid"), F.col(text_col)).mapInArrow(run, "rid bigint, key binary, n int, bands array<bigint>")
+    return docs.select(rid.alias("rid"), F.col(text_col), F.xxhash64(id_col, text_col).alias("row")).mapInArrow(
+        run, "rid bigint, row bigint, key binary, n int, bands array<bigint>")
 
 
 def _verify(units: DataFrame) -> DataFrame:
@@ -146,7 +149,7 @@ def _verify(units: DataFrame) -> DataFrame:
     def run(batches):
         for t in runs(batches, ["cluster", "bi", "bj"]):
             seen = dict(zip(t.column("key").to_pylist(), range(t.num_rows), strict=True))
-            rows = sorted(seen.values())  # a class once, if rows repeat its id
+            rows = sorted(seen.values())  # a class once, if its row is repeated
             node = np.asarray(t.column("node"))[rows]
             copies = np.asarray(t.column("copies"))[rows]
             block = np.asarray(t.column("block"))[rows]
@@ -176,22 +179,25 @@ def _verify(units: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "node bigint, links bigint, root bigint, parted boolean")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, n_links, is_first) of each row of ``docs``; one row of each class is first."""
-    sigs = cut(signatures(docs, id_col, text_col))
-    classes = cut(sigs.groupBy("key").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.min("n").alias("n"),
-                                          F.first("bands").alias("bands")))
+def _placed(sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, root, n_links, rid, row) of each class: its component, links of a row of it, and the smallest
+    id with a row that has it."""
+    least = F.min(F.struct("rid", "row")).alias("least")
+    # numbers of classes, settled by the checkpoint
+    classes = cut(sigs.groupBy("key").agg(least, F.count("*").alias("copies"), F.min("n").alias("n"), F.first("bands").alias(
+        "bands")).withColumn("node", F.monotonically_increasing_id()))
     banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     near = components(banded.join(buckets, "band").where("node <> low").select(
         F.col("node").alias("u"), F.col("low").alias("v")).distinct())
-    members = near.withColumnRenamed("root", "cluster").join(classes.select("node", "key", "copies", "n"), "node")
+    members = near.withColumnRenamed("root", "cluster").join(
+        classes.select("node", "key", "copies", "n", F.col("least.row").alias("row")), "node")
     sizes = members.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
     members = cut(members.join(sizes, "cluster").select(
-        "cluster", "node", "key", "copies", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")))
+        "cluster", "node", "key", "copies", "row", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col))).alias("node"), text.alias("text"))
+    own = docs.select(F.xxhash64(id_col, text_col).alias("row"), text.alias("text"))
 
     def read(batches):
         for batch in batches:
@@ -204,7 +210,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), grams],
                                              names=[*names, "grams"]).filter(mine)
 
-    sets = own.join(members, "node").mapInArrow(
+    sets = own.join(members, "row").mapInArrow(
         read, "cluster bigint, node bigint, key binary, copies bigint, blocks int, block int, grams array<bigint>")
     units = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "key",
@@ -213,27 +219,39 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # the root of a cluster in one block is final; those of a parted one are joined by their edges
     wide = components(found.where("parted").select(F.col("node").alias("u"), F.col("root").alias("v")))
     whole = found.where("not parted").select("node", "root")
-    # rows that share an id can put one node into two classes: it takes the smaller
-    roots = whole.unionByName(wide).groupBy("node").agg(F.min("root").alias("root"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    placed = classes.select("key", "node", "copies").join(roots, "node", "left").join(links, "node", "left").select(
-        "key", F.coalesce("root", "node").alias("class_id"),
-        (F.col("copies") - 1 + F.coalesce(F.col("links"), F.lit(0))).alias("n_links"))
-    return sigs.select("rid", "key").join(placed, "key").select(F.col("rid").alias(id_col), "class_id", "n_links")
+    return cut(classes.join(whole.unionByName(wide), "node", "left").join(links, "node", "left").select(
+        "key", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        "least.rid", "least.row"))
+
+
+def _heads(placed: DataFrame) -> DataFrame:
+    """(root, head) of each component: the (rid, row, key) of its class with the smallest id."""
+    return placed.groupBy("root").agg(F.min(F.struct("rid", "row", "key")).alias("head"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, n_links) of each row of ``docs``."""
+    sigs = cut(signatures(docs, id_col, text_col))
+    placed = _placed(sigs, docs, id_col, text_col)
+    heads = _heads(placed).select("root", "head.rid", "head.key")
+    shared = heads.groupBy("rid").agg(F.count("*").alias("_n"), F.min("key").alias("first")).where("_n > 1").drop("_n")
+    named = heads.join(shared, "rid", "left").select("root", F.when(
+        F.col("key") > F.col("first"), F.xxhash64("rid", "key")).otherwise(F.col("rid")).alias("class_id"))
+    classes = placed.select("key", "root", "n_links").join(named, "root").select("key", "class_id", "n_links")
+    return sigs.select("rid", "key").join(classes, "key").select(F.col("rid").alias(id_col), "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class, that with the smallest id (among equal ids the text that
-    comes first); all columns as they were."""
-    rid = F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col)))
-    firsts = join(docs, id_col, text_col).where(F.col(id_col) == F.col("class_id")).select(
-        F.col("class_id").alias("_rid")).distinct()
-    kept = docs.withColumn("_rid", rid).join(firsts, "_rid", "left_semi")
-    # ids are unique in most tables; rows that repeat one are settled here
-    counts = kept.groupBy("_rid").agg(F.count("*").alias("_n"), F.min(F.xxhash64(text_col)).alias("_least"))
-    again = counts.where("_n > 1")
-    single = kept.join(again, "_rid", "left_anti")
-    several = kept.join(again, "_rid").where(F.xxhash64(text_col) == F.col("_least")).dropDuplicates(["_rid"])
+    """``docs`` with one row of each class, that with the smallest id (among equal ids the text whose hash
+    with it is smallest); all columns as they were."""
+    heads = _heads(_placed(cut(signatures(docs, id_col, text_col)), docs, id_col, text_col))
+    kept = docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(
+        heads.select(F.col("head.row").alias("_row")).distinct(), "_row", "left_semi")
+    # most rows are there once; those that repeat id and text are settled here
+    again = kept.groupBy("_row").agg(F.count("*").alias("_n")).where("_n > 1").select("_row")
+    single = kept.join(again, "_row", "left_anti")
+    several = kept.join(again, "_row", "left_semi").dropDuplicates(["_row"])
     return single.select(*docs.columns).unionByName(several.select(*docs.columns))
 
 

@@ -89,3 +89,17 @@ def test_overlaps_in_column_blocks(monkeypatch):
     rng = np.random.default_rng(1)
     a = [np.unique(rng.integers(0, 30, 20)).astype(np.uint64) for _ in range(6)]
     assert (n.overlaps(a[:4], a[4:]) == [[len(set(x) & set(y)) for y in a[4:]] for x in a[:4]]).all()
+
+
+def test_equal_ids_do_not_join_unlike_texts(docs):
+    rng = random.Random(8)
+    x, y, w, v = (" ".join(str(rng.randrange(10 ** 6)) for _ in range(40)) for _ in range(4))
+    rows = [(0, x), (1, x), (1, y), (2, w), (2, v), (2, v + " more"), (3, x + " more")]
+    got = [tuple(r) for r in n.join(docs(rows)).collect()]
+    assert sorted((i, k) for i, _, k in got) == sorted((i, k) for i, _, k in brute(rows))
+    names = {i: {c for j, c, _ in got if j == i} for i in range(4)}
+    assert names[0] == names[3] == {0} and names[1] == {0, 1} and len(names[2]) == 2 and 2 in names[2]
+    kept = sorted((r.doc_id, r.text) for r in n.keep_one(docs(rows)).collect())
+    assert kept in (sorted([(0, x), (1, y), (2, w), (2, z)]) for z in (v, v + " more"))
+    same = [(7, " ".join(str(rng.randrange(10 ** 6)) for _ in range(20))) for _ in range(40)]
+    assert sorted(tuple(r)[:2] for r in n.keep_one(docs(same)).collect()) == sorted(same)
