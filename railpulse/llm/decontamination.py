@@ -4,13 +4,15 @@ Documents are read as passages of ``PASSAGE`` words.  Over the words of the benc
 make a TF-IDF matrix A; a randomised SVD gives its leading right singular vectors: every partition adds up
 its share of A'(A X), Spark sums the shares, the driver orthogonalises.  A passage is a candidate for an
 item if, in the latent space, their cosine and the share of the item that the passage covers are large
-enough.  Candidates are settled on the words: the longest common subsequence of item and passage, or a
-shorter one together with the item's answer (its last sentence), which catches paraphrases.
+enough.  So is one that has, with what lies beside it, all words of the item: the latent space keeps little
+of a short item, and no copy may be lost by that.  Candidates are settled on the words: the longest common
+subsequence of item and passage, or a shorter one together with the item's answer (its last sentence), which
+catches paraphrases.
 
 The benchmark is the query set; it is read in blocks of ``BLOCK_PARTS`` parts (long items have several),
 each block against all rows, so what is broadcast is bounded.  A result row is a (document, item) pair.
 Null and empty texts contain nothing, items without words are found nowhere.  Repeated documents each give
-their rows, repeated item ids give one.  Empty tables give an empty result.  Other columns are not read.
+their rows, repeated item ids give one, all items without an id together one with a null id.  Empty tables give an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def answer_of(text: str) -> list[bytes]:
 
 @dataclass
 class Part:
-    item: int
+    item: int | None
     words: list[bytes]
     answer: list[bytes]  # of the item, on its last part
 
@@ -61,7 +63,7 @@ class Part:
         self.times = Counter(self.words)
 
 
-def parts_of(item: int, text: str) -> list[Part]:
+def parts_of(item: int | None, text: str) -> list[Part]:
     """An item in one part, or, if it is longer than a passage, in parts of about equal length."""
     words = words_of(text.encode())
     if not words:
@@ -74,7 +76,7 @@ def parts_of(item: int, text: str) -> list[Part]:
 
 def blocks_of(benchmark: DataFrame) -> Iterator[list[Part]]:
     block: list[Part] = []
-    for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy(
+    for r in benchmark.where("text is not null").select("item_id", "text").distinct().orderBy(
             "item_id", "text").toLocalIterator():
         block += parts_of(r["item_id"], r["text"])
         if len(block) >= BLOCK_PARTS:
@@ -251,12 +253,17 @@ def search(docs: DataFrame, parts: list[Part], index: Index, id_col: str, text_c
         ids = np.unique([index.at[w] for w in p.words])
         z[i] = index.weight[ids] @ index.space[ids]
     size = np.linalg.norm(z, axis=1)
-    shared = spark.sparkContext.broadcast((index, parts, z, np.where(size > 0, size, np.inf)))
+    # the heaviest word of a part is the rarest: a copy has it
+    rarest = np.array([max((index.at[w] for w in p.words), key=lambda i: (index.weight[i], -i)) for p in parts])
+    parts_with = {int(w): np.flatnonzero(rarest == w).tolist() for w in np.unique(rarest)}
+    is_rarest = np.zeros(len(index.at), bool)
+    is_rarest[rarest] = True
+    shared = spark.sparkContext.broadcast((index, parts, z, np.where(size > 0, size, np.inf), parts_with, is_rarest))
     kind = docs.schema[id_col].dataType.simpleString()
     fields = [("item_id", pa.int64()), ("cosine", pa.float64()), ("shared", pa.float64()), ("answer", pa.float64())]
 
     def leaks(data: bytes) -> dict[int, tuple[float, float, float]]:
-        ix, ps, items, sizes = shared.value
+        ix, ps, items, sizes, with_word, first_word = shared.value
         words = words_of(data)
         where, ids = ix.known(words)
         heavy = ix.weight[ids] > 0
@@ -287,12 +294,27 @@ def search(docs: DataFrame, parts: list[Part], index: Index, id_col: str, text_c
                     if share >= FULL or share >= PARTIAL and answer >= ANSWER:
                         item = ps[i].item
                         found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (share, float(cosine[k, i]), answer))
+        for h in np.flatnonzero(first_word[word]).tolist():
+            for i in with_word[int(word[h])]:
+                if begin != (begin := int(row[h]) * STRIDE):
+                    region = words[max(0, begin - STRIDE):begin + PASSAGE + STRIDE]
+                    there = set(region)
+                if (begin, i) in tried or not ps[i].times.keys() <= there:
+                    continue
+                tried.add((begin, i))
+                share, answer = judge(ps[i], region, there)
+                if share >= FULL or share >= PARTIAL and answer >= ANSWER:
+                    own = word[slice(*np.searchsorted(row, [row[h], row[h] + 1]))]
+                    v = ix.weight[own] @ ix.space[own]
+                    cos = float(v @ items[i] / (np.linalg.norm(v) * sizes[i] + 1e-12))
+                    item = ps[i].item
+                    found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (share, cos, answer))
         return found
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, got = [], []
         for k, data in enumerate(utf8(batch.column(1))):
-            for item, (share, cosine, answer) in sorted(leaks(data).items()):
+            for item, (share, cosine, answer) in sorted(leaks(data).items(), key=lambda x: (x[0] is None, x[0])):
                 at.append(k)
                 got.append((item, cosine, share, answer))
         cols = list(zip(*got, strict=True)) or [()] * 4

@@ -90,3 +90,26 @@ def test_edges(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert d.contaminated(df, none).count() == 0 and d.contaminated(docs([]), bench).count() == 0
     assert d.keep_uncontaminated(df, none).count() == df.count()
+
+
+def test_copies_of_short_items(spark, documents, monkeypatch):
+    """Many more items than the latent space has dimensions, cut from the documents: each is found where it was cut."""
+    monkeypatch.setattr(d, "RANK", 16)
+    rng, items, source = random.Random(6), [], {}
+    for k, (i, t) in enumerate(rng.sample([x for x in documents if x[1] and len(d.words_of(x[1].encode())) > 80], 500)):
+        words, n = d.words_of(t.encode()), (5, 5, 8, 10, 50)[k % 5]
+        at = rng.randrange(len(words) - n)
+        items.append((k, b" ".join(words[at:at + n]).decode()))
+        source[k] = i
+    frame = spark.read.parquet(f"{DIRS['small']}/documents.parquet")
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert {(i, k) for k, i in source.items()} <= got
+
+
+def test_items_without_an_id(spark, docs):
+    rows, items = world()
+    bench = spark.createDataFrame([(None, items[0][1]), (None, items[1][1]), items[2]], "item_id bigint, text string")
+    df = docs([r for r in rows if r[0] < 2000])
+    got = sorted((r.doc_id, r.item_id or -1) for r in d.contaminated(df, bench).collect())
+    assert got == [(1000, -1), (1001, -1), (1002, 2)]
+    assert d.keep_uncontaminated(df, bench).count() == df.count() - 3
