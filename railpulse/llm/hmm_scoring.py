@@ -2,8 +2,8 @@
 
 Counts come from all training rows.  The ``TOP_WORDS`` most frequent words are classes of their own, the
 others share hashed classes; a word's probability within its class is its smoothed count.  Latent states
-are trained by Baum-Welch: every partition adds up expected counts over its training texts (cut into runs
-of ``RUN`` tokens), Spark sums them, the driver holds only the model of fixed size.  A text's score is the
+are trained by Baum-Welch: every partition adds up expected counts over its whole training texts, many side
+by side, Spark sums them, the driver holds only the model of fixed size.  A text's score is the
 scaled forward recursion over all its tokens, its end included: the log10 of its exact likelihood.
 
 For the lookup of counts every bucket of documents asks for each of its distinct words once, the answers
@@ -35,6 +35,7 @@ CLASSES = 1 + TOP_WORDS + HASHED  # class 0: the end
 STATES, ITERATIONS, RUN, SEED = 6, 4, 64, 11
 SMOOTH = 0.1
 BUCKET_TOKENS = 2_000_000
+TRAIN_TOKENS = 500_000  # tokens of texts that are trained on side by side, or one text
 COUNTER_WORDS = 400_000  # distinct words a task counts before it passes them on
 
 
@@ -98,33 +99,34 @@ class Model:
         return np.where(classes <= TOP_WORDS, 0.0, np.log10(p))
 
 
-def expected(model: Model, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions over runs of classes (runs, RUN), padded after ``lengths``, longest first."""
-    n, k = len(lengths), len(model.start)
-    active = [int((lengths > t).sum()) for t in range(int(lengths[0]))]
-    e = model.emit[classes[:, :len(active)]]
-    alpha = np.zeros((len(active), n, k))
-    scale = np.ones((len(active), n))
-    for t, m in enumerate(active):
-        a = (model.start if t == 0 else alpha[t - 1, :m] @ model.move) * e[:m, t]
-        scale[t, :m] = a.sum(1)
-        alpha[t, :m] = a / scale[t, :m, None]
+def expected(model: Model, classes: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions over texts of classes (of which the first ``lengths`` count), longest first."""
+    n, k = int(lengths.sum()), len(model.start)
+    begins = np.cumsum(lengths) - lengths
+    place = np.arange(n) - np.repeat(begins, lengths)
+    # the texts' first tokens, then their second ones, and so on
+    c = np.concatenate([x[:m] for x, m in zip(classes, lengths, strict=True)])[np.argsort(place, kind="stable")]
+    active = np.bincount(place)
+    at = np.concatenate([[0], np.cumsum(active)]).tolist()
+    e = model.emit[c]
+    alpha, scale = np.empty((n, k)), np.empty((n, 1))
+    for t in range(len(active)):
+        x, y = at[t], at[t + 1]
+        a = (model.start if t == 0 else alpha[at[t - 1]:at[t - 1] + y - x] @ model.move) * e[x:y]
+        scale[x:y, 0] = s = a.sum(1)
+        np.divide(a, s[:, None], out=alpha[x:y])
+    e /= scale
     beta = np.ones((n, k))
-    moves = np.zeros((k, k))
-    emits = np.zeros((CLASSES, k))
-    for t in range(len(active) - 1, -1, -1):
-        m = active[t]
-        gamma = alpha[t, :m] * beta[:m]
-        gamma /= gamma.sum(1, keepdims=True)
-        for s in range(k):
-            emits[:, s] += np.bincount(classes[:m, t], gamma[:, s], CLASSES)
-        if t:
-            ahead = e[:m, t] * beta[:m] / scale[t, :m, None]
-            moves += model.move * (alpha[t - 1, :m].T @ ahead)
-            beta[:m] = ahead @ model.move.T
-        else:
-            starts = gamma.sum(0)
-    return starts, moves, emits
+    for t in range(len(active) - 1, 0, -1):
+        x, y = at[t], at[t + 1]
+        e[x:y] *= beta[x:y]
+        beta[at[t - 1]:at[t - 1] + y - x] = e[x:y] @ model.move.T
+    before = np.arange(at[1], n) - np.repeat(active[:-1], active[1:])
+    moves = model.move * (alpha[before].T @ e[at[1]:])
+    gamma = alpha * beta
+    gamma /= gamma.sum(1, keepdims=True)
+    emits = np.stack([np.bincount(c, gamma[:, s], CLASSES) for s in range(k)], 1)
+    return gamma[:at[1]].sum(0), moves, emits
 
 
 def baum_welch_counts(rows: DataFrame, model: Model) -> dict[tuple[int, int], np.ndarray]:
@@ -136,30 +138,22 @@ def baum_welch_counts(rows: DataFrame, model: Model) -> dict[tuple[int, int], np
         m = shared.value
         total = [np.zeros((1, STATES)), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))]
 
-        def add(flat: np.ndarray, ends: np.ndarray) -> None:
-            sizes = np.diff(np.concatenate([[0], ends]))
-            per = -(-sizes // RUN)
-            rank = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-            at = np.repeat(ends - sizes, per) + rank * RUN
-            length = np.minimum(RUN, np.repeat(ends, per) - at)
-            order = np.argsort(-length, kind="stable")
-            at, length = at[order], length[order]
-            grid = flat[np.minimum(at[:, None] + np.arange(RUN), len(flat) - 1)]
-            for i in range(0, len(at), 8192):
-                for t, x in zip(total, expected(m, grid[i:i + 8192], length[i:i + 8192]), strict=True):
-                    t += x
+        def add(texts: list[np.ndarray]) -> None:
+            texts.sort(key=len, reverse=True)
+            for t, x in zip(total, expected(m, texts, np.array([len(x) for x in texts])), strict=True):
+                t += x
 
+        texts, n = [], 0
         for batch in batches:
-            flat, ends, n = [], [], 0
             for data in utf8(batch.column(0)):
-                flat.append(classes_of(m.top, words_of(data)))
-                n += len(flat[-1])
-                ends.append(n)
-                if n > 500_000:
-                    add(np.concatenate(flat), np.array(ends))
-                    flat, ends, n = [], [], 0
-            if n:
-                add(np.concatenate(flat), np.array(ends))
+                got = classes_of(m.top, words_of(data))
+                if texts and n + len(got) > TRAIN_TOKENS:
+                    add(texts)
+                    texts, n = [], 0
+                texts.append(got)
+                n += len(got)
+        if texts:
+            add(texts)
         kind = np.repeat([0, 1, 2], [len(t) for t in total])
         index = np.concatenate([np.arange(len(t)) for t in total])
         every = np.concatenate(total)

@@ -90,3 +90,36 @@ def test_expected_counts_equal_enumeration():
                 want[2][c, s] += x
     for a, b in zip((starts, moves, emits), want, strict=True):
         assert np.allclose(a, b)
+
+
+def test_training_counts_of_whole_texts(docs, monkeypatch):
+    """Equal to plain forward and backward recursions over texts of 1 to 1,000 tokens."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 62, 63, 64, 65, 130, 999)]
+    k = h.STATES
+    model = h.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.random((h.CLASSES, k)),
+                    {w.encode(): 1 + i for i, w in enumerate(words[:20])}, np.zeros(h.CLASSES), np.zeros(h.CLASSES))
+    want = [np.zeros((1, k)), np.zeros((k, k)), np.zeros((h.CLASSES, k))]
+    for t in texts:
+        c = h.classes_of(model.top, h.words_of(t.encode()))
+        a, b = [model.start * model.emit[c[0]]], [np.ones(k)]
+        for x in c[1:]:
+            a.append((a[-1] / a[-1].sum()) @ model.move * model.emit[x])
+        for x in c[:0:-1]:
+            y = model.move @ (model.emit[x] * b[0])
+            b.insert(0, y / y.sum())
+        for i, x in enumerate(c):
+            g = a[i] * b[i]
+            want[2][x] += g / g.sum()
+            if not i:
+                want[0][0] += g / g.sum()
+            else:
+                m = a[i - 1][:, None] * model.move * (model.emit[x] * b[i])
+                want[1] += m / m.sum()
+    assert np.isclose(want[1].sum(), sum(len(t.split()) for t in texts)) and np.isclose(want[0].sum(), len(texts))
+    for size in (h.TRAIN_TOKENS, 100):
+        monkeypatch.setattr(h, "TRAIN_TOKENS", size)
+        got = h.baum_welch_counts(docs(list(enumerate(texts))), model)
+        for kind, x in enumerate(want):
+            assert np.allclose([got.get((kind, i), np.zeros(k)) for i in range(len(x))], x)
