@@ -24,7 +24,7 @@ TRIP_KEY = ("train_code", "train_date")
 TRIP_ATTRS = ("train_type", "origin", "destination", "direction")
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols) -> Column:
+def null_safe_on(left: DataFrame, right: DataFrame, cols) -> Column:
     return functools.reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 
 
@@ -96,7 +96,7 @@ def upsert_trips(existing: DataFrame, rows: DataFrame, key=TRIP_KEY) -> DataFram
     """Existing trips plus trips first seen in ``rows`` (NULL key parts match
     NULL).  Existing attributes are never overwritten."""
     cand = first_write_trips(rows, key)
-    fresh = cand.join(existing, _null_safe_on(cand, existing, key), "left_anti")
+    fresh = cand.join(existing, null_safe_on(cand, existing, key), "left_anti")
     cols = [c for c in existing.columns]
     if "trip_id" in cols and "trip_id" not in fresh.columns:
         fresh = fresh.withColumn("trip_id", trip_id_expr(key))

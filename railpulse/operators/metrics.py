@@ -5,9 +5,9 @@ with endpoints mapped NULL/'' -> 'Unknown'.  A trip counts once per grain row
 ("trip-days"): summing ``unique_trips`` over dates or stations counts a trip
 more than once (SURVEY Q4), exactly as the reference's ranking does.
 
-Storage: Parquet partitioned by ``service_date``.  A full rebuild overwrites
-all partitions; a per-date refresh replaces only the touched partitions and
-removes those of dates that no longer have rows.
+The rows are built from *states*: snapshot count and peak of each trip within a
+row and station name.  States of parts of the snapshots add up to those of the
+whole, so :mod:`railpulse.operators.metrics_table` keeps them beside the metrics.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from railpulse.functions.expr import count_if, delay_probability, endpoint_or_un
 from railpulse.functions.ranges import TimeRange
 from railpulse.functions.scope import ScopeFilter, heuston_trip, is_heuston_station
 from railpulse.operators.peaks import PeakSpec, filtered_snapshots
-from railpulse.sources import folders
 from railpulse.sources.tables import RailData
 
 METRIC_COLUMNS = (
@@ -35,7 +34,7 @@ METRIC_COLUMNS = (
 )
 
 
-def _resolved_rows(data: RailData, window: TimeRange | None, cap: int | None) -> DataFrame:
+def trip_states(data: RailData, window: TimeRange | None = None, cap: int | None = MAX_STAT_DELAY) -> DataFrame:
     """(service_date, scope, station, origin, destination, trip, name) with
     snapshot count and peak.
 
@@ -76,13 +75,17 @@ GRAIN = ("service_date", "service_scope", "station_code", "origin", "destination
 def build_daily_metrics(data: RailData, window: TimeRange | None = None,
                         cap: int | None = MAX_STAT_DELAY, min_delay: int = DELAYED_MIN,
                         with_updated_at: bool = True) -> DataFrame:
-    """The metrics rows for all snapshots (or those inside ``window``).
+    """The metrics rows for all snapshots (or those inside ``window``)."""
+    return metrics_from_states(trip_states(data, window, cap), min_delay, with_updated_at)
+
+
+def metrics_from_states(rows: DataFrame, min_delay: int = DELAYED_MIN, with_updated_at: bool = True) -> DataFrame:
+    """Metrics rows of states, of which a trip may have several in a row.
 
     Measures come from a trip-grain hash aggregation; the station name (a
     string ``max``) is taken over the distinct names of each metrics row, a
     metrics-sized frame, and joined back on the grain (NULL-safe).
     """
-    rows = _resolved_rows(data, window, cap)
     tp = rows.groupBy(*GRAIN, "trip_id").agg(F.sum("n").cast("long").alias("snapshot_count"),
                                              F.max("p").alias("peak_delay"))
     peak = F.col("peak_delay")
@@ -102,11 +105,11 @@ def build_daily_metrics(data: RailData, window: TimeRange | None = None,
         sum_if(delayed, "peak_delay").alias("total_delay_minutes"),
         *cats,
     )
-    # The inner count keeps the distinct step (otherwise the optimizer folds
-    # it into the string max, which then sorts join-sized input).
-    names = rows.groupBy(*GRAIN, "station_full_name").agg(F.count(F.lit(1)).alias("_n")) \
-        .groupBy(*GRAIN).agg(F.max(F.when(F.col("_n") > 0, F.col("station_full_name")))
-                             .alias("station_full_name"))
+    # Both branches read the same columns of ``rows``, so that Spark shuffles the snapshots once for the two.
+    # The inner step also keeps the string max off join-sized input, which it would sort.
+    names = rows.groupBy(*GRAIN, "station_full_name").agg(F.sum("n").alias("_n"), F.max("p").alias("_p")) \
+        .groupBy(*GRAIN).agg(F.max(F.when((F.col("_n") > 0) & (F.col("_p").isNotNull() | (F.col("_n") < 2 ** 62)),
+                                          F.col("station_full_name"))).alias("station_full_name"))
     on = [m[k].eqNullSafe(names[k]) for k in GRAIN]
     cond = on[0]
     for c in on[1:]:
@@ -120,77 +123,6 @@ def build_daily_metrics(data: RailData, window: TimeRange | None = None,
     return m.select(*cols)
 
 
-# ---------------------------------------------------------------------------
-# Writes: full rebuild, per-date refresh, retention
-# ---------------------------------------------------------------------------
-
-def rebuild_metrics(data: RailData, path: str) -> None:
-    """O-S7: replace the whole table."""
-    (build_daily_metrics(data).write.mode("overwrite")
-     .option("partitionOverwriteMode", "static")
-     .partitionBy("service_date").parquet(path))
-
-
-def refresh_dates(data: RailData, path: str, dates) -> None:
-    """O-S8: recompute the given service dates and replace only their partitions.
-
-    One Spark job computes all touched dates into a staging folder beside the
-    table, reading only those dates' partitions; then the dates' folders are
-    swapped, the old ones being kept until the new ones are in place.  A date
-    with no remaining snapshots loses its partition.
-    """
-    spark = data.spark
-    dates = sorted({d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)) for d in dates})
-    if not dates:
-        return
-    window = TimeRange(dt.datetime.combine(dates[0], dt.time()),
-                       dt.datetime.combine(dates[-1] + dt.timedelta(days=1), dt.time()))
-    fresh = build_daily_metrics(_OnDates(data, dates), window)
-    staged = folders.staging(path)
-    fresh.write.partitionBy("service_date").parquet(staged)
-    parts = [f"service_date={d.isoformat()}" for d in dates]
-    made = folders.children(spark, staged, "service_date=")
-    folders.replace(spark, path, parts, {p: f"{staged}/{p}" for p in made})
-    folders.delete(spark, staged)
-
-
-class _OnDates(RailData):
-    """The rows of given service dates only (a store prunes all other partitions)."""
-
-    def __init__(self, base: RailData, dates: list[dt.date]):
-        self.base, self.dates, self.spark = base, [d.isoformat() for d in dates], base.spark
-
-    def snapshots(self, window: TimeRange | None = None) -> DataFrame:
-        df = self.base.snapshots(window)
-        on = F.col("service_date") if "service_date" in df.columns else F.to_date("captured_at")
-        return df.where(on.cast("date").isin([F.lit(d).cast("date") for d in self.dates]))
-
-    def trips(self) -> DataFrame:
-        return self.base.trips()
-
-
-def drop_partitions_before(spark, path: str, column: str, cutoff: dt.date) -> int:
-    """Delete whole ``column=<date>`` partitions strictly before ``cutoff``."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return 0
-    removed = 0
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if not name.startswith(column + "="):
-            continue
-        try:
-            d = dt.date.fromisoformat(name.split("=", 1)[1])
-        except ValueError:
-            continue
-        if d < cutoff:
-            fs.delete(status.getPath(), True)
-            removed += 1
-    return removed
-
-
 def metrics_retained(metrics: DataFrame, cutoff: dt.date) -> DataFrame:
     """O-S9 as a query: the rows a retention run keeps."""
     return metrics.where(F.col("service_date") >= F.lit(cutoff.isoformat()).cast("date"))

@@ -1,9 +1,7 @@
-"""Table folders: existence checks and replacement that keeps the old data until the new is in place."""
+"""Table folders and small files of a store, on whatever file system it lies."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 
 
@@ -40,45 +38,59 @@ def children(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith(prefix))
 
 
-def staging(parent: str) -> str:
-    """A hidden folder beside the data that it will replace, so that a rename never crosses file systems."""
-    return f"{parent}/.staging-{uuid.uuid4().hex}"
+def read_text(spark: SparkSession, path: str) -> str:
+    p, fs = hadoop(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    p, fs = hadoop(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Data files right in a folder, not in folders of it."""
+    p, fs = hadoop(spark, path)
+    found = (s.getPath() for s in fs.listStatus(p) if s.isFile())
+    return sorted(f.toString() for f in found if not f.getName().startswith((".", "_")))
 
 
-def rename(spark: SparkSession, src: str, dst: str) -> None:
+def move(spark: SparkSession, src: str, dst: str) -> None:
+    """Rename a folder, in place of one of that name that nothing reads yet."""
     s, fs = hadoop(spark, src)
     d, _ = hadoop(spark, dst)
+    fs.delete(d, True)
+    fs.mkdirs(d.getParent())
     if not fs.rename(s, d):
         raise OSError(f"{src} could not be renamed to {dst}")
 
 
+def rename_new(spark: SparkSession, src: str, dst: str) -> bool:
+    """Rename a file to a name that must be free; if it is not, the file goes and the answer is False."""
+    s, fs = hadoop(spark, src)
+    d, _ = hadoop(spark, dst)
+    jvm = spark._jvm
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(s).toUri(), spark._jsc.hadoopConfiguration())
+    free = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    free[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        files.rename(fs.makeQualified(s), fs.makeQualified(d), free)
+    except Exception as e:
+        if fs.exists(d):
+            fs.delete(s, False)
+            return False
+        raise OSError(f"{src} could not be renamed to {dst}") from e
+    return True
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p, fs = hadoop(spark, path)
     fs.delete(p, True)
-
-
-def replace(spark: SparkSession, parent: str, old: list[str], new: dict[str, str]) -> None:
-    """Within ``parent``, put folders in the place of others: ``new`` maps names to staged folders.
-
-    The old ones are set aside under hidden names and deleted only when every
-    new one is in place; if a rename fails, all goes back to where it was.
-    """
-    p, fs = hadoop(spark, parent)
-    fs.mkdirs(p)
-    aside = f"{parent}/.old-{uuid.uuid4().hex}"
-    done: list[tuple[str, str]] = []
-    try:
-        moves = [(f"{parent}/{n}", f"{aside}/{n}") for n in old if exists(spark, f"{parent}/{n}")]
-        if moves:
-            a, _ = hadoop(spark, aside)
-            fs.mkdirs(a)
-        moves += [(src, f"{parent}/{n}") for n, src in new.items()]
-        for src, dst in moves:
-            rename(spark, src, dst)
-            done.append((src, dst))
-    except Exception:
-        for src, dst in reversed(done):
-            rename(spark, dst, src)
-        raise
-    if exists(spark, aside):
-        delete(spark, aside)

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from railpulse.functions.ranges import TimeRange
 from railpulse.sources import folders
+from railpulse.sources.commits import CommitLog, Version
 
 TRIP_SCHEMA = T.StructType([
     T.StructField("trip_id", T.LongType(), False),
@@ -87,47 +88,114 @@ class RailData:
         raise NotImplementedError
 
 
+STATES_SCHEMA = T.StructType([
+    T.StructField("service_date", T.DateType()),
+    T.StructField("service_scope", T.StringType()),
+    T.StructField("station_code", T.StringType()),
+    T.StructField("station_full_name", T.StringType()),
+    T.StructField("origin", T.StringType()),
+    T.StructField("destination", T.StringType()),
+    T.StructField("trip_id", T.LongType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("p", T.IntegerType()),
+])
+
+BATCH = "batch_id"  # partition column that names who wrote a folder; not part of the tables
+
+
 class ParquetStore(RailData):
-    """Snapshots under ``<root>/snapshots`` partitioned by ``service_date``;
-    trips under ``<root>/trips``; metrics under ``<root>/metrics``."""
+    """Tables below a root: ``snapshots``, ``metrics`` and ``states`` in folders ``service_date=D/batch_id=B``, ``trips`` in
+    ``batch_id=B``.
+
+    Which folders count is said by the commit log (:mod:`railpulse.sources.commits`).  A table that the log does not
+    name is read as the plain Parquet folder that it is.  ``at(version)`` is the store as of one version, whatever is
+    committed meanwhile.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, version: Version | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.log = CommitLog(spark, self.root)
+        self.version = version
+
+    def at(self, version: Version) -> "ParquetStore":
+        return ParquetStore(self.spark, self.root, version)
+
+    def path(self, table: str) -> str:
+        return f"{self.root}/{table}"
 
     @property
     def snapshots_path(self) -> str:
-        return f"{self.root}/snapshots"
+        return self.path("snapshots")
 
     @property
     def trips_path(self) -> str:
-        return f"{self.root}/trips"
+        return self.path("trips")
 
     @property
     def metrics_path(self) -> str:
-        return f"{self.root}/metrics"
-
-    def _read(self, path: str, schema: T.StructType | None = None) -> DataFrame:
+        return self.path("metrics")
+
+    def latest(self) -> Version:
+        """The newest version.  A store without a log gets a first one of the folders that it has."""
+        found = self.log.latest()
+        while found is None:
+            self.log.create(Version(0, {t: tuple(self._leaves(t)) for t in ("trips", "snapshots", "states", "metrics")}))
+            found = self.log.latest()
+        return found
+
+    def _leaves(self, table: str, below: str = "") -> list[str]:
+        """Folders of a table without partition folders in them."""
+        path = f"{self.path(table)}/{below}".rstrip("/")
+        parts = [n for n in folders.children(self.spark, path, "") if "=" in n and not n.startswith((".", "_"))]
+        if parts:
+            return [x for n in parts for x in self._leaves(table, f"{below}/{n}".lstrip("/"))]
+        return [below or "."] if folders.has_data(self.spark, path) else []
+
+    def places(self, table: str, name: str) -> list[str]:
+        """What to read for a folder: a folder that is no batch's may have got those of batches since, so its files."""
+        path = self.path(table) if name == "." else f"{self.path(table)}/{name}"
+        return [path] if name.split("/")[-1].startswith(f"{BATCH}=") else folders.files(self.spark, path)
+
+    def read_folders(self, table: str, names, schema: T.StructType) -> DataFrame:
+        """The rows of some folders of a table."""
+        alike: dict[tuple[str, ...], list[str]] = {}  # Spark wants the same partition columns throughout
+        for n in names:
+            alike.setdefault(tuple(x.split("=")[0] for x in n.split("/") if "=" in x), []).append(n)
+        out = None
+        for some in alike.values():
+            # Dates are the only partition values; names of batches are no numbers.
+            df = self.spark.read.option("basePath", self.path(table)).parquet(*[x for n in some for x in self.places(table, n)]).drop(BATCH)
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        return self.spark.createDataFrame([], schema) if out is None else out
+
+    def _read(self, table: str, schema: T.StructType, days: tuple[str, str] | None = None) -> DataFrame:
+        version = self.version or self.log.latest()
+        if version is not None and table in version.tables:
+            names = version.of(table)
+            if days is not None:  # folders without a date in their name may hold any
+                names = [n for n in names if not n.startswith("service_date=") or days[0] <= n.split("/")[0].split("=")[1] < days[1]]
+            return self.read_folders(table, names, schema)
         # A table that was never written, or has lost its last partition, is empty; every other error is one.
-        if schema is not None and not folders.has_data(self.spark, path):
+        if not folders.has_data(self.spark, self.path(table)):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(path)
+        return self.spark.read.parquet(self.path(table))
 
     def snapshots(self, window: TimeRange | None = None) -> DataFrame:
-        part = T.StructType(SNAPSHOT_SCHEMA.fields + [T.StructField("service_date", T.DateType())])
-        df = self._read(self.snapshots_path, part)
-        if window is not None:
-            # The date predicate prunes partitions; the timestamp one is exact.
-            df = df.where((F.col("service_date") >= F.lit(window.start_date))
-                          & (F.col("service_date") < F.lit(window.end_date_exclusive))
-                          & window.predicate("captured_at"))
-        return df
+        schema = T.StructType(SNAPSHOT_SCHEMA.fields + [T.StructField("service_date", T.DateType())])
+        if window is None:
+            return self._read("snapshots", schema)
+        lo, hi = window.start_date, window.end_date_exclusive
+        df = self._read("snapshots", schema, (lo.isoformat(), hi.isoformat()))
+        # The date predicate prunes partitions of a plain folder; the timestamp one is exact.
+        return df.where((F.col("service_date") >= F.lit(lo)) & (F.col("service_date") < F.lit(hi))
+                        & window.predicate("captured_at"))
 
     def trips(self) -> DataFrame:
-        return self._read(self.trips_path, TRIP_SCHEMA)
+        return self._read("trips", TRIP_SCHEMA)
 
     def metrics(self) -> DataFrame:
-        return self._read(self.metrics_path, METRICS_SCHEMA)
+        return self._read("metrics", METRICS_SCHEMA)
 
 
 class FrameData(RailData):

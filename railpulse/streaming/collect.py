@@ -4,7 +4,8 @@ landed poll documents ──readStream──▶ parse (from_xml) ──▶ route
   ──▶ change filter (applyInPandasWithState) ──foreachBatch──▶
       1. trip upsert (first write wins)        -> <root>/trips
       2. snapshot append                        -> <root>/snapshots
-      3. metrics refresh of the touched dates   -> <root>/metrics
+      3. states and metrics of the touched rows -> <root>/states, <root>/metrics
+      4. commit of all of them at once          -> <root>/_commits
 
 Landing format: JSON lines ``{board_station, polled_at, payload}`` – one
 board document per station poll, ``polled_at`` being the poll instant that
@@ -14,28 +15,34 @@ Polls outside the service hours are not collected, and road services and the
 other scope's trains are dropped in every mode.  Documents that are not
 well-formed go to ``<root>/rejects``.
 
-Exactly-once on replay: every write of batch ``N`` goes to partitions tagged
-``batch_id=N`` with dynamic partition overwrite, so re-running a batch after a
-failure replaces its own output instead of duplicating it; the trip upsert is
-an anti join against stored trips, which is idempotent.  The ``trip_id`` is a
-hash of the natural key, so snapshots need no join to find their trip.
+Exactly-once: a batch writes folders named by the stream's own id and the batch
+number, and its commit notes that number for the stream.  A batch that the log
+has is not written again; one that failed before its commit replaces what it has
+left.  Another stream on the same store, with another checkpoint, has another id,
+so it replaces nothing; readings that the store has already, because the new
+stream reads the same documents, are left out.  Without a checkpoint of the
+caller's the stream keeps it in the store, so a restart goes on where it ended.
+The ``trip_id`` is a hash of the natural key, so snapshots need no join to find
+their trip.
 """
 
 from __future__ import annotations
 
-import uuid
+import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railpulse.functions.constants import HEUSTON_CODE
 from railpulse.operators import dataops as D
-from railpulse.operators import metrics as M
+from railpulse.operators import metrics_table as MT
 from railpulse.operators.catalog import normalize_code
 from railpulse.operators.live import board_filter, route_live_rows, scope_rows
-from railpulse.session import checkpoint_root
+from railpulse.sources import folders
+from railpulse.sources.commits import Conflict, Version
 from railpulse.sources.payloads import malformed, parse_live
-from railpulse.sources.tables import ParquetStore
+from railpulse.sources.tables import BATCH, SNAPSHOT_SCHEMA, TRIP_SCHEMA, ParquetStore
 from railpulse.streaming.state import change_filter, only_batches_with_data
 
 LANDED_SCHEMA = "board_station STRING, polled_at TIMESTAMP_NTZ, payload STRING"
@@ -78,47 +85,80 @@ def live_rows(landed: DataFrame, catalog: DataFrame | None = None, scope: str |
     return rows
 
 
-def write_batch(store: ParquetStore, batch: DataFrame, batch_id: int) -> None:
+# What tells a reading from another of the same poll.
+READING = ("trip_id", "station_code", "service_scope", "sch_depart", "late_minutes", "captured_at")
+TRIES = 20
+
+
+def write_batch(store: ParquetStore, batch: DataFrame, batch_id: int, run: str) -> None:
+    """Write and commit one batch of the stream ``run``, unless it is committed already."""
     # Read by several actions: without this, each would parse and run the state function again.
     batch = batch.withColumn("poll_id", F.col("_seq").cast("long")).persist()
     try:
-        _write_batch(store, batch, batch_id)
+        for attempt in range(TRIES):
+            base = store.latest()
+            if base.runs.get(run, -1) >= batch_id:
+                return
+            try:
+                return _write_batch(store, base, batch, batch_id, run)
+            except Conflict:  # maintenance or another stream has changed what this batch has read
+                if attempt == TRIES - 1:
+                    raise
     finally:
         batch.unpersist()
 
 
-def _write_batch(store: ParquetStore, batch: DataFrame, batch_id: int) -> None:
-    # 1. trips first seen in this batch; lookup restricted to the batch's keys.
-    cand = D.first_write_trips(batch).withColumn("trip_id", D.trip_id_expr())
-    existing = store.trips().select("trip_id", "train_date")
-    # The batch's candidate keys are small; AQE broadcasts them after measuring.
-    seen = existing.join(cand.select("trip_id", "train_date"), ["trip_id", "train_date"], "left_semi")
-    fresh = cand.join(seen, ["trip_id", "train_date"], "left_anti") \
-        .withColumn("batch_id", F.lit(batch_id))
-    (fresh.select("trip_id", "train_code", "train_date", "train_type", "origin", "destination", "direction",
-                  "batch_id")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(store.trips_path))
-    # 2. snapshots, trip_id derived from the natural key.
+def _write_batch(store: ParquetStore, base: Version, batch: DataFrame, batch_id: int, run: str) -> None:
+    spark, at, name = store.spark, store.at(base), f"{run}-{batch_id}"
+    # 1. snapshots, trip_id derived from the natural key.
     snaps = batch.withColumn("trip_id", D.trip_id_expr()).select(
         *[F.col(c) if c in batch.columns or c == "trip_id" else F.lit(None).cast("string").alias(c)
-          for c in SNAPSHOT_COLUMNS]) \
-        .withColumn("service_date", F.to_date("captured_at")).withColumn("batch_id", F.lit(batch_id))
-    (snaps.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("service_date", "batch_id").parquet(store.snapshots_path))
-    # 3. metrics of the dates this batch touched (a handful of dates).
-    dates = [r[0] for r in snaps.select("service_date").distinct().collect()]
-    M.refresh_dates(store, store.metrics_path, dates)
+          for c in SNAPSHOT_COLUMNS]).withColumn("service_date", F.to_date("captured_at"))
+    dates = [r[0] for r in snaps.select("service_date").distinct().collect()]  # a handful
+    others = [f for d in dates for f in base.of("snapshots", MT.day(d)) if f"/{BATCH}={run}-" not in f]
+    if others:
+        stored = store.read_folders("snapshots", others, SNAPSHOT_SCHEMA).select(*READING)
+        snaps = snaps.join(stored, D.null_safe_on(snaps, stored, READING), "left_anti")
+    added = {"snapshots": MT.write_dated(store, "snapshots", snaps, name)}
+    if not added["snapshots"]:
+        return
+    snaps = store.read_folders("snapshots", added["snapshots"], SNAPSHOT_SCHEMA)
+    # 2. trips first seen in this batch; the lookup is restricted to the batch's keys.
+    cand = D.first_write_trips(batch).withColumn("trip_id", D.trip_id_expr()) \
+        .join(snaps.select("trip_id").distinct(), "trip_id", "left_semi")
+    trips = at.trips()
+    # The batch's candidate keys are small; AQE broadcasts them after measuring.
+    keys = cand.select("trip_id", "train_date")
+    seen = trips.join(keys, D.null_safe_on(trips, keys, ["trip_id", "train_date"]), "left_semi")
+    fresh = cand.join(seen, D.null_safe_on(cand, seen, ["trip_id", "train_date"]), "left_anti")
+    columns = TRIP_SCHEMA.fieldNames()
+    fresh.select(*columns).write.mode("overwrite").parquet(f"{store.trips_path}/{BATCH}={name}")
+    fresh = store.read_folders("trips", [f"{BATCH}={name}"], TRIP_SCHEMA)
+    if fresh.isEmpty():
+        folders.delete(spark, f"{store.trips_path}/{BATCH}={name}")
+        fresh = spark.createDataFrame([], TRIP_SCHEMA)
+    else:
+        added["trips"] = [f"{BATCH}={name}"]
+    # 3. states and metrics of what this batch touches.
+    more, removed = MT.merge_batch(store, base, name, snaps, seen.select(*columns).unionByName(fresh.select(*columns)), dates)
+    store.log.commit(base, added | more, removed, run=(run, batch_id), now=time.time(),
+                     same=[("trips", ""), *((t, MT.day(d)) for t in ("states", "metrics") for d in dates)])
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream of a checkpoint folder; it stays the same over restarts."""
+    return json.loads(folders.read_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
 
 
 def start_collect(spark: SparkSession, landing: str, store_root: str, checkpoint: str | None = None,
                   catalog: DataFrame | None = None, scope: str | None = None,
                   trigger: dict | None = None, max_files: int | None = None):
-    """Start the collector; ``trigger`` defaults to the 30 s poll period."""
-    checkpoint = checkpoint or f"{checkpoint_root(spark)}/collect-{uuid.uuid4().hex}"
+    """Start the collector; ``trigger`` defaults to the 30 s poll period, ``checkpoint`` to a folder of the store."""
+    checkpoint = checkpoint or f"{store_root.rstrip('/')}/_checkpoints/collect-{scope or 'routed'}"
     store = ParquetStore(spark, store_root)
     changed = change_filter(live_rows(read_landed_stream(spark, landing, max_files), catalog, scope))
-    writer = changed.writeStream.foreachBatch(lambda df, bid: write_batch(store, df, bid)) \
+    writer = changed.writeStream.foreachBatch(
+        lambda df, bid: write_batch(store, df, bid, stream_id(spark, checkpoint))) \
         .option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"processingTime": "30 seconds"}))
     with only_batches_with_data(spark):

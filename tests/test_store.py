@@ -58,16 +58,16 @@ def test_orphans_go_and_new_batches_stay(spark, tmp_path):
     assert store.snapshots().count() == 2
 
 
-def test_a_failed_rename_leaves_the_old_data(spark, tmp_path, monkeypatch):
+def test_a_failed_commit_leaves_the_old_data(spark, tmp_path, monkeypatch):
     store = _store(spark, tmp_path)
-    real, calls = folders.rename, []
+    real, calls = folders.rename_new, []
 
     def fail(s, src, dst):
         calls.append(dst)
         if len(calls) == 2:
             raise OSError("no")
-        real(s, src, dst)
-    monkeypatch.setattr(folders, "rename", fail)
+        return real(s, src, dst)
+    monkeypatch.setattr(folders, "rename_new", fail)
     with pytest.raises(OSError):
         maintain(store, dt.datetime(2025, 1, 20))
     monkeypatch.undo()

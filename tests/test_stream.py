@@ -10,6 +10,7 @@ from railpulse.functions.constants import CONNOLLY, HEUSTON
 from railpulse.functions.scope import heuston_trip
 from railpulse.operators import dataops as D
 from railpulse.operators import metrics as M
+from railpulse.operators import metrics_table as MT
 from railpulse.operators.live import not_bus
 from railpulse.session import checkpoint_root
 from railpulse.sources.bindings import polls
@@ -59,7 +60,7 @@ def test_collect_stream(spark):
 
     # Refreshing a date twice changes nothing.
     day = stored.select(F.min("service_date")).first()[0]
-    M.refresh_dates(store, store.metrics_path, [day, day])
+    MT.refresh_dates(store, [day, day])
     again = store.metrics().select(*cols)
     assert again.exceptAll(rebuilt).count() == 0 and rebuilt.exceptAll(again).count() == 0
 
@@ -73,11 +74,11 @@ def test_collect_stream(spark):
     assert n1 == batch.where(F.col("captured_at") >= F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz")).count()
     assert store.metrics().where(F.col("service_date") < F.lit(cutoff.date().isoformat()).cast("date")).count() == 0
     assert store.trips().join(store.snapshots(), "trip_id", "left_anti").count() == 0
-    maintain(store, as_of)
+    maintain(store, as_of, keep_retired=dt.timedelta(0))
     assert store.snapshots().count() == n1
-    # Closed days are folded into one folder, beside the newest batch at most.
+    # Closed days are folded into one folder, and what was folded is gone.
     for day in folders.children(spark, store.snapshots_path, "service_date="):
-        assert len(folders.children(spark, f"{store.snapshots_path}/{day}", "batch_id=")) <= 2
+        assert len(folders.children(spark, f"{store.snapshots_path}/{day}", "batch_id=")) <= 1
 
 
 def test_live_board_stream(spark):
