@@ -754,6 +754,38 @@ SELECT train_code, station_code, train_date, late_minutes, captured_at
 FROM x WHERE prev IS DISTINCT FROM late_minutes"""))(stream_state_changes)
 
 
+# The collector over the same polls: what one scope stores, its trips and its metrics.  A second stream over the same
+# documents, begun half way, adds the first reading of each key again only where the store does not have it.
+from railpulse.streaming import jobs as J  # noqa: E402
+
+COLLECTED_VIEW = f"""
+taken AS (
+  SELECT *, 'CONNOLLY' AS service_scope, 'Station ' || station_code AS station_full_name, strftime(captured_at, '%H:%M') AS sch_arrival,
+         strftime(captured_at, '%H:%M:%S') AS exp_arrival, CASE WHEN poll_id % 3 = 0 THEN '' ELSE strftime(captured_at, '%M:%S') END AS exp_depart,
+         CASE WHEN late_minutes > 0 THEN 'Late' ELSE 'En Route' END AS status
+  FROM poll
+  WHERE (captured_at::TIME > TIME '05:59:59' OR captured_at::TIME < TIME '00:31:00')
+    AND lower(ifnull(train_type, '')) <> 'bus' AND NOT {HEU}),
+changes AS (
+  SELECT *, lag(late_minutes) OVER (PARTITION BY train_code, station_code, train_date, (captured_at - INTERVAL 3 HOUR)::DATE
+                                    ORDER BY captured_at, poll_id) AS before FROM taken),
+stored AS (SELECT *, captured_at::DATE AS service_date FROM changes WHERE before IS DISTINCT FROM late_minutes),
+trips AS (
+  SELECT train_code, train_date, train_type, origin, destination, direction FROM stored
+  QUALIFY row_number() OVER (PARTITION BY train_code, train_date ORDER BY captured_at, poll_id) = 1),
+readings AS (
+  SELECT t.*, true AS has_trip, s.station_code, s.station_full_name, s.service_scope, s.sch_depart, s.sch_arrival, s.exp_depart,
+         s.exp_arrival, s.status, s.late_minutes, s.captured_at, s.service_date
+  FROM stored s JOIN trips t ON t.train_code = s.train_code AND t.train_date = s.train_date)"""
+
+register("collect", O.with_views("SELECT * FROM readings", O.POLL_VIEW, COLLECTED_VIEW))(J.collect)
+register("maintain", O.with_views(f"""
+SELECT * FROM readings
+WHERE captured_at >= TIMESTAMP '{J.MAINTAIN_AS_OF - _dt.timedelta(days=J.MAINTAIN_DAYS)}'""", O.POLL_VIEW, COLLECTED_VIEW))(J.maintained)
+register("metrics_refresh_date", O.with_views("SELECT * FROM metrics", O.POLL_VIEW, COLLECTED_VIEW, """
+resolved AS (SELECT *, service_scope AS scope, train_code || train_date AS trip_id FROM readings)""" + METRICS_CTE))(J.collect_metrics)
+
+
 # ---------------------------------------------------------------------------
 # Bundles and summary shapes
 # ---------------------------------------------------------------------------
