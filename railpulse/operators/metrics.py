@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from railpulse.functions.constants import (
@@ -82,12 +82,16 @@ def build_daily_metrics(data: RailData, window: TimeRange | None = None,
 def metrics_from_states(rows: DataFrame, min_delay: int = DELAYED_MIN, with_updated_at: bool = True) -> DataFrame:
     """Metrics rows of states, of which a trip may have several in a row.
 
-    Measures come from a trip-grain hash aggregation; the station name (a
-    string ``max``) is taken over the distinct names of each metrics row, a
-    metrics-sized frame, and joined back on the grain (NULL-safe).
+    All buffers are fixed-width, so that every step is a hash aggregate: the largest station name of a row is found
+    as the largest number in the order of the distinct names.  Those are one row for each station name, and are
+    numbered in one task.
     """
-    tp = rows.groupBy(*GRAIN, "trip_id").agg(F.sum("n").cast("long").alias("snapshot_count"),
-                                             F.max("p").alias("peak_delay"))
+    # The distinct names read the same columns as the measures, so that Spark shuffles the snapshots once for both.
+    names = rows.groupBy("station_full_name").agg(F.sum("n").alias("_n"), F.max("p").alias("_p")) \
+        .where((F.col("_n") > 0) & (F.col("_p").isNotNull() | (F.col("_n") < 2 ** 62))) \
+        .select("station_full_name", F.row_number().over(Window.orderBy("station_full_name")).alias("_name"))
+    tp = rows.join(names, "station_full_name", "left").groupBy(*GRAIN, "trip_id").agg(
+        F.sum("n").cast("long").alias("snapshot_count"), F.max("p").alias("peak_delay"), F.max("_name").alias("_name"))
     peak = F.col("peak_delay")
     delayed = peak >= min_delay
     cats = []
@@ -103,19 +107,8 @@ def metrics_from_states(rows: DataFrame, min_delay: int = DELAYED_MIN, with_upda
         F.coalesce(F.avg(F.when(delayed, peak.cast("double"))), F.lit(0.0)).alias("average_delay_minutes"),
         F.coalesce(F.max(peak), F.lit(0)).cast("int").alias("max_delay_minutes"),
         sum_if(delayed, "peak_delay").alias("total_delay_minutes"),
-        *cats,
-    )
-    # Both branches read the same columns of ``rows``, so that Spark shuffles the snapshots once for the two.
-    # The inner step also keeps the string max off join-sized input, which it would sort.
-    names = rows.groupBy(*GRAIN, "station_full_name").agg(F.sum("n").alias("_n"), F.max("p").alias("_p")) \
-        .groupBy(*GRAIN).agg(F.max(F.when((F.col("_n") > 0) & (F.col("_p").isNotNull() | (F.col("_n") < 2 ** 62)),
-                                          F.col("station_full_name"))).alias("station_full_name"))
-    on = [m[k].eqNullSafe(names[k]) for k in GRAIN]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    m = m.join(names, cond, "inner").select(*[m[k] for k in GRAIN], names["station_full_name"],
-                                            *[m[c] for c in m.columns if c not in GRAIN])
+        *cats, F.max("_name").alias("_name"),
+    ).join(names, "_name", "left")
     cols = list(METRIC_COLUMNS)
     if with_updated_at:
         m = m.withColumn("updated_at", F.current_timestamp())
