@@ -23,6 +23,7 @@ from railpulse.functions.expr import count_if, delay_probability, non_empty, rou
 from railpulse.functions.ranges import TimeRange
 from railpulse.functions.scope import ScopeFilter
 from railpulse.operators.peaks import PeakSpec, trip_peaks
+from railpulse.operators.reports import newest_window
 from railpulse.sources.tables import RailData
 
 KEY_SNAPSHOT = ("station_code", "sch_depart")
@@ -57,12 +58,22 @@ def _groups(data, window, filt, snap_dims, trip_cols, first_seen=False, min_late
     return tp.groupBy(*snap_dims, *trip_cols).agg(*aggs)
 
 
+def _per_trip(data, window, filt, *dims, **aggs) -> DataFrame:
+    """Snapshot aggregates of each trip and ``dims``, of trips that exist: the join is at trip grain."""
+    s = data.snapshots(window)
+    pred = filt.station_predicate()
+    if pred is not None:
+        s = s.where(pred)
+    pre = s.groupBy("trip_id", *dims).agg(*[c.alias(n) for n, c in aggs.items()])
+    return pre.join(data.trips().select("trip_id"), "trip_id")
+
+
 def record_count(data, window, filt=NETWORK) -> DataFrame:
-    return records(data, window, filt).agg(F.count(F.lit(1)).alias("records"))
+    return _per_trip(data, window, filt, n=F.count(F.lit(1))).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("records"))
 
 
 def max_delay(data, window, filt=NETWORK) -> DataFrame:
-    return records(data, window, filt).agg(F.max("late_minutes").alias("max_delay"))
+    return _per_trip(data, window, filt, p=F.max("late_minutes")).agg(F.max("p").alias("max_delay"))
 
 
 def unique_trips(data, window, filt=NETWORK) -> DataFrame:
@@ -107,16 +118,15 @@ def station_stats(data, window, min_delay=DELAYED_MIN, limit=LIMIT_STATIONS) ->
 
 
 def hourly(data, window, late_gt=0, filt=NETWORK) -> DataFrame:
-    # Snapshot grain; the record view only adds the inner join to trips.
-    rec = records(data, window, filt)
+    """Per hour of capture, by hour: records, records late > late_gt, their mean."""
     late = F.col("late_minutes") > late_gt
-    g = rec.groupBy(F.hour("captured_at").alias("hour")).agg(
-        F.count(F.lit(1)).alias("total"),
-        count_if(late).alias("delayed"),
-        sum_if(late, "late_minutes").alias("_sum"))
+    per_trip = _per_trip(data, window, filt, F.hour("captured_at").alias("hour"), n=F.count(F.lit(1)), d=count_if(late),
+                         m=sum_if(late, "late_minutes"))
+    g = per_trip.groupBy("hour").agg(F.sum("n").cast("long").alias("total"), F.sum("d").cast("long").alias("delayed"),
+                                     F.sum("m").cast("long").alias("_sum"))
     return g.select(F.col("hour").cast("int"), F.format_string("%02d:00", "hour").alias("hour_label"),
                     "total", "delayed", round1(safe_ratio("_sum", "delayed")).alias("avg_delay"),
-                    delay_probability("delayed", "total").alias("delay_probability"))
+                    delay_probability("delayed", "total").alias("delay_probability")).orderBy("hour")
 
 
 TOP10_DIMS = ("station_full_name", "sch_depart", "sch_arrival")
@@ -179,8 +189,11 @@ def top_trains(data, min_delay=DELAYED_MIN, limit=LIMIT_TRAINS) -> DataFrame:
 
 
 def recent_rows(data, min_exclusive=DELAYED_MIN - 1, limit=LIMIT_RECENT_ROWS) -> DataFrame:
-    """The newest records with late > min_exclusive (no outlier cap)."""
-    rec = records(data, None).where(F.col("late_minutes") > min_exclusive)
+    """The newest records with late > min_exclusive (no outlier cap); the history is read from its newest end."""
+    def late(window) -> DataFrame:
+        return records(data, window).where(F.col("late_minutes") > min_exclusive)
+
+    rec = late(newest_window(data, late, limit))
     order = [F.col("captured_at").desc(), F.col("train_code").asc(), F.col("station_code").asc(),
              F.col("sch_depart").asc(), F.col("late_minutes").asc(), F.col("train_date").asc()]
     return rec.select("train_code", "station_code", "station_full_name", "train_date", "sch_depart",

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from railpulse.functions.constants import (
     ALL_SCOPES, CATEGORIES, DELAYED_MIN, MAX_STAT_DELAY,
 )
-from railpulse.functions.expr import count_if, delay_probability, endpoint_or_unknown, round1, safe_ratio, sum_if
+from railpulse.functions.expr import count_if, delay_probability, endpoint_or_unknown, reliability_band, round1, safe_ratio, sum_if
 from railpulse.functions.ranges import TimeRange
 from railpulse.functions.scope import ScopeFilter, heuston_trip, is_heuston_station
 from railpulse.operators.peaks import PeakSpec, filtered_snapshots
@@ -147,5 +147,6 @@ def station_ranking(metrics: DataFrame, window: TimeRange, filt: ScopeFilter = S
         "station_code", "station_full_name", "total_trips", "delayed_trips",
         round1("_ratio").alias("average_delay"),
         delay_probability("delayed_trips", "total_trips").alias("delay_probability"),
-        "total_delay_minutes", "_ratio").orderBy(*order).drop("_ratio")
+        "total_delay_minutes", "_ratio").withColumn("reliability_band", reliability_band("delay_probability")) \
+        .orderBy(*order).drop("_ratio")
 

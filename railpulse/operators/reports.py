@@ -11,6 +11,9 @@ trains -> train_code; days -> train_date.
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,7 +168,7 @@ TOP_TRIP_COLUMNS = ("train_code", "station_full_name", "train_date", "sch_depart
 
 
 def _pick_rows(data: RailData, window, filt: ScopeFilter, cap, top: DataFrame, match,
-               pick, min_late: int | None = None) -> DataFrame:
+               pick, min_late: int | None = None, limit: int = LIMIT_TRIPS) -> DataFrame:
     """Join the snapshots of the selection to the ``top`` trips and pick one
     row per trip.
 
@@ -177,7 +180,7 @@ def _pick_rows(data: RailData, window, filt: ScopeFilter, cap, top: DataFrame, m
     top_cols = [c for c in top.columns if c != "trip_id"]
     snap_cols = [c for c in s.columns if c != "trip_id"]
     s = s.select("trip_id", *[F.col(c).alias(f"_s_{c}") for c in snap_cols])
-    j = s.join(F.broadcast(top), "trip_id")
+    j = s.join(bounded(top, limit), "trip_id")
     if filt.is_scoped:
         if "_s_resolved_scope" in j.columns:
             j = j.where(F.col("_s_resolved_scope").isin(list(filt.scope_set)))
@@ -209,7 +212,7 @@ def top_delayed_trips(data: RailData, window: TimeRange, filt: ScopeFilter = SCO
     lookup_filter = filt if peak_lookup == "filtered" else ScopeFilter.network()
     pick = F.min(F.struct(*[F.col(f"_s_{f}").alias(f) for f in PEAK_ROW_FIELDS]))
     rows = _pick_rows(data, window, lookup_filter, cap, top,
-                      F.col("_s_late_minutes") == F.col("peak_delay"), pick)
+                      F.col("_s_late_minutes") == F.col("peak_delay"), pick, limit=limit)
     out = rows.select("*", *[F.col(f"_row.{f}").alias(f) for f in PEAK_ROW_FIELDS]).drop("_row")
     return out.select(
         "trip_id", "train_code", "station_full_name", "train_date", "sch_depart", "sch_arrival",
@@ -218,24 +221,60 @@ def top_delayed_trips(data: RailData, window: TimeRange, filt: ScopeFilter = SCO
     ).orderBy(F.col("peak_delay").desc(), F.col("trip_id").asc()).drop("trip_id")
 
 
+#: Rows of a frame up to which the caller's limit is taken as the proof that it can be broadcast.
+BROADCAST_LIMIT = 10_000
+
+
+def bounded(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` of at most ``limit`` rows, broadcast if these are few."""
+    return F.broadcast(df) if limit <= BROADCAST_LIMIT else df
+
+
+def newest_window(data: RailData, candidates: Callable[[TimeRange], DataFrame], limit: int) -> TimeRange | None:
+    """The end of the history that holds the ``limit`` newest candidates; None if that is all of it.
+
+    Windows of 1, 4, 16 … days back from the newest service date are read until ``candidates`` of one are enough.
+    What is not read is older than all of the window, so none of the newest is missed.  Where candidates are rare
+    the work is a third more than one pass.
+    """
+    days = data.first_and_last_day()
+    if days is None:
+        return None
+    end = dt.datetime.combine(days[1] + dt.timedelta(days=1), dt.time())
+    n = 1
+    while True:
+        start = days[1] - dt.timedelta(days=n - 1)
+        if start <= days[0]:
+            return None
+        window = TimeRange(dt.datetime.combine(start, dt.time()), end)
+        if candidates(window).limit(limit).count() >= limit:
+            return window
+        n *= 4
+
+
 def recent_delayed_trips(data: RailData, filt: ScopeFilter = SCOPED, cap="auto",
                          min_delay: int = DELAYED_MIN, limit: int = LIMIT_RECENT_TRIPS,
                          keep_captured_at: bool = False) -> DataFrame:
     """Latest delayed snapshot of each trip, the ``limit`` newest trips.
 
-    No date window (the reference ignores it here, SURVEY Q14).  Phase one
+    No date window (the reference ignores it here, SURVEY Q14): the history
+    is read from its newest end, as far as it takes.  Phase one
     hash-aggregates each trip's latest delayed capture time; phase two reads
     the rows of the ``limit`` chosen trips at that instant and breaks ties.
     """
     cap = _cap_for(filt, cap)
-    spec = PeakSpec(window=None, filt=filt, cap=cap, min_late=min_delay,
-                    extra_max=(("last_seen", F.col("captured_at")),),
-                    trip_cols=("train_code", "origin", "destination"), need_join=True)
-    tp = trip_peaks(data, spec)
+
+    def latest(window: TimeRange | None) -> DataFrame:
+        return trip_peaks(data, PeakSpec(window=window, filt=filt, cap=cap, min_late=min_delay,
+                                         extra_max=(("last_seen", F.col("captured_at")),),
+                                         trip_cols=("train_code", "origin", "destination"), need_join=True))
+
+    window = newest_window(data, latest, limit)
+    tp = latest(window)
     top = tp.orderBy(F.col("last_seen").desc(), F.col("trip_id").asc()).limit(limit)
     pick = F.max(F.struct(*[F.col(f"_s_{c}").alias(c) for c in LAST_ROW_FIELDS]))
-    rows = _pick_rows(data, None, filt, cap, top, F.col("_s_captured_at") == F.col("last_seen"), pick,
-                      min_late=min_delay)
+    rows = _pick_rows(data, window, filt, cap, top, F.col("_s_captured_at") == F.col("last_seen"), pick,
+                      min_late=min_delay, limit=limit)
     out = rows.select("trip_id", "train_code", "origin", "destination",
                       F.col("_row.captured_at").alias("captured_at"),
                       F.col("_row.station_full_name").alias("station_full_name"),
@@ -251,19 +290,20 @@ def recent_delay_rows(data: RailData, min_exclusive: int = DELAYED_MIN - 1,
                       cap: int | None = MAX_STAT_DELAY, limit: int = LIMIT_RECENT_ROWS,
                       nested: bool = True) -> DataFrame:
     """The ``limit`` newest snapshots with min_exclusive < late <= cap, each
-    with its trip nested (O-L3)."""
-    s = data.snapshots(None).where(F.col("late_minutes") > min_exclusive)
-    if cap is not None:
-        s = s.where(F.col("late_minutes") <= cap)
+    with its trip nested (O-L3).  The history is read from its newest end."""
+    def late(window: TimeRange | None) -> DataFrame:
+        s = data.snapshots(window).where(F.col("late_minutes") > min_exclusive)
+        return s if cap is None else s.where(F.col("late_minutes") <= cap)
+
     order = [F.col("captured_at").desc(), F.col("trip_id").asc(), F.col("station_code").asc(),
              F.col("sch_depart").asc(), F.col("late_minutes").asc()]
-    top = s.select("trip_id", "station_code", "station_full_name", "sch_depart", "late_minutes",
-                   "captured_at").orderBy(*order).limit(limit)
+    top = late(newest_window(data, late, limit)).select(
+        "trip_id", "station_code", "station_full_name", "sch_depart", "late_minutes", "captured_at").orderBy(*order).limit(limit)
     # ``top`` holds at most ``limit`` rows: the trip lookup joins against a
     # bounded frame.
     trips = data.trips()
     nested_df = top.join(
-        trips.join(F.broadcast(top.select("trip_id").distinct()), "trip_id", "left_semi"),
+        trips.join(bounded(top.select("trip_id").distinct(), limit), "trip_id", "left_semi"),
         "trip_id", "left")
     trip_fields = ("train_code", "train_date", "train_type", "origin", "destination", "direction")
     base = ("trip_id", "station_code", "station_full_name", "sch_depart", "late_minutes", "captured_at")
@@ -328,7 +368,7 @@ def routes(data: RailData, window: TimeRange, filt: ScopeFilter = SCOPED, cap="a
         "origin", "destination", "total_trips", "delayed_trips", "total_delay_minutes",
         round1("_avg").alias("average_delay"),
         delay_probability("delayed_trips", "total_trips").alias("delay_probability"),
-    ).orderBy(*order)
+    ).withColumn("reliability_band", reliability_band("delay_probability")).orderBy(*order)
 
 
 # ---------------------------------------------------------------------------
@@ -423,4 +463,5 @@ def station_stats(data: RailData, window: TimeRange, filt: ScopeFilter = ScopeFi
         "station_code", "station_full_name", "total_trips", "delayed_trips",
         round1("_avg").alias("average_delay"),
         delay_probability("delayed_trips", "total_trips").alias("delay_probability"),
-        "total_delay_minutes", "_avg").orderBy(*order).drop("_avg")
+        "total_delay_minutes", "_avg").withColumn("reliability_band", reliability_band("delay_probability")) \
+        .orderBy(*order).drop("_avg")

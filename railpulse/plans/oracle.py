@@ -108,6 +108,11 @@ def prob(delayed: str, total: str) -> str:
     return f"(CASE WHEN ({total}) > 0 THEN {round1(f'CAST({delayed} AS DOUBLE) * 100.0 / ({total})')} ELSE 0.0 END)"
 
 
+def band(delayed: str, total: str) -> str:
+    p = prob(delayed, total)
+    return f"(CASE WHEN {p} < 20 THEN 'low' WHEN {p} < 40 THEN 'medium' ELSE 'high' END)"
+
+
 def win(lo: str, hi: str, col: str = "captured_at") -> str:
     return f"{col} >= TIMESTAMP '{lo}' AND {col} < TIMESTAMP '{hi}'"
 

@@ -75,9 +75,7 @@ agg AS (SELECT CAST(COALESCE(SUM(n), 0) AS BIGINT) AS total_snapshots,
 SELECT total_snapshots, unique_trips, delayed_trips, unique_trips - delayed_trips AS on_time_trips,
        total_delay_minutes, max_delay,
        {O.round1(O.ratio('total_delay_minutes', 'delayed_trips'))} AS average_delay,
-       {O.prob('delayed_trips', 'unique_trips')} AS delay_probability,
-       CASE WHEN {O.prob('delayed_trips', 'unique_trips')} < 20 THEN 'low'
-            WHEN {O.prob('delayed_trips', 'unique_trips')} < 40 THEN 'medium' ELSE 'high' END AS reliability_band
+       {O.prob('delayed_trips', 'unique_trips')} AS delay_probability, {O.band('delayed_trips', 'unique_trips')} AS reliability_band
 FROM agg""")
 
 
@@ -140,7 +138,7 @@ SELECT CAST(EXTRACT(hour FROM captured_at) AS INTEGER) AS hour,
        {O.round1('COALESCE(AVG(CASE WHEN late_minutes > 0 THEN CAST(late_minutes AS DOUBLE) END), 0)')} AS avg_delay,
        {O.prob('SUM(CASE WHEN late_minutes > 0 THEN 1 ELSE 0 END)', 'COUNT(*)')} AS delay_probability
 FROM {source} WHERE {where}
-GROUP BY 1"""
+GROUP BY 1 ORDER BY 1"""
     return O.ab(body)
 
 
@@ -205,13 +203,17 @@ for _name, _f in RAW_VARIANTS.items():
     register(f"recent5_{_name}", _recent5_sql(_sp(_f)))(
         lambda spark, d, _f=_f: R.recent_delayed_trips(_a(spark, d), _f))
 
-register("recent50", O.a("""
+RECENT50_SQL = O.a("""
 SELECT s.trip_id, s.station_code, s.station_full_name, s.sch_depart, s.late_minutes, s.captured_at,
        t.train_code, t.train_date, t.train_type, t.origin, t.destination, t.direction
 FROM snapshot s LEFT JOIN trip t ON t.trip_id = s.trip_id
 WHERE s.late_minutes > 4 AND s.late_minutes <= 500
 ORDER BY s.captured_at DESC, s.trip_id ASC, s.station_code ASC, s.sch_depart ASC, s.late_minutes ASC
-LIMIT 50"""))(lambda spark, d: R.recent_delay_rows(_a(spark, d), nested=False))
+LIMIT 50""")
+register("recent50", RECENT50_SQL)(lambda spark, d: R.recent_delay_rows(_a(spark, d), nested=False))
+# The nested form, its trip's fields read out of the nest.
+register("recent50_nested", RECENT50_SQL)(
+    lambda spark, d: R.recent_delay_rows(_a(spark, d)).select("*", "trip.*").drop("trip"))
 
 
 # ---------------------------------------------------------------------------
@@ -226,6 +228,7 @@ def _endpoint_sql(names, where: str, missing: str, order: str, limit: int) -> st
         sel = ", ".join(names)
         having_ep = " AND ".join(f"{n} IS NOT NULL AND {n} <> ''" for n in names)
     keys = ", ".join(names)
+    band = f", {O.band('delayed_trips', 'total_trips')} AS reliability_band" if len(names) > 1 else ""
     return O.ab(f""",
 tp AS (SELECT trip_id, {sel}, MAX(late_minutes) AS peak
        FROM resolved WHERE {where} AND {having_ep}
@@ -237,7 +240,7 @@ r AS (SELECT {keys}, COUNT(*) AS total_trips,
       HAVING SUM(CASE WHEN peak >= 5 THEN 1 ELSE 0 END) > 0)
 SELECT {keys}, total_trips, delayed_trips, total_delay_minutes,
        {O.round1(O.ratio('total_delay_minutes', 'delayed_trips'))} AS average_delay,
-       {O.prob('delayed_trips', 'total_trips')} AS delay_probability
+       {O.prob('delayed_trips', 'total_trips')} AS delay_probability{band}
 FROM r ORDER BY {order} LIMIT {limit}""")
 
 
@@ -328,6 +331,7 @@ SELECT station_code, MAX(station_full_name) AS station_full_name,
        CAST(COALESCE(SUM(delayed_trips), 0) AS BIGINT) AS delayed_trips,
        {O.round1(O.ratio('SUM(total_delay_minutes)', 'SUM(delayed_trips)'))} AS average_delay,
        {O.prob('SUM(delayed_trips)', 'SUM(unique_trips)')} AS delay_probability,
+       {O.band('SUM(delayed_trips)', 'SUM(unique_trips)')} AS reliability_band,
        CAST(COALESCE(SUM(total_delay_minutes), 0) AS BIGINT) AS total_delay_minutes
 FROM metrics
 WHERE service_date >= DATE '{WHOLE.start_date}' AND service_date < DATE '{WHOLE.end_date_exclusive}'
@@ -389,7 +393,7 @@ r AS (SELECT station_code, station_full_name, COUNT(*) AS total_trips,
       FROM st GROUP BY station_code, station_full_name)
 SELECT station_code, station_full_name, total_trips, delayed_trips,
        {O.round1(O.ratio('total_delay_minutes', 'delayed_trips'))} AS average_delay,
-       {O.prob('delayed_trips', 'total_trips')} AS delay_probability,
+       {O.prob('delayed_trips', 'total_trips')} AS delay_probability, {O.band('delayed_trips', 'total_trips')} AS reliability_band,
        total_delay_minutes
 FROM r
 ORDER BY delayed_trips DESC, {O.ratio('total_delay_minutes', 'delayed_trips')} DESC,
@@ -483,7 +487,7 @@ SELECT CAST(EXTRACT(hour FROM captured_at) AS INTEGER) AS hour,
        CAST(SUM(CASE WHEN late_minutes > 0 THEN 1 ELSE 0 END) AS BIGINT) AS delayed,
        {O.round1('COALESCE(AVG(CASE WHEN late_minutes > 0 THEN CAST(late_minutes AS DOUBLE) END), 0)')} AS avg_delay,
        {O.prob('SUM(CASE WHEN late_minutes > 0 THEN 1 ELSE 0 END)', 'COUNT(*)')} AS delay_probability
-FROM rec WHERE {WIN} GROUP BY 1"""))(lambda spark, d: L.hourly(_a(spark, d), WHOLE))
+FROM rec WHERE {WIN} GROUP BY 1 ORDER BY 1"""))(lambda spark, d: L.hourly(_a(spark, d), WHOLE))
 register("legacy_top10", _rec(f"""
 SELECT train_code, station_full_name, train_date, sch_depart, sch_arrival, direction, origin, destination,
        CAST(MAX(late_minutes) AS INTEGER) AS peak_delay, COUNT(*) AS snapshot_count
@@ -889,7 +893,7 @@ SELECT CAST(EXTRACT(hour FROM captured_at) AS INTEGER) AS hour,
        CAST(SUM(CASE WHEN late_minutes > 0 THEN 1 ELSE 0 END) AS BIGINT) AS delayed,
        {O.round1('COALESCE(AVG(CASE WHEN late_minutes > 0 THEN CAST(late_minutes AS DOUBLE) END), 0)')} AS avg_delay,
        {O.prob('SUM(CASE WHEN late_minutes > 0 THEN 1 ELSE 0 END)', 'COUNT(*)')} AS delay_probability
-FROM rec WHERE {_LW} GROUP BY 1"""))(lambda spark, d: L.hourly(_a(spark, d), WHOLE, filt=STATION))
+FROM rec WHERE {_LW} GROUP BY 1 ORDER BY 1"""))(lambda spark, d: L.hourly(_a(spark, d), WHOLE, filt=STATION))
 register("legacy_top10_station", _rec(f"""
 SELECT train_code, station_full_name, train_date, sch_depart, sch_arrival, direction, origin, destination,
        CAST(MAX(late_minutes) AS INTEGER) AS peak_delay, COUNT(*) AS snapshot_count

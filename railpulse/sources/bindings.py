@@ -10,6 +10,8 @@ The expressions are listed in FIXTURES.md section 2; the DuckDB oracle in
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,11 @@ class TpchBinding(RailData):
              .otherwise(F.lit("Southbound")).alias("direction"),
         )
 
+    def first_and_last_day(self) -> tuple[dt.date, dt.date] | None:
+        # captured_at is within the day of l_shipdate: one column is enough
+        r = self.table("lineitem").agg(F.to_date(F.min("l_shipdate")).alias("a"), F.to_date(F.max("l_shipdate")).alias("b")).first()
+        return None if r["a"] is None else (r["a"], r["b"])
+
     # -- snapshot -------------------------------------------------------------
     def snapshots(self, window: TimeRange | None = None) -> DataFrame:
         li = self.table("lineitem")

@@ -21,6 +21,8 @@ service_date date, resolved_scope string).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +89,11 @@ class RailData:
     def trips(self) -> DataFrame:  # pragma: no cover
         raise NotImplementedError
 
+    def first_and_last_day(self) -> tuple[dt.date, dt.date] | None:
+        """Service dates between which all snapshots lie; None if there are none."""
+        r = self.snapshots().agg(F.to_date(F.min("captured_at")).alias("a"), F.to_date(F.max("captured_at")).alias("b")).first()
+        return None if r["a"] is None else (r["a"], r["b"])
+
 
 STATES_SCHEMA = T.StructType([
     T.StructField("service_date", T.DateType()),
@@ -191,6 +198,13 @@ class ParquetStore(RailData):
         return df.where((F.col("service_date") >= F.lit(lo)) & (F.col("service_date") < F.lit(hi))
                         & window.predicate("captured_at"))
 
+    def first_and_last_day(self) -> tuple[dt.date, dt.date] | None:
+        names = self.latest().of("snapshots") if self.version is None else self.version.of("snapshots")
+        days = {n.split("/")[0].removeprefix("service_date=") for n in names}
+        if not all(d[:4].isdigit() for d in days):  # rows without a date, or a table that is not laid out by it
+            return super().first_and_last_day()
+        return (dt.date.fromisoformat(min(days)), dt.date.fromisoformat(max(days))) if days else None
+
     def trips(self) -> DataFrame:
         return self._read("trips", TRIP_SCHEMA)
 
