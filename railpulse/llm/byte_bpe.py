@@ -8,9 +8,14 @@ lower rank, when the order could matter -- until no piece has a pair left.  Piec
 themselves are taken whole, as the tiktoken library does.  Decoding joins token rows with the vocabulary
 and aggregates the bytes ordered by position.
 
+A piece of more than ``LONG_BYTES`` is contracted in overlapping windows, all at once, which are joined where two
+neighbours have two token ends in common; if some have not, in longer segments one after the other
+(:mod:`railpulse.llm.long_pieces` says why both give the ids of the whole piece).  A query's rows and steps are
+bounded so, whatever the length of a text or piece.
+
 A null text encodes as the empty one (no ids), empty ids decode to nothing.  Rows are independent:
 repeated rows and ids give repeated results, an empty table gives an empty one, other columns are not
-read.  The recursion works on bounded numbers of rows and steps, whatever the length of a text or piece.
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
+from collections.abc import Iterable
 
 import duckdb
 import numpy as np
@@ -27,14 +34,19 @@ import regex
 from pyspark.sql import DataFrame
 
 from railpulse.llm.common import bounded_batches, table, utf8
+from railpulse.llm.long_pieces import encode_long
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-GROUP_PIECES = 400_000  # pieces of the texts that are encoded together (one text at least)
+GROUP_STRETCHES = 200_000  # stretches of the texts that are encoded together (one text at least)
+LONG_BYTES = 256  # longer pieces are contracted in windows
+WINDOW, STRIDE = 96, 64  # bytes of a window, and from one to the next
+LONG_SEGMENT, LONG_OVERLAP = 1 << 14, 256  # bytes where windows do not do
 SHORT_BYTES = 32  # pieces up to this size are contracted one pair a step
 CALL_BYTES = 200_000  # bytes of the pieces of one recursive query (one piece at least)
 CALL_ROWS = 4_000_000  # rows that the steps of one recursive query may hold
-CACHE_PIECES = 300_000  # pieces whose ids a worker remembers
+CACHE_PIECES = 200_000  # pieces, and stretches, whose ids a worker remembers in each of two generations
 DECODE_TOKENS = 500_000  # tokens of one decoding query, and of one ordered aggregate
+DECODE_TEXTS = 1000  # texts of one decoding query
 
 ENCODE_SQL = """
 WITH RECURSIVE s(w, p, t, done, step) AS (
@@ -60,18 +72,18 @@ ENCODE_SHORT_SQL = """
 WITH RECURSIVE s(w, p, t, done, step) AS (
   SELECT w, p, t, false, 0 FROM chars
   UNION ALL
-  (WITH a AS (SELECT w, p, t, step, lead(t) OVER k AS nt, lead(p) OVER k AS np
-              FROM s WHERE NOT done AND step < {steps} WINDOW k AS (PARTITION BY w ORDER BY p)),
-   m AS (SELECT a.w, a.p, a.np, g.rank, g.rank::BIGINT * 4294967296 + a.p AS k
-         FROM a JOIN merges g ON a.t = g.l AND a.nt = g.r),
-   b AS (SELECT w, min(rank) AS rank, arg_min(p, k) AS p, arg_min(np, k) AS np FROM m GROUP BY w)
-   SELECT a.w, a.p, CASE WHEN a.p = b.p THEN b.rank ELSE a.t END, b.w IS NULL, a.step + 1
-   FROM a LEFT JOIN b ON a.w = b.w WHERE b.w IS NULL OR a.p <> b.np)
+  (WITH a AS (SELECT w, p, t, step, lead(t) OVER k AS nt, lead(w) OVER k AS nw, lag(p) OVER k AS before
+              FROM s WHERE NOT done AND step < {steps} WINDOW k AS (ORDER BY p)),
+   b AS (SELECT a.w, min(g.rank::BIGINT * 4294967296 + a.p) AS best
+         FROM a JOIN merges g ON a.t = g.l AND a.nt = g.r WHERE a.w = a.nw GROUP BY a.w)
+   SELECT a.w, a.p, CASE WHEN a.p = b.best % 4294967296 THEN (b.best // 4294967296)::INTEGER ELSE a.t END, b.w IS NULL, a.step + 1
+   FROM a LEFT JOIN b ON a.w = b.w WHERE b.w IS NULL OR a.before IS NULL OR a.before <> b.best % 4294967296)
 )
 SELECT w, p, t, done FROM s WHERE done OR step = {steps} ORDER BY w, p
 """
+#: Rows reach the aggregate in order of position; one thread and few groups keep them so.
 DECODE_SQL = """
-SELECT d, string_agg(v.bytes, '' ORDER BY p) AS bytes FROM ids JOIN vocabulary v ON ids.t = v.t GROUP BY d ORDER BY d
+SELECT d, string_agg(bytes, '') AS bytes FROM (SELECT d, v.bytes FROM ids JOIN vocabulary v ON ids.t = v.t ORDER BY p) GROUP BY d ORDER BY d
 """
 
 
@@ -86,6 +98,26 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table([*columns, pa.array([low.get(x[2], x[2]) < x[2] for x in rows])], names=["l", "r", "rank", "one"])
 
 
+class Recent(dict):
+    """Remembered ids; of two generations, those not asked for in one go with the next."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """The distinct keys that are not known; the others are young again."""
+        new = [x for x in dict.fromkeys(keys) if x not in self]
+        found = {x: self.before[x] for x in new if x in self.before}
+        self.update(found)
+        return [x for x in new if x not in found]
+
+    def age(self) -> None:
+        if len(self) > CACHE_PIECES:
+            self.before = {k: v for k, v in self.items() if len(k) <= LONG_BYTES}  # long ones hardly come again
+            self.clear()
+
+
 class Codec:
     """Encoder and decoder over one rank file; one in each Python worker."""
 
@@ -99,7 +131,12 @@ class Codec:
         self.db.register("tokens", pa.table({"t": pa.array(self.ranks.values(), pa.int32()),
                                              "bytes": [t.decode("latin-1") for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
-        self.cache: dict[str, bytes] = {}
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        for token, rank in self.ranks.items():
+            self.sizes[rank] = len(token)
+        # pieces never cross from other characters to white space, so these are cut into pieces by themselves
+        self.stretch = regex.compile(r"\s*\S+|\s+")
+        self.pieces, self.stretches = Recent(), Recent()
 
     def contract(self, pieces: list[bytes], sql: str) -> list[bytes]:
         """Ids (little-endian 32-bit) of each piece, none of which is a token itself."""
@@ -121,25 +158,59 @@ class Codec:
             w, p, t = w[~done], p[~done], t[~done]
         return out
 
+    def contract_all(self, pieces: list[bytes], sql: str) -> list[bytes]:
+        """``contract`` of any number of pieces, some at a time."""
+        out: list[bytes] = []
+        a = 0
+        while a < len(pieces):
+            b, size = a, 0
+            while b < len(pieces) and (b == a or size + len(pieces[b]) <= CALL_BYTES):
+                size += len(pieces[b])
+                b += 1
+            out += self.contract(pieces[a:b], sql)
+            a = b
+        return out
+
+    def contract_long(self, piece: bytes) -> bytes:
+        """Ids of one long piece."""
+        starts = range(0, max(1, len(piece) - WINDOW + STRIDE), STRIDE)
+        windows = [np.frombuffer(x, "<u4") for x in self.contract_all([piece[a:a + WINDOW] for a in starts], ENCODE_SHORT_SQL)]
+        ends = [a + np.cumsum(self.sizes[x]) for a, x in zip(starts, windows, strict=True)]
+        out, settled = [], 0
+        for i, ids in enumerate(windows):
+            mine = ends[i]
+            if i + 1 < len(windows):
+                both = np.intersect1d(mine[(mine > max(starts[i + 1], settled)) & (mine < starts[i] + WINDOW)],
+                                      ends[i + 1][ends[i + 1] < starts[i + 1] + WINDOW], assume_unique=True)
+                if len(both) < 2:
+                    break
+                until = int(both[0])
+            else:
+                until = len(piece)
+            out.append(ids[(mine > settled) & (mine <= until)])
+            settled = until
+        if settled == len(piece):
+            return np.concatenate(out).astype("<u4").tobytes()
+
+        def part(data: bytes, last: bool) -> tuple[np.ndarray, np.ndarray]:
+            ids = np.frombuffer(self.contract([data], ENCODE_SQL)[0], "<u4")
+            return ids, self.sizes[ids]
+
+        return encode_long(piece, part, LONG_SEGMENT, LONG_OVERLAP).astype("<u4").tobytes()
+
     def learn(self, pieces: list[str]) -> None:
-        """Put the ids of pieces into the cache."""
-        short: list[tuple[str, bytes]] = []
-        long: list[tuple[str, bytes]] = []
+        """Ids of pieces that are not remembered."""
+        some: dict[str, list[tuple[str, bytes]]] = {ENCODE_SHORT_SQL: [], ENCODE_SQL: []}
         for x in pieces:
             data = x.encode()
             if (rank := self.ranks.get(data)) is not None:
-                self.cache[x] = rank.to_bytes(4, "little")
+                self.pieces[x] = rank.to_bytes(4, "little")
+            elif len(data) > LONG_BYTES:
+                self.pieces[x] = self.contract_long(data)
             else:
-                (short if len(data) <= SHORT_BYTES else long).append((x, data))
-        for todo, sql in ((short, ENCODE_SHORT_SQL), (long, ENCODE_SQL)):
-            a = 0
-            while a < len(todo):
-                b, size = a, 0
-                while b < len(todo) and (b == a or size + len(todo[b][1]) <= CALL_BYTES):
-                    size += len(todo[b][1])
-                    b += 1
-                self.cache.update(zip((x for x, _ in todo[a:b]), self.contract([d for _, d in todo[a:b]], sql), strict=True))
-                a = b
+                some[ENCODE_SHORT_SQL if len(data) <= SHORT_BYTES else ENCODE_SQL].append((x, data))
+        for sql, todo in some.items():
+            self.pieces.update(zip((x for x, _ in todo), self.contract_all([d for _, d in todo], sql), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids (little-endian 32-bit) of each UTF-8 text."""
@@ -148,19 +219,22 @@ class Codec:
         n = 0
 
         def flush() -> None:
-            if len(self.cache) > CACHE_PIECES:
-                self.cache.clear()
-            self.learn([x for x in dict.fromkeys(x for pieces in group for x in pieces) if x not in self.cache])
-            out.extend(b"".join([self.cache[x] for x in pieces]) for pieces in group)
+            missing = self.stretches.missing(itertools.chain.from_iterable(group))
+            cut = [self.pattern.findall(x) for x in missing]
+            self.learn(self.pieces.missing(itertools.chain.from_iterable(cut)))
+            self.stretches.update(zip(missing, (b"".join(map(self.pieces.__getitem__, x)) for x in cut), strict=True))
+            out.extend(b"".join(map(self.stretches.__getitem__, x)) for x in group)
             group.clear()
+            self.pieces.age()
+            self.stretches.age()
 
         for text in texts:
-            pieces = self.pattern.findall(text.decode())
-            if n + len(pieces) > GROUP_PIECES and group:
+            stretches = self.stretch.findall(text.decode())
+            if n + len(stretches) > GROUP_STRETCHES and group:
                 flush()
                 n = 0
-            group.append(pieces)
-            n += len(pieces)
+            group.append(stretches)
+            n += len(stretches)
         flush()
         return out
 
@@ -184,7 +258,7 @@ class Codec:
             ids = np.frombuffer(data, "<u4")
             for a in range(0, len(ids), DECODE_TOKENS):
                 block = ids[a:a + DECODE_TOKENS]
-                if n + len(block) > DECODE_TOKENS:
+                if n + len(block) > DECODE_TOKENS or len(held) == DECODE_TEXTS:
                     flush()
                     n = 0
                 held.append((i, block))

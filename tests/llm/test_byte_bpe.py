@@ -39,12 +39,22 @@ def test_equals_the_library(codec, library):
 def test_small_bounds_change_nothing(codec, monkeypatch):
     data = [t.encode() for t in texts()]
     want = codec.encode(data)
-    for name, value in (("CALL_BYTES", 50), ("CALL_ROWS", 400), ("DECODE_TOKENS", 7), ("GROUP_PIECES", 20), ("CACHE_PIECES", 5)):
+    for name, value in (("CALL_BYTES", 50), ("CALL_ROWS", 400), ("DECODE_TOKENS", 7), ("GROUP_STRETCHES", 20), ("CACHE_PIECES", 5)):
         monkeypatch.setattr(b, name, value)
-    codec.cache.clear()
+    codec.pieces.clear()
+    codec.stretches.clear()
     assert codec.encode(data[:120]) == want[:120] and codec.decode(want[:40]) == data[:40]
 
 
+def test_long_pieces(codec, library):
+    rng = random.Random(9)
+    some = ["ab" * 500_000, "a" * 100_001, "=" * 300_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)),
+            "".join(rng.choice(["the", "ing", "tion", "er", "on"]) for _ in range(20_000)), "漢字" * 3000, "ab" * 128 + "c", "x" * 257]
+    some += ["".join(rng.choice("ab") for _ in range(rng.randrange(250, 2000))) for _ in range(10)]
+    for text in some:
+        assert np.frombuffer(codec.encode([text.encode()])[0], "<u4").tolist() == library.encode_ordinary(text)
+
+
 def test_query_equals_the_library(spark, documents, library):
     got = {r.doc_id: r for r in b.op7_byte_bpe(spark, DIRS["small"]).collect()}
     assert len(got) == len(documents)
