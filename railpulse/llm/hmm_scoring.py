@@ -36,6 +36,7 @@ STATES, ITERATIONS, RUN, SEED = 6, 4, 64, 11
 SMOOTH = 0.1
 BUCKET_TOKENS = 2_000_000
 TRAIN_TOKENS = 500_000  # tokens of texts that are trained on side by side, or one text
+LONG_TEXT = 50_000  # tokens of a text that is scored by transfer matrices
 COUNTER_WORDS = 400_000  # distinct words a task counts before it passes them on
 
 
@@ -129,8 +130,20 @@ def expected(model: Model, classes: list[np.ndarray], lengths: np.ndarray) -> tu
     return gamma[:at[1]].sum(0), moves, emits
 
 
+def coded(rows: DataFrame, top: dict[bytes, int]) -> DataFrame:
+    """(classes): the classes of each text of ``rows`` (text) as 16-bit integers, written in the shared folder."""
+    shared = rows.sparkSession.sparkContext.broadcast(top)  # TOP_WORDS words
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([classes_of(shared.value, words_of(x)).astype("<u2").tobytes()
+                                                        for x in utf8(batch.column(0))], pa.binary())], names=["classes"])
+
+    return cut(rows.select("text").mapInArrow(run, "classes binary"))
+
+
 def baum_welch_counts(rows: DataFrame, model: Model) -> dict[tuple[int, int], np.ndarray]:
-    """Expected counts over the texts of ``rows`` (text): (kind, index) -> a value for each state."""
+    """Expected counts over the texts of ``rows`` (classes): (kind, index) -> a value for each state."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     columns = [f"s{i}" for i in range(STATES)]
 
@@ -145,8 +158,8 @@ def baum_welch_counts(rows: DataFrame, model: Model) -> dict[tuple[int, int], np
 
         texts, n = [], 0
         for batch in batches:
-            for data in utf8(batch.column(0)):
-                got = classes_of(m.top, words_of(data))
+            for data in batch.column(0).to_pylist():
+                got = np.frombuffer(data, "<u2").astype(np.int64)
                 if texts and n + len(got) > TRAIN_TOKENS:
                     add(texts)
                     texts, n = [], 0
@@ -161,7 +174,7 @@ def baum_welch_counts(rows: DataFrame, model: Model) -> dict[tuple[int, int], np
         yield pa.RecordBatch.from_arrays([pa.array(kind[some], pa.int32()), pa.array(index[some], pa.int32()),
                                           *(pa.array(every[some, s]) for s in range(STATES))], names=["kind", "at", *columns])
 
-    parts = rows.select("text").mapInArrow(run, "kind int, at int, " + ", ".join(f"{c} double" for c in columns))
+    parts = rows.select("classes").mapInArrow(run, "kind int, at int, " + ", ".join(f"{c} double" for c in columns))
     summed = parts.groupBy("kind", "at").agg(*(F.sum(c).alias(c) for c in columns)).collect()  # CLASSES + STATES + 1 rows
     return {(r["kind"], r["at"]): np.array([r[c] for c in columns]) for r in summed}
 
@@ -183,8 +196,9 @@ def train(rows: DataFrame, counts: DataFrame) -> Model:
     model = Model(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.15 / (STATES - 1)) + np.eye(STATES) * (
         0.85 - 0.15 / (STATES - 1)), emit / emit.sum(0), {w.encode(): 1 + i for i, w in enumerate(top)},
         class_count, class_words, int(class_count.sum()), int(class_words.sum()), int(class_count[0]))
+    texts = coded(rows, model.top) if model.tokens else rows
     for _ in range(ITERATIONS if model.tokens else 0):
-        got = baum_welch_counts(rows, model)
+        got = baum_welch_counts(texts, model)
         none = np.zeros(STATES)
         start = got.get((0, 0), none) + SMOOTH
         move = np.stack([got.get((1, i), none) for i in range(STATES)]) + SMOOTH
@@ -194,9 +208,40 @@ def train(rows: DataFrame, counts: DataFrame) -> Model:
 
 
 def forward(model: Model, classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """log10 of the likelihoods of sequences of classes that lie end to end in ``classes``.
-
-    Each sequence after its first token is cut into pieces of ``RUN``; the pieces' transfer matrices are
+    """log10 of the likelihoods of sequences of classes that lie end to end in ``classes``."""
+    begins = np.concatenate([[0], ends[:-1]])
+    long = ends - begins > LONG_TEXT
+    out = np.empty(len(ends))
+    out[~long] = forward_short(model, classes, begins[~long], ends[~long])
+    for i in np.flatnonzero(long):
+        out[i] = forward_long(model, classes[begins[i]:ends[i]], ends[i:i + 1] - begins[i])[0]
+    return out
+
+
+def forward_short(model: Model, classes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The forward vectors of many sequences are stepped side by side, longest first, scaled all along."""
+    order = np.argsort(begins - ends, kind="stable")
+    begins, length = begins[order], (ends - begins)[order]
+    total = np.zeros(len(order))
+    if len(order):
+        alpha = model.start * model.emit[classes[begins]]
+        active = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), "right").tolist()  # sequences that have a t-th token
+        for t in range(1, len(active)):
+            n = active[t]
+            a = (alpha[:n] @ model.move) * model.emit[classes[begins[:n] + t]]
+            if t % 8 == 0:
+                s = a.sum(1)
+                a /= s[:, None]
+                total[:n] += np.log10(s)
+            alpha[:n] = a
+        total += np.log10(alpha.sum(1))
+    out = np.empty(len(order))
+    out[order] = total
+    return out
+
+
+def forward_long(model: Model, classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each sequence after its first token is cut into pieces of ``RUN``; the pieces' transfer matrices are
     computed side by side and then applied in order, scaled all along.
     """
     k = len(model.start)
@@ -253,6 +298,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def ask(batches):
         seen: dict[int, set[bytes]] = {}
+        known = shared.value.top
 
         def out():
             for b, words in seen.items():
@@ -262,7 +308,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
         for batch in batches:
             for b, data in zip(batch.column(3).to_pylist(), utf8(batch.column(1)), strict=True):
-                seen.setdefault(b, set()).update(words_of(data))
+                seen.setdefault(b, set()).update(set(words_of(data)).difference(known))
             if sum(map(len, seen.values())) > 2 * COUNTER_WORDS:
                 yield from out()
         yield from out()
@@ -271,7 +317,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def work(texts: pa.Table, known: pa.Table) -> pa.Table:
         m = shared.value
-        at = dict(zip(known.column("word").cast(pa.binary()).to_pylist(), known.column("c").to_pylist(), strict=True))
+        at = {w: int(m.class_count[i]) for w, i in m.top.items()}  # such a class has one word
+        at |= dict(zip(known.column("word").cast(pa.binary()).to_pylist(), known.column("c").to_pylist(), strict=True))
         base = -np.log10(m.tokens + 0.5 * (m.words + 1))
         cols: list[list] = [[], [], [], []]
         held: list[tuple[np.ndarray, np.ndarray]] = []

@@ -120,6 +120,18 @@ def test_training_counts_of_whole_texts(docs, monkeypatch):
     assert np.isclose(want[1].sum(), sum(len(t.split()) for t in texts)) and np.isclose(want[0].sum(), len(texts))
     for size in (h.TRAIN_TOKENS, 100):
         monkeypatch.setattr(h, "TRAIN_TOKENS", size)
-        got = h.baum_welch_counts(docs(list(enumerate(texts))), model)
+        got = h.baum_welch_counts(h.coded(docs(list(enumerate(texts))), model.top), model)
         for kind, x in enumerate(want):
             assert np.allclose([got.get((kind, i), np.zeros(k)) for i in range(len(x))], x)
+
+
+def test_long_and_short_forward_agree():
+    rng = np.random.default_rng(3)
+    model = h.Model(rng.dirichlet(np.ones(h.STATES)), rng.dirichlet(np.ones(h.STATES), h.STATES), rng.dirichlet(np.ones(h.CLASSES) * 0.01 + 1e-3, h.STATES).T + 1e-9,
+                    {}, np.ones(h.CLASSES), np.ones(h.CLASSES))
+    lengths = np.array([1, 2, 63, 64, 65, 66, 500, 3000, 1, 129])
+    classes = rng.integers(0, h.CLASSES, lengths.sum())
+    ends = np.cumsum(lengths)
+    short = h.forward_short(model, classes, ends - lengths, ends)
+    assert np.allclose(short, h.forward_long(model, classes, ends), rtol=1e-10) and np.isfinite(short).all()
+    assert np.allclose(short, h.forward(model, classes, ends))
