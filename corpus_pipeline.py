@@ -4,6 +4,11 @@ byte-level BPE.
 Every stage works on all rows its predecessor kept; all but the last return the columns of ``documents``
 as they came (the redaction changes text and n_chars of rows with secrets).  The last returns token ids.
 Each stage's result is written as Parquet in the shared folder and read again for the next one.
+
+Null texts read as empty; empty and null texts pass every filter but the second, where they are one class.
+Ties and repeated rows: of rows with equal id and text, and of each class, the second stage keeps one; the other
+stages treat equal rows alike.  Empty tables give empty ones.  Long texts are read whole, a batch at a time.  Further
+columns pass unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,12 +38,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by a mark."""
+    """All documents, each secret replaced by a mark; null texts stay null."""
     return secret_scan.redact(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of all documents."""
+    """(doc_id, n_tokens, ids) of all documents; null and empty texts have no ids."""
     return byte_bpe.encode(docs)
 
 

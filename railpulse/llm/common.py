@@ -51,6 +51,17 @@ def fold(doc_id: Column, parts: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def wrapped(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``docs`` in one, ``doc``, beside columns of the caller's: no name of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *(c.alias(n) for n, c in more.items()))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """SHA-256 that tells rows apart by id and text, nulls included."""
+    part = lambda c: F.coalesce(F.concat(F.lit("1"), c.cast("string")), F.lit("0"))
+    return F.unhex(F.sha2(F.concat(part(doc_id), F.lit("\0"), part(text)), 256))
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 of each text of an Arrow column; null reads as the empty text."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

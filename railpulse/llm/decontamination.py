@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railpulse.llm.common import bounded_batches, map_batches, runs, table, utf8
+from railpulse.llm.common import bounded_batches, map_batches, row_key, runs, table, utf8, wrapped
 
 PASSAGE, STRIDE = 64, 32
 BLOCK_PARTS = 2000
@@ -342,10 +342,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that contain an item; columns as they were.  Rows are told apart by id and text."""
-    rows = docs.withColumn("_row", F.xxhash64(id_col, text_col))
-    bad = contaminated(rows, benchmark, "_row", text_col).select("_row").distinct()
-    return rows.join(bad, "_row", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that contain an item; columns as they were, whatever their names.
+
+    Null and empty texts stay; of equal rows all stay or go; an empty table gives an empty one.
+    """
+    rows = wrapped(docs, row=row_key(F.col(id_col), F.col(text_col)), text=F.col(text_col))
+    bad = contaminated(rows, benchmark, "row", "text").select("row").distinct()
+    return rows.join(bad, "row", "left_anti").select("doc.*")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railpulse.llm.common import bounded_batches, cut, mix64, runs, table, utf8
+from railpulse.llm.common import bounded_batches, cut, mix64, row_key, runs, table, utf8, wrapped
 from railpulse.llm.components import components
 
 WIDTH = 5
@@ -244,15 +244,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, that with the smallest id (among equal ids the text whose hash
-    with it is smallest); all columns as they were."""
+    with it is smallest); all columns as they were, whatever their names.
+
+    Nulls and empty texts share a class with those of equal word sets; of rows that repeat id and text one is
+    kept; an empty table gives an empty one.  Long texts are read one batch at a time.
+    """
     heads = _heads(_placed(cut(signatures(docs, id_col, text_col)), docs, id_col, text_col))
-    kept = docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(
-        heads.select(F.col("head.row").alias("_row")).distinct(), "_row", "left_semi")
+    rows = wrapped(docs, row=F.xxhash64(id_col, text_col), key=row_key(F.col(id_col), F.col(text_col)))
+    kept = rows.join(heads.select("head.row").distinct(), "row", "left_semi")
     # most rows are there once; those that repeat id and text are settled here
-    again = kept.groupBy("_row").agg(F.count("*").alias("_n")).where("_n > 1").select("_row")
-    single = kept.join(again, "_row", "left_anti")
-    several = kept.join(again, "_row", "left_semi").dropDuplicates(["_row"])
-    return single.select(*docs.columns).unionByName(several.select(*docs.columns))
+    again = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    single = kept.join(again, "key", "left_anti")
+    several = kept.join(again, "key", "left_semi").dropDuplicates(["key"])
+    return single.select("doc.*").unionByName(several.select("doc.*"))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from .test_ngram_join import brute
 def test_stages_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "decontamination", "secret_scan", "byte_bpe"]
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()}
 
 
 def test_run_equals_stage_by_stage_brute_force(spark, tmp_path):
@@ -53,3 +53,16 @@ def test_stages_keep_columns_and_edge_rows(spark):
         assert out.count() == (2 if name == "ngram_join" else 4)
         assert stage(spark, df.limit(0), folder).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, df, folder).count() == 4
+
+
+def test_stages_keep_columns_with_names_of_their_own(spark):
+    more = ["_row", "row", "_n", "n", "id", "key", "shard", "bucket", "doc", "head", "rid"]
+    df = spark.createDataFrame([(i, f"word{i % 3} one two three four five six {i % 3}") for i in range(6)], "doc_id bigint, text string")
+    df = df.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "0L as n_chars", *[f"concat('{c}', doc_id) as `{c}`" for c in more])
+    want = {r.doc_id: r.asDict() for r in df.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, DIRS["tiny"])
+        assert out.columns == df.columns, name
+        got = {r.doc_id: r.asDict() for r in out.collect()}
+        assert got == {i: want[i] for i in got} and sorted(got) == (sorted({0, 1, 2}) if name == "ngram_join" else sorted(want)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, DIRS["tiny"]).count() == 6
