@@ -1,48 +1,80 @@
 """Composite views: the analytics overview bundle (O-B1), the station page
 (O-B2), its JSON document (O-S14) and the summary shapes (O-A21).
 
-``overview`` returns a dict of lazy DataFrames; nothing is cached.
-``overview_document`` folds the parts into a single row of arrays in the
+``materialised`` reads snapshots and trips once, resolves each snapshot's scope and
+writes both in the shared folder; a bundle's parts all read that.
+``overview`` returns a dict of lazy DataFrames.  ``overview_rows`` gives them in one
+long table (section, ordinal, field, value).  ``overview_document`` folds the parts into a single row of arrays in the
 reports' own order; every part is bounded (fixed limits, 24 hours, one row
 per station), so collecting each into an array is bounded too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from railpulse.functions.constants import DELAYED_MIN, LIMIT_STATIONS, MAX_STAT_DELAY
 from railpulse.functions.expr import count_if, delay_category, round1
 from railpulse.functions.ranges import TimeRange
-from railpulse.functions.scope import ScopeFilter, scope_from_code
+from railpulse.functions.scope import ScopeFilter, resolve_scope, scope_from_code
 from railpulse.operators import metrics as M
 from railpulse.operators import reports as R
 from railpulse.operators.live import board_counts, live_board
-from railpulse.sources.tables import RailData
+from railpulse.session import ensure_checkpoint_dir
+from railpulse.sources.tables import FrameData, RailData
+
+
+def materialised(data: RailData) -> FrameData:
+    """All snapshots up to the outlier cap with their resolved scope, and all trips, written once.
+
+    Reports take ``resolved_scope`` as a plain filter, so no part of a bundle scans the history or joins it with
+    the trips again to find a scope.
+    """
+    ensure_checkpoint_dir(data.spark)
+    trips = data.trips().checkpoint(eager=True)
+    snaps = data.snapshots().where(F.col("late_minutes") <= MAX_STAT_DELAY)
+    if "resolved_scope" not in snaps.columns:
+        # AQE splits a trip with very many snapshots
+        snaps = snaps.join(trips.select("trip_id", "origin", "destination"), "trip_id").withColumn(
+            "resolved_scope", resolve_scope()).drop("origin", "destination")
+    return FrameData(data.spark, snaps.checkpoint(eager=True), trips)
 
 
 def overview(data: RailData, window: TimeRange, station_code: str | None = None,
              metrics: DataFrame | None = None, rank_limit: int | None = None,
-             with_routes: bool = True) -> dict[str, DataFrame]:
-    """The analytics bundle for the network or one scope's overview code."""
+             with_routes: bool = True, aggregate_window: TimeRange | None = None) -> dict[str, DataFrame]:
+    """The analytics bundle for the network or one scope's overview code.
+
+    ``window`` bounds the hourly profile and the largest delays, ``aggregate_window`` the other parts; the two differ
+    where the end is open (SURVEY Q2).  Without the second both are the same.
+    """
     has_scope = scope_from_code(station_code) is not None
     filt = ScopeFilter.scope(station_code) if has_scope else ScopeFilter.scopes()
     metrics = metrics if metrics is not None else M.build_daily_metrics(data, with_updated_at=False)
+    aggregate = aggregate_window or window
     parts = {
-        "dashboard": R.dashboard(data, window, filt),
-        "stationRank": M.station_ranking(metrics, window, filt, rank_limit),
+        "dashboard": R.dashboard(data, aggregate, filt),
+        "stationRank": M.station_ranking(metrics, aggregate, filt, rank_limit),
         "hourly": R.hourly(data, window, filt),
         "top10Delays": R.top_delayed_trips(data, window, filt),
         "recentDelays": R.recent_delayed_trips(data, filt, keep_captured_at=True),
-        "destinations": R.destinations(data, window, filt),
-        "categories": R.delay_categories(data, window, filt),
+        "destinations": R.destinations(data, aggregate, filt),
+        "categories": R.delay_categories(data, aggregate, filt),
     }
     if with_routes:
-        parts["routeRanking"] = R.routes(data, window, filt)
+        parts["routeRanking"] = R.routes(data, aggregate, filt)
     return parts
 
 
+def windows(period: str | None, from_date=None, to_date=None, as_of: dt.datetime | None = None) -> dict[str, TimeRange]:
+    """Both windows of a bundle for a period or dates as a caller gives them."""
+    return {"window": TimeRange.period(period, from_date, to_date, as_of=as_of, open_end="instant"),
+            "aggregate_window": TimeRange.period(period, from_date, to_date, as_of=as_of, open_end="midnight")}
+
+
 def station_page(data: RailData, payloads: DataFrame, station_code: str, window: TimeRange,
                  metrics: DataFrame | None = None) -> dict[str, DataFrame]:
     """O-B2: one station's live board plus network analytics (top-15 rank, no routes)."""
@@ -63,6 +95,38 @@ def _ordered(df: DataFrame, name: str) -> DataFrame:
         .select(F.transform("a", lambda x: x["v"]).alias(name), F.lit(1).alias("_k"))
 
 
+#: Parts with a fixed order of their own; the others come ordered.
+PART_ORDER = {"categories": ["ordinal"], "board": ["train_code", "station_code", "late_minutes", "due_in", "origin", "destination"]}
+
+
+def _long(df: DataFrame, section: str) -> DataFrame:
+    """(section, ordinal, field, value) of an ordered report; numbers with a fraction have one decimal."""
+    if section in PART_ORDER:
+        df = df.orderBy(*PART_ORDER[section])
+    kinds = dict(df.dtypes)
+    fields = [c for c in df.columns if not kinds[c].startswith("timestamp") and c != "ordinal"]
+    value = lambda c: F.format_string("%.1f", F.col(c)) if kinds[c] == "double" else F.col(c).cast("string")
+    # a report is bounded: hours, stations or its limit
+    ranked = df.withColumn("_place", F.monotonically_increasing_id()).withColumn(
+        "ordinal", F.row_number().over(Window.orderBy("_place")).cast("long"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), value(c).alias("value")) for c in fields])).alias("cell")
+    return ranked.select(F.lit(section).alias("section"), "ordinal", cells).select("section", "ordinal", "cell.field", "cell.value")
+
+
+def overview_rows(parts: dict[str, DataFrame]) -> DataFrame:
+    """A bundle as one long table, with the category counters (O-A20) as a section of their own."""
+    out = None
+    for section, df in parts.items():
+        rows = _long(df, section)
+        out = rows if out is None else out.unionByName(rows)
+    names = ("catSmall", "catMedium", "catBig", "catExtreme")
+    counts = parts["categories"].agg(
+        F.coalesce(F.max("trips"), F.lit(1)).alias("maxCatCount"),
+        *[F.max(F.when(F.col("ordinal") == i + 1, F.col("trips"))).alias(n) for i, n in enumerate(names)])
+    extras = _long(counts, "extras").unionByName(_long(parts["dashboard"].select(F.col("on_time_trips").alias("catOnTime")), "extras"))
+    return out.unionByName(extras)
+
+
 def overview_document(parts: dict[str, DataFrame]) -> DataFrame:
     """One row: every part as an ordered array, the chart arrays, the category
     map and counters, and the whole document as JSON."""

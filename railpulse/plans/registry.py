@@ -799,10 +799,46 @@ from railpulse.plans import overview as OV  # noqa: E402
 
 def _overview(code):
     def run(spark, d):
-        return OV.overview_document(OV.overview(_a(spark, d), WHOLE, code))
+        return OV.overview_document(OV.overview(OV.materialised(_a(spark, d)), WHOLE, code))
     return run
 
 
+def _overview_rows(code):
+    def run(spark, d):
+        return OV.overview_rows(OV.overview(OV.materialised(_a(spark, d)), WHOLE, code))
+    return run
+
+
+def _part_sql(section: str, sql: str) -> str:
+    """An ordered statement's cells in long form."""
+    return f"""
+SELECT '{section}' AS section, ordinal, field, value
+FROM (SELECT row_number() OVER () AS ordinal, COLUMNS(*)::VARCHAR FROM ({sql}))
+     UNPIVOT INCLUDE NULLS (value FOR field IN (COLUMNS(* EXCLUDE (ordinal))))"""
+
+
+def _bundle_sql(scopes, rank_limit: int | None = None, with_routes: bool = True) -> str:
+    where = f"{WIN} AND late_minutes <= 500 AND {O.scope_pred(scopes)}"
+    categories, dashboard = _categories_sql(scopes), _dashboard_sql(scopes)
+    parts = {
+        "dashboard": dashboard, "stationRank": _ranking_sql(scopes, rank_limit), "hourly": _hourly_sql("resolved", where),
+        "top10Delays": _top10_sql(where), "recentDelays": _recent5_sql(f"late_minutes <= 500 AND {O.scope_pred(scopes)}"),
+        "destinations": _endpoint_sql(["destination"], where, "unknown", _DEST_ORDER, 10),
+        "categories": f"SELECT category, trips FROM ({categories}) ORDER BY ordinal",
+    }
+    if with_routes:
+        parts["routeRanking"] = _endpoint_sql(["origin", "destination"], where, "unknown", _ROUTE_ORDER, 15)
+    parts["extras"] = f"""
+SELECT max(trips) AS "maxCatCount", max(trips) FILTER (ordinal = 1) AS "catSmall", max(trips) FILTER (ordinal = 2) AS "catMedium",
+       max(trips) FILTER (ordinal = 3) AS "catBig", max(trips) FILTER (ordinal = 4) AS "catExtreme",
+       (SELECT on_time_trips FROM ({dashboard})) AS "catOnTime" FROM ({categories})"""
+    return "\nUNION ALL".join(_part_sql(k, v) for k, v in parts.items())
+
+
+register("analytics_overview_rows", _bundle_sql(SCOPES.values))(_overview_rows(None))
+register("analytics_overview_scope_rows", _bundle_sql(SCOPE_H.values))(_overview_rows("HSTON"))
+
+
 register("analytics_overview", None)(_overview(None))
 register("analytics_overview_scope", None)(_overview("HSTON"))
 
@@ -834,7 +870,7 @@ FROM snapshot WHERE {WIN} AND late_minutes <= 500 AND late_minutes >= 5 GROUP BY
 
 
 def _station_page(spark, d):
-    parts = OV.station_page(_a(spark, d), P.live_payloads(spark, d), "CNLLY", WHOLE)
+    parts = OV.station_page(OV.materialised(_a(spark, d)), P.live_payloads(spark, d, newest=True), "CNLLY", WHOLE)
     doc = OV.overview_document({k: v for k, v in parts.items() if k not in ("board", "boardCounts")})
     board = parts["board"].select(F.struct("train_code", "station_code", "late_minutes", "due_in",
                                            "origin", "destination").alias("r")) \
@@ -848,8 +884,28 @@ def _station_page(spark, d):
 
 
 register("station_page", None)(_station_page)
-register("selected_station_name", _stn("""
-SELECT COALESCE((SELECT MIN(station_desc) FROM allst WHERE code IN ('CNLLY', 'HSTON') AND UPPER(station_code) = 'CNLLY'), 'cnlly') AS station_name"""))(
+BOARD_FIELDS = ("train_code", "station_code", "late_minutes", "due_in", "origin", "destination")
+
+
+def _station_page_rows(spark, d):
+    parts = OV.station_page(OV.materialised(_a(spark, d)), P.live_payloads(spark, d, newest=True), "CNLLY", WHOLE)
+    parts["board"] = parts["board"].select(*BOARD_FIELDS)
+    parts["name"] = C.selected_station_name(C.tracked_stations(_catalog(spark, d)), "cnlly")
+    return OV.overview_rows(parts)
+
+
+SELECTED_NAME_SQL = _stn("""
+SELECT COALESCE((SELECT MIN(station_desc) FROM allst WHERE code IN ('CNLLY', 'HSTON') AND UPPER(station_code) = 'CNLLY'), 'cnlly') AS station_name""")
+register("station_page_rows", "\nUNION ALL".join([
+    _bundle_sql(SCOPES.values, rank_limit=15, with_routes=False),
+    _part_sql("board", _lv(_LATEST + f"""
+SELECT {", ".join(BOARD_FIELDS)} FROM board WHERE board_station = 'CNLLY'
+ORDER BY train_code NULLS FIRST, station_code NULLS FIRST, late_minutes, due_in, origin NULLS FIRST, destination NULLS FIRST""")),
+    _part_sql("boardCounts", _lv(_LATEST + """
+SELECT board_station, count(*) AS trains, count(*) FILTER (late_minutes >= 5) AS late_trains, count(*) FILTER (late_minutes < 5) AS on_time_trains
+FROM board WHERE board_station = 'CNLLY' GROUP BY board_station""")),
+    _part_sql("name", SELECTED_NAME_SQL)]))(_station_page_rows)
+register("selected_station_name", SELECTED_NAME_SQL)(
     lambda spark, d: C.selected_station_name(C.tracked_stations(_catalog(spark, d)), "cnlly"))
 
 
