@@ -15,6 +15,8 @@ the API's look-ahead window — and station catalogue payloads of at most
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,7 @@ STATION_FIELDS = (
     ("StationId", "station_id", "INT"),
 )
 CATALOG_PAGE = 16
+POLL_PAGE = 256
 
 
 def _schema(element: str, fields) -> str:
@@ -173,17 +176,38 @@ def live_source_rows(spark: SparkSession, sf_dir: str, newest: bool = False) ->
     )
 
 
-def live_payloads(spark: SparkSession, sf_dir: str, newest: bool = False) -> DataFrame:
-    """(station_code, captured_at, payload): one board document per station poll,
-    or with ``newest`` only each station's newest."""
-    rows = live_source_rows(spark, sf_dir, newest)
+def poll_documents(rows: DataFrame, poll: list[str], order: list[str], deal: list[str]) -> DataFrame:
+    """(poll columns, page, payload): the live rows of each poll as XML documents, in ``order`` within a page.
+
+    A poll of more than ``POLL_PAGE`` rows has several pages: its rows are dealt by a hash of ``deal``, the columns
+    whose equal rows must stay in order, so a page holds about that many.  Of rows that are equal throughout the
+    copies are dealt over the pages, so no document grows with their number.
+    """
     elem = xml_element(LIVE_ELEMENT, [(xml, F.col(name)) for xml, name, _ in LIVE_FIELDS])
-    keyed = rows.select("station_code", "captured_at",
-                        F.struct("trip_id", "sch_depart", "late_minutes", elem.alias("xml")).alias("e"))
-    docs = keyed.groupBy("station_code", "captured_at").agg(F.collect_list("e").alias("es"))
-    return docs.select("station_code", "captured_at",
-                       _document(F.transform(F.array_sort("es"), lambda e: e["xml"]), LIVE_ROOT)
-                       .alias("payload"))
+    keyed = rows.select(*poll, F.struct(*order, elem.alias("xml")).alias("e"), F.xxhash64(*deal).alias("h"))
+    sizes = keyed.groupBy(*poll).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > POLL_PAGE)
+    if sizes.isEmpty():
+        paged = keyed.select("*", F.lit(0).alias("page"), F.lit(1).alias("copies"))
+    else:
+        copies = keyed.groupBy(*poll, "e", "h").agg(F.count(F.lit(1)).alias("c"))
+        known = sizes.select(*[F.col(c).alias(f"_{c}") for c in poll], F.ceil(F.col("n") / POLL_PAGE).alias("pages"))
+        on = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in poll])
+        pages = F.coalesce(F.col("pages"), F.lit(1))
+        parted = copies.join(known, on, "left").select(
+            *poll, "e", "h", "c", pages.alias("pages"), F.explode(F.sequence(F.lit(0), F.least(F.col("c"), pages) - 1)).alias("k"))
+        paged = parted.select(
+            *poll, "e", F.pmod(F.col("h") + F.col("k"), F.col("pages")).cast("int").alias("page"),
+            (F.floor(F.col("c") / F.col("pages")) + (F.col("k") < F.col("c") % F.col("pages")).cast("int")).cast("int").alias("copies"))
+    docs = paged.groupBy(*poll, "page").agg(F.collect_list(F.struct("e", "copies")).alias("es"))
+    xml = F.flatten(F.transform(F.array_sort("es"), lambda x: F.array_repeat(x["e"]["xml"], x["copies"])))
+    return docs.select(*poll, "page", _document(xml, LIVE_ROOT).alias("payload"))
+
+
+def live_payloads(spark: SparkSession, sf_dir: str, newest: bool = False) -> DataFrame:
+    """(station_code, captured_at, page, payload): the board documents of each station poll,
+    or with ``newest`` only those of each station's newest."""
+    return poll_documents(live_source_rows(spark, sf_dir, newest), ["station_code", "captured_at"],
+                          ["trip_id", "sch_depart", "late_minutes"], ["train_code", "train_date", "sch_depart"])
 
 
 def station_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

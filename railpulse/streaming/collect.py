@@ -7,9 +7,10 @@ landed poll documents ──readStream──▶ parse (from_xml) ──▶ route
       3. states and metrics of the touched rows -> <root>/states, <root>/metrics
       4. commit of all of them at once          -> <root>/_commits
 
-Landing format: JSON lines ``{board_station, polled_at, payload}`` – one
-board document per station poll, ``polled_at`` being the poll instant that
-becomes ``captured_at`` of every row in it.
+Landing format: JSON lines ``{board_station, polled_at, page, payload}`` – the
+board documents of a station poll, ``polled_at`` being the poll instant that
+becomes ``captured_at`` of every row in them.  A large board comes in several
+pages (none given: 0); a train's readings of one poll are in one of them.
 
 Polls outside the service hours are not collected, and road services and the
 other scope's trains are dropped in every mode.  Documents that are not
@@ -45,7 +46,7 @@ from railpulse.sources.payloads import malformed, parse_live
 from railpulse.sources.tables import BATCH, SNAPSHOT_SCHEMA, TRIP_SCHEMA, ParquetStore
 from railpulse.streaming.state import change_filter, only_batches_with_data
 
-LANDED_SCHEMA = "board_station STRING, polled_at TIMESTAMP_NTZ, payload STRING"
+LANDED_SCHEMA = "board_station STRING, polled_at TIMESTAMP_NTZ, page INT, payload STRING"
 # Poll instants keep their microseconds in the landed JSON.
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 SNAPSHOT_COLUMNS = ("trip_id", "station_code", "station_full_name", "service_scope", "sch_depart",
@@ -54,7 +55,8 @@ SNAPSHOT_COLUMNS = ("trip_id", "station_code", "station_full_name", "service_sco
 
 def land(payloads: DataFrame, path: str) -> None:
     """Append poll documents to a landing folder (tests / replays)."""
-    (payloads.select("board_station", "polled_at", "payload").write.mode("append")
+    page = "page" if "page" in payloads.columns else F.lit(0).alias("page")
+    (payloads.select("board_station", "polled_at", page, "payload").write.mode("append")
      .option("timestampNTZFormat", TS_FORMAT).json(path))
 
 
@@ -187,20 +189,27 @@ def start_live_board(spark: SparkSession, landing: str, board_path: str, checkpo
                      trigger: dict | None = None):
     """O-T6 streaming form: the current board of every station.
 
-    A streaming aggregation keeps, per station, the newest poll document
-    (state: one row per station); each trigger rewrites the updated stations'
-    boards (parsed, bus and Heuston filters applied) with dynamic partition
-    overwrite, so the board table always holds the latest poll per station.
+    A streaming aggregation keeps, per station and page, the newest document
+    (state: one row each); each trigger rewrites the updated pages' boards
+    (parsed, bus and Heuston filters applied) with dynamic partition overwrite.
+    ``read_live_board`` leaves out pages of a station's earlier polls.
     """
-    landed = read_landed_stream(spark, landing)
-    newest = landed.groupBy("board_station").agg(
+    landed = read_landed_stream(spark, landing).withColumn("page", F.coalesce("page", F.lit(0)))
+    newest = landed.groupBy("board_station", "page").agg(
         F.max_by("payload", "polled_at").alias("payload"), F.max("polled_at").alias("polled_at"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = parse_live(batch).where(board_filter(normalize_code("board_station") == F.lit(HEUSTON_CODE)))
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("board_station").parquet(board_path))
+         .partitionBy("board_station", "page").parquet(board_path))
 
     return (newest.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "30 seconds"})).start())
+
+
+def read_live_board(spark: SparkSession, board_path: str) -> DataFrame:
+    """The rows of every station's newest poll that ``start_live_board`` has written."""
+    rows = spark.read.parquet(board_path)
+    last = rows.groupBy("board_station").agg(F.max("polled_at").alias("polled_at"))
+    return rows.join(last, ["board_station", "polled_at"], "left_semi")

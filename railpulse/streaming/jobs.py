@@ -1,7 +1,7 @@
 """Streaming runs over data derived from the test tables (used by the query
 catalogue, tests and bench).
 
-Poll documents are rendered from binding B (one document per station poll)
+Poll documents are rendered from binding B (pages of each station poll)
 and landed in time order in several slices, so the stream sees several
 micro-batches and the change state carries across them.  The collector's runs
 store what they collect; the queries return what is stored.
@@ -20,7 +20,8 @@ from railpulse.functions.constants import CONNOLLY
 from railpulse.session import checkpoint_root
 from railpulse.sources import folders
 from railpulse.sources.bindings import polls
-from railpulse.sources.payloads import LIVE_ELEMENT, LIVE_FIELDS, LIVE_ROOT, _document, xml_element
+from railpulse.sources.payloads import LIVE_FIELDS
+from railpulse.sources.payloads import poll_documents as pages_of_polls
 from railpulse.sources.tables import ParquetStore
 from railpulse.streaming.collect import SNAPSHOT_COLUMNS, land, start_change_stream, start_collect
 from railpulse.streaming.maintenance import maintain
@@ -29,17 +30,12 @@ SLICES = 4
 
 
 def poll_documents(spark: SparkSession, sf_dir: str, more: dict[str, Column] | None = None) -> DataFrame:
-    """(board_station, polled_at, payload) from binding B; ``more`` are further fields of a live row."""
+    """(board_station, polled_at, page, payload) from binding B; ``more`` are further fields of a live row."""
     p = polls(spark, sf_dir).withColumns(more or {})
-    present = {"train_code", "station_code", "train_date", "late_minutes", "sch_depart", "train_type",
-               "origin", "destination", "direction", *(more or {})}
-    elem = xml_element(LIVE_ELEMENT, [(xml, F.col(name) if name in present else F.lit(None).cast("string"))
-                                      for xml, name, _ in LIVE_FIELDS])
-    keyed = p.select(F.col("station_code").alias("board_station"), F.col("captured_at").alias("polled_at"),
-                     F.struct("poll_id", elem.alias("xml")).alias("e"))
-    docs = keyed.groupBy("board_station", "polled_at").agg(F.collect_list("e").alias("es"))
-    return docs.select("board_station", "polled_at",
-                       _document(F.transform(F.array_sort("es"), lambda e: e["xml"]), LIVE_ROOT).alias("payload"))
+    missing = [name for _, name, _ in LIVE_FIELDS if name not in p.columns]
+    rows = p.withColumns({name: F.lit(None).cast("string") for name in missing}).withColumns(
+        {"board_station": F.col("station_code"), "polled_at": F.col("captured_at")})
+    return pages_of_polls(rows, ["board_station", "polled_at"], ["poll_id"], ["train_code", "train_date", "sch_depart"])
 
 
 def landed_slices(spark: SparkSession, sf_dir: str, root: str, docs: DataFrame) -> Iterator[int]:

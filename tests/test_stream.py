@@ -85,7 +85,7 @@ def test_live_board_stream(spark):
     """The streaming board equals the batch board over the same documents."""
     from railpulse.operators.live import live_board
     from railpulse.sources.payloads import live_payloads
-    from railpulse.streaming.collect import start_live_board
+    from railpulse.streaming.collect import read_live_board, start_live_board
 
     root = f"{checkpoint_root(spark)}/test-board-{uuid.uuid4().hex}"
     docs = live_payloads(spark, SMALL).withColumnRenamed("station_code", "board_station") \
@@ -97,7 +97,7 @@ def test_live_board_stream(spark):
     q.awaitTermination()
     assert q.exception() is None
     cols = ["board_station", "train_code", "station_code", "late_minutes", "due_in"]
-    got = spark.read.parquet(f"{root}/board").select(*cols)
+    got = read_live_board(spark, f"{root}/board").select(*cols)
     want = live_board(docs.withColumnRenamed("board_station", "station_code")
                       .withColumnRenamed("polled_at", "captured_at")).select(*cols)
     assert got.count() == want.count() > 0
