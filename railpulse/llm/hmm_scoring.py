@@ -71,12 +71,16 @@ def numbers(found: dict[bytes, int], words: list[bytes], missing: int) -> np.nda
     return np.fromiter(map(found.get, words, itertools.repeat(missing)), np.int64, len(words))
 
 
+def hashed(words: list[bytes]) -> np.ndarray:
+    """Classes of words that are not top words."""
+    return 1 + TOP_WORDS + np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % HASHED
+
+
 def classes_of(top: dict[bytes, int], words: list[bytes]) -> np.ndarray:
     """Classes of words and of the end after them."""
     out = numbers(top, words, -1)
     rare = out < 0
-    hashed = np.fromiter(map(zlib.crc32, itertools.compress(words, rare.tolist())), np.int64, int(rare.sum()))
-    out[rare] = 1 + TOP_WORDS + hashed % HASHED
+    out[rare] = hashed(list(itertools.compress(words, rare.tolist())))
     return np.append(out, 0)
 
 
@@ -184,9 +188,9 @@ def train(rows: DataFrame, counts: DataFrame) -> Model:
     spark = rows.sparkSession
     top = [r["word"] for r in counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()]
     first = spark.createDataFrame([(END, 0), *((w, 1 + i) for i, w in enumerate(top))], "word string, class int")
-    hashed = F.lit(1 + TOP_WORDS) + F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED))
+    rest = F.lit(1 + TOP_WORDS) + F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED))
     of_class = counts.join(F.broadcast(first), "word", "left").groupBy(  # TOP_WORDS + 1 rows
-        F.coalesce("class", hashed).cast("int").alias("class")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
+        F.coalesce("class", rest).cast("int").alias("class")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     class_count, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in of_class:
         class_count[r["class"]], class_words[r["class"]] = r["c"], r["n"]
@@ -317,8 +321,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def work(texts: pa.Table, known: pa.Table) -> pa.Table:
         m = shared.value
-        at = {w: int(m.class_count[i]) for w, i in m.top.items()}  # such a class has one word
-        at |= dict(zip(known.column("word").cast(pa.binary()).to_pylist(), known.column("c").to_pylist(), strict=True))
+        # one look-up gives a word's class and its count; the class of a top word has that word alone
+        asked = known.column("word").cast(pa.binary()).to_pylist()
+        at = dict(zip(itertools.chain(m.top, asked), itertools.count()))
+        class_of = np.concatenate([np.fromiter(m.top.values(), np.int64, len(m.top)), hashed(asked)])
+        count_of = np.concatenate([m.class_count[class_of[:len(m.top)]], np.asarray(known.column("c"))]).astype(float)
         base = -np.log10(m.tokens + 0.5 * (m.words + 1))
         cols: list[list] = [[], [], [], []]
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -337,7 +344,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         n = 0
         for data in utf8(texts.column("text")):
             words = words_of(data)
-            held.append((classes_of(m.top, words), np.append(numbers(at, words, 0), m.ends).astype(float)))
+            i = numbers(at, words, -1)
+            new = i < 0  # held-out words that training texts do not have
+            classes, c = class_of[i] if len(class_of) else np.zeros(len(i), np.int64), count_of[i] if len(count_of) else np.zeros(len(i))
+            classes[new], c[new] = hashed(list(itertools.compress(words, new.tolist()))), 0
+            held.append((np.append(classes, 0), np.append(c, m.ends)))
             n += len(words) + 1
             if n > 500_000:
                 flush()
