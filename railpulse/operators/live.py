@@ -84,6 +84,9 @@ def scope_rows(rows: DataFrame, scope: str) -> DataFrame:
     return rows.where(not_bus() & keep).withColumn("service_scope", F.lit(scope))
 
 
+SCALAR_FIELDS = ("train_code", "station_code", "late_minutes", "due_in")
+
+
 def live_scalars(rows: DataFrame) -> DataFrame:
     """Per-row derived values of a live row."""
     return rows.select(

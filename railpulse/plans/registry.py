@@ -688,8 +688,8 @@ def _stations_out(df):
     return df.orderBy("_ord").select(*C.STATION_COLS)
 
 
-def _live_rows(spark, d):
-    return P.parse_live(P.live_payloads(spark, d).withColumnRenamed("station_code", "board_station"))
+def _live_rows(spark, d, columns=None):
+    return P.parse_live(P.live_payloads(spark, d).withColumnRenamed("station_code", "board_station"), columns=columns)
 
 
 register("station_catalog", _stn(f"""
@@ -707,7 +707,7 @@ register("station_roles", _stn("SELECT code, service_scope FROM roles"))(
     lambda spark, d: C.station_roles(_catalog(spark, d)))
 
 register("live_rows", _lv(f"SELECT {LIVE_OUT_SQL} FROM lv"))(
-    lambda spark, d: _live_rows(spark, d).select(*LIVE_OUT))
+    lambda spark, d: _live_rows(spark, d, LIVE_OUT).select(*LIVE_OUT))
 _LATEST = """,
 latest AS (SELECT lv.* FROM lv JOIN (SELECT board_station AS b, MAX(captured_at) AS m FROM lv GROUP BY 1) x
            ON x.b = lv.board_station AND x.m = lv.captured_at),
@@ -727,7 +727,7 @@ FROM lv JOIN roles r ON r.code = UPPER(TRIM(COALESCE(lv.board_station, '')))
 WHERE LOWER(COALESCE(lv.train_type, '')) <> 'bus'
   AND CASE WHEN r.service_scope = 'HEUSTON' THEN {HEU} OR r.code = 'HSTON' ELSE NOT {HEU} END""",
     O.TRIP_VIEW, O.SNAPSHOT_VIEW, LIVE_VIEW, STN_VIEW))(
-    lambda spark, d: LV.route_live_rows(_live_rows(spark, d), _catalog(spark, d))
+    lambda spark, d: LV.route_live_rows(_live_rows(spark, d, LIVE_OUT), _catalog(spark, d))
     .select(*LIVE_OUT, "service_scope"))
 register("live_row_scalars", _lv("""
 SELECT train_code, station_code, late_minutes, due_in,
@@ -741,7 +741,7 @@ SELECT train_code, station_code, late_minutes, due_in,
             ELSE 'Extreme Delay (40+ min)' END AS category_label,
        late_minutes >= 5 AS is_late,
        CASE WHEN due_in = 0 THEN 'A chegar' ELSE CAST(due_in AS VARCHAR) || ' min' END AS due_in_display
-FROM lv"""))(lambda spark, d: LV.live_scalars(_live_rows(spark, d)))
+FROM lv"""))(lambda spark, d: LV.live_scalars(_live_rows(spark, d, LV.SCALAR_FIELDS)))
 
 
 # ---------------------------------------------------------------------------
@@ -914,9 +914,14 @@ register("selected_station_name", SELECTED_NAME_SQL)(
 # snapshot rows with their service_date partition
 # ---------------------------------------------------------------------------
 
+APPEND_FIELDS = ("train_code", "station_full_name", "station_code", "train_date", "origin", "destination", "late_minutes",
+                 "sch_depart", "train_type")
+
+
 def _snapshot_append(spark, d):
-    routed = LV.route_live_rows(_live_rows(spark, d), _catalog(spark, d)) \
-        .withColumn("captured_at", F.col("captured_at")).withColumn("poll_id", F.col("position").cast("long"))
+    routed = LV.route_live_rows(_live_rows(spark, d, APPEND_FIELDS), _catalog(spark, d)) \
+        .select("service_scope", "station_code", "station_full_name", "sch_depart", "late_minutes", "captured_at", "train_code",
+                "train_date", F.col("position").cast("long").alias("poll_id"))
     changed = D.state_changes(routed)
     return changed.select("service_scope", "station_code", "station_full_name", "sch_depart", "late_minutes",
                           "captured_at", "train_code", "train_date",

@@ -16,6 +16,7 @@ the API's look-ahead window — and station catalogue payloads of at most
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,13 +81,21 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
             .select(F.input_file_name().alias("path"), F.col("value").alias("payload")))
 
 
-def parse_live(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """O-S1: explode live rows out of payload documents (other columns kept)."""
+# No field is an attribute, so the parser need not gather any.
+PARSE_OPTIONS = {"excludeAttribute": "true"}
+
+
+def parse_live(df: DataFrame, payload: str = "payload", columns: Iterable[str] | None = None) -> DataFrame:
+    """O-S1: explode live rows out of payload documents (other columns kept).
+
+    ``columns`` are the fields that the caller reads, all if none are given; the parser passes over the others.
+    """
     keep = [c for c in df.columns if c != payload]
-    parsed = df.select(*keep, F.from_xml(F.col(payload), LIVE_SCHEMA).alias("_doc"))
+    fields = [f for f in LIVE_FIELDS if columns is None or f[1] in set(columns)]
+    parsed = df.select(*keep, F.from_xml(F.col(payload), _schema(LIVE_ELEMENT, fields), PARSE_OPTIONS).alias("_doc"))
     rows = parsed.select(*keep, F.posexplode(f"_doc.{LIVE_ELEMENT}").alias("position", "_r"))
     cols = []
-    for xml, name, typ in LIVE_FIELDS:
+    for xml, name, typ in fields:
         c = F.col(f"_r.{xml}")
         if typ == "INT":
             c = F.coalesce(c, F.lit(0))
@@ -183,11 +192,11 @@ def poll_documents(rows: DataFrame, poll: list[str], order: list[str], deal: lis
     whose equal rows must stay in order, so a page holds about that many.  Of rows that are equal throughout the
     copies are dealt over the pages, so no document grows with their number.
     """
-    elem = xml_element(LIVE_ELEMENT, [(xml, F.col(name)) for xml, name, _ in LIVE_FIELDS])
-    keyed = rows.select(*poll, F.struct(*order, elem.alias("xml")).alias("e"), F.xxhash64(*deal).alias("h"))
+    fields = list(dict.fromkeys([*order, *(name for _, name, _ in LIVE_FIELDS)]))
+    keyed = rows.select(*poll, F.struct(*fields).alias("e"), F.xxhash64(*deal).alias("h"))
     sizes = keyed.groupBy(*poll).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > POLL_PAGE)
     if sizes.isEmpty():
-        paged = keyed.select("*", F.lit(0).alias("page"), F.lit(1).alias("copies"))
+        by, paged = poll, keyed.select(*poll, "e", F.lit(1).alias("copies"))
     else:
         copies = keyed.groupBy(*poll, "e", "h").agg(F.count(F.lit(1)).alias("c"))
         known = sizes.select(*[F.col(c).alias(f"_{c}") for c in poll], F.ceil(F.col("n") / POLL_PAGE).alias("pages"))
@@ -195,12 +204,16 @@ def poll_documents(rows: DataFrame, poll: list[str], order: list[str], deal: lis
         pages = F.coalesce(F.col("pages"), F.lit(1))
         parted = copies.join(known, on, "left").select(
             *poll, "e", "h", "c", pages.alias("pages"), F.explode(F.sequence(F.lit(0), F.least(F.col("c"), pages) - 1)).alias("k"))
-        paged = parted.select(
+        by, paged = [*poll, "page"], parted.select(
             *poll, "e", F.pmod(F.col("h") + F.col("k"), F.col("pages")).cast("int").alias("page"),
             (F.floor(F.col("c") / F.col("pages")) + (F.col("k") < F.col("c") % F.col("pages")).cast("int")).cast("int").alias("copies"))
-    docs = paged.groupBy(*poll, "page").agg(F.collect_list(F.struct("e", "copies")).alias("es"))
-    xml = F.flatten(F.transform(F.array_sort("es"), lambda x: F.array_repeat(x["e"]["xml"], x["copies"])))
-    return docs.select(*poll, "page", _document(xml, LIVE_ROOT).alias("payload"))
+    # Rows travel to their page as values and become XML there.  Equal rows are neighbours in it, so one text stands for its copies.
+    elem = F.repeat(xml_element(LIVE_ELEMENT, [(xml, F.col(f"e.{name}")) for xml, name, _ in LIVE_FIELDS]), F.col("copies"))
+    sort = [F.col(f"e.{c}").alias(f"o{i}") for i, c in enumerate(order)]
+    docs = paged.repartition(*by).select(*by, F.struct(*sort, elem.alias("xml")).alias("x")) \
+        .groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    page = F.col("page") if "page" in by else F.lit(0).alias("page")
+    return docs.select(*poll, page, _document(F.col("xs.xml"), LIVE_ROOT).alias("payload"))
 
 
 def live_payloads(spark: SparkSession, sf_dir: str, newest: bool = False) -> DataFrame:

@@ -40,3 +40,16 @@ def test_small_polls_have_one_page(spark):
     assert sorted((r.captured_at.minute, r.page) for r in docs.collect()) == [(0, 0), (1, 0)]
     assert P.parse_live(docs.drop("station_code")).count() == 3
     assert documents(spark, [("S", 0, "T", 1)]).where("false").count() == 0
+
+
+def test_rows_travel_as_values(spark):
+    docs = documents(spark, [("S", 0, "T", 1)])._jdf.queryExecution().optimizedPlan().toString()
+    assert docs.index("<objStationData>") < docs.index("RepartitionByExpression")  # rendered above the shuffle
+    assert "lambdafunction" not in docs  # two readers of one plan would not share its exchange
+
+
+def test_a_caller_parses_the_fields_that_it_reads(spark):
+    docs = documents(spark, [("S", 0, "T&<1>", 1), ("S", 0, "U", 2)])
+    got = P.parse_live(docs.withColumnRenamed("station_code", "board"), columns=("train_code", "late_minutes"))
+    assert got.columns == ["board", "captured_at", "page", "position", "train_code", "late_minutes"]
+    assert sorted((r.train_code, r.late_minutes) for r in got.collect()) == [("T&<1>", 1), ("U", 2)]
