@@ -27,6 +27,10 @@ from railpulse.session import ensure_checkpoint_dir
 from railpulse.sources.tables import FrameData, RailData
 
 
+# What the parts of a bundle read of a snapshot, beside its resolved scope; the others would only be written and shuffled.
+SNAPSHOT_PARTS = ("trip_id", "station_code", "station_full_name", "sch_depart", "sch_arrival", "late_minutes", "captured_at")
+
+
 def materialised(data: RailData) -> FrameData:
     """All snapshots up to the outlier cap with their resolved scope, and all trips, written once.
 
@@ -40,7 +44,7 @@ def materialised(data: RailData) -> FrameData:
         # AQE splits a trip with very many snapshots
         snaps = snaps.join(trips.select("trip_id", "origin", "destination"), "trip_id").withColumn(
             "resolved_scope", resolve_scope()).drop("origin", "destination")
-    return FrameData(data.spark, snaps.checkpoint(eager=True), trips)
+    return FrameData(data.spark, snaps.select(*SNAPSHOT_PARTS, "resolved_scope").checkpoint(eager=True), trips)
 
 
 def overview(data: RailData, window: TimeRange, station_code: str | None = None,

@@ -31,3 +31,8 @@ def test_both_open_ends(spark, golden):
     assert rows["extras", 1, "catOnTime"] == rows["dashboard", 1, "on_time_trips"]
     assert rows["extras", 1, "maxCatCount"] == str(max(int(rows["categories", i, "trips"]) for i in range(1, 5)))
     assert rows["categories", 4, "trips"] == rows["extras", 1, "catExtreme"]
+
+
+def test_a_bundle_writes_only_what_its_parts_read(golden):
+    data = OV.materialised(golden)
+    assert set(data.snapshots().columns) == {*OV.SNAPSHOT_PARTS, "resolved_scope"}
