@@ -65,3 +65,16 @@ def test_edges(spark, docs):
     assert none is None and {(r.score, r.predicted) for r in x.scores(df, none).collect()} == {(0.0, 0)}
     assert x.scores(docs([]), m).count() == 0
     assert x.threshold(np.array([-3.0, -2.0, 1.0, 2.0]), np.array([0, 0, 1, 1])) == -0.5
+
+
+def test_all_labelled_rows_are_learned_from(spark, docs, monkeypatch):
+    texts, marks = toy()
+    far = b"calm " * 3000 + b"zzfar"  # its only sign of toxicity lies behind many characters
+    rows = [(i, t.decode()) for i, t in enumerate(texts)] + [(1000 + i, (far if i % 2 else b"calm " * 3000).decode()) for i in range(60)]
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(marks)] + [(1000 + i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    for shard in (5000, 100):  # one shard, several
+        monkeypatch.setattr(x, "SHARD", shard)
+        m = x.train(docs(rows), labels)
+        s = x.Scorer(m)
+        assert np.mean([(s.score(t.encode()) >= 0.5) == bool(y) for (_, t), y in zip(rows, marks + [i % 2 for i in range(60)], strict=True)]) > 0.95
+        assert s.score(far) > s.score(b"calm " * 3000)
