@@ -14,7 +14,9 @@ with no label of one of the two kinds every score is 0.  An empty table gives an
 from __future__ import annotations
 
 import copy
+import itertools
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -53,9 +55,9 @@ def words_of(data: bytes) -> list[bytes]:
 def language(words: list[bytes]) -> str:
     """The language with most function words; ``other`` without any, the first by name in a tie."""
     count: dict[str, int] = {}
-    for w in words:
-        if k := _LANGUAGE_OF.get(w):
-            count[k] = count.get(k, 0) + 1
+    for w in filter(_LANGUAGE_OF.__contains__, words):
+        k = _LANGUAGE_OF[w]
+        count[k] = count.get(k, 0) + 1
     return min(count, key=lambda k: (-count[k], k)) if count else "other"
 
 
@@ -68,6 +70,37 @@ def rows_of(words: list[bytes]) -> np.ndarray:
     return np.stack([first, WORD_ROWS + second, 2 * WORD_ROWS + prefix], axis=1)
 
 
+class Kept:
+    """What ``make`` gives for words (n, width), made once for a word and kept while there are few."""
+
+    def __init__(self, make: Callable[[list[bytes]], np.ndarray], width: int, dtype, empty: int):
+        self.make, self.width, self.dtype, self.empty = make, width, dtype, empty
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen: dict[bytes, int] = {}
+        self.known = np.zeros((1 << 12, self.width), self.dtype)
+
+    def rows(self, words: list[bytes], pad: int) -> np.ndarray:
+        """Rows of the words and ``pad`` empty ones after them."""
+        if len(self.seen) > CACHE_WORDS:
+            self.clear()
+        n = len(words)
+        at = np.fromiter(map(self.seen.get, words, itertools.repeat(-1)), np.int64, n)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            first = [words[i] for i in missing.tolist()]
+            new, begin = list(dict.fromkeys(first)), len(self.seen)
+            while begin + len(new) > len(self.known):
+                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+            self.known[begin:begin + len(new)] = self.make(new)
+            self.seen.update(zip(new, range(begin, begin + len(new)), strict=True))
+            at[missing] = np.fromiter(map(self.seen.__getitem__, first), np.int64, len(first))
+        out = np.full((n + pad, self.width), self.empty, self.dtype)
+        np.take(self.known, at, axis=0, out=out[:n], mode="clip")
+        return out
+
+
 @dataclass
 class Model:
     """Embeddings (rows, DIM), filters by width (width, DIM, FILTERS), output layer, thresholds by language."""
@@ -98,10 +131,13 @@ class Model:
         return float(pooled @ self.out + self.out_bias)
 
 
-def sequence(words: list[bytes]) -> np.ndarray:
+def kept_rows() -> Kept:
+    return Kept(rows_of, 3, np.int64, -1)
+
+
+def sequence(words: list[bytes], kept: Kept | None = None) -> np.ndarray:
     """Embedding rows of a text; -1 stands for the empty positions that end it."""
-    pad = max(WIDTHS) - 1 + (not words)
-    return np.concatenate([rows_of(words), np.full((pad, 3), -1)])
+    return (kept or kept_rows()).rows(words, max(WIDTHS) - 1 + (not words))
 
 
 SIZE = 2 * WORD_ROWS + PREFIX_ROWS
@@ -220,7 +256,8 @@ def fit(texts: list[bytes], labels: list[int]) -> Model | None:
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(SEED)
-    seqs = [sequence(words_of(t)) for t in texts]
+    kept = kept_rows()
+    seqs = [sequence(words_of(t), kept) for t in texts]
     langs = [language(words_of(t)) for t in texts]
     texts_with = np.zeros(SIZE + 1, np.int32)
     for s in seqs:
@@ -269,32 +306,19 @@ class Scorer:
     def __init__(self, model: Model | None):
         self.model = model
         if model is not None:
-            self.w = model.taps()
-            self.clear()
-
-    def clear(self) -> None:
-        self.seen: dict[bytes, int] = {}
-        self.known = np.zeros((1 << 12, _TAPS * FILTERS), np.float32)
+            w = model.taps()
+            self.kept = Kept(lambda new: model.embed[rows_of(new)].sum(1) @ w, _TAPS * FILTERS, np.float32, 0)
 
     def score(self, data: bytes) -> float:
         m = self.model
         if m is None:
             return 0.0
         words = words_of(data)
-        if len(self.seen) > CACHE_WORDS:
-            self.clear()
         best, pad = None, max(WIDTHS) - 1
         for a in range(0, max(1, len(words)), SLICE):
             part = words[a:a + SLICE + pad]
-            if new := [w for w in dict.fromkeys(part) if w not in self.seen]:
-                at = len(self.seen) + 1
-                while at + len(new) > len(self.known):
-                    self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-                self.known[at:at + len(new)] = m.embed[rows_of(new)].sum(1) @ self.w
-                self.seen.update(zip(new, range(at, at + len(new)), strict=True))
             follow = min(pad, max(0, len(words) - a - SLICE))  # words of the next slice that windows reach into
-            at = [self.seen[w] for w in part] + [0] * (pad - follow + (not part))
-            v = m.pooled(self.known[at], pad)
+            v = m.pooled(self.kept.rows(part, pad - follow + (not part)), pad)
             best = v if best is None else np.maximum(best, v)
         cut = m.thresholds.get(language(words), m.thresholds[""])
         return float(1 / (1 + np.exp(-np.clip(m.logit(best) - cut, -30, 30))))
@@ -303,11 +327,12 @@ class Scorer:
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(_id, _y, _text) of all labelled rows that are learned from: held-out ids never are."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select(
-        F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).distinct()
+        F.col("doc_id").alias("_id"), F.col("toxic").alias("_y"))
     own = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(
         F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
-    shards = max(1, -(-marks.count() // SHARD))
-    return own.join(marks.repartition(shards, "_id"), "_id").repartition(shards, "_id")
+    shards = max(1, -(-marks.distinct().count() // SHARD))
+    # Texts are dealt once: the join keeps the shards.  Would it read two plain exchanges, Spark might give it other partitions.
+    return own.repartition(shards, "_id").join(marks.repartition(shards, "_id").distinct(), "_id")
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[int]]:
@@ -341,10 +366,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     weights = np.array([(y0 + y1) / (2 * y0), (y0 + y1) / (2 * y1)])
 
     def words_with(batches):
-        seen = np.zeros(SIZE, np.int64)
+        seen, kept = np.zeros(SIZE, np.int64), kept_rows()
         for batch in batches:
             for text in utf8(batch.column(3)):
-                seen[np.unique(rows_of(words_of(text)))] += 1
+                seen[np.unique(kept.rows(words_of(text), 0))] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["row", "n"])
 
@@ -360,23 +385,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((t, rare))
         changes = mine.mapInArrow(lambda batches, shared=shared: one_round(batches, shared.value, weights, passes),
-                                  "row int, v array<double>")
-        mean = changes.groupBy("row").agg(*[F.avg(F.col("v")[i]).alias(f"v{i}") for i in range(DIM + 1)])
-        got = np.array([tuple(r) for r in mean.collect()], float).reshape(-1, DIM + 2)  # rows of the model
+                                  "row int, v array<float>")
+        total = changes.groupBy("row").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM + 1)], F.count("*").alias("n"))
+        got = np.array([tuple(r) for r in total.collect()], float).reshape(-1, DIM + 3)  # rows of the model
+        got = np.column_stack([got[:, 0], got[:, 1:-1] / got[:, -1:]])
         at = got[:, 0].astype(int)
         words = at < SIZE
         t.model.embed[at[words]] += got[words, 1:1 + DIM].astype(np.float32)
         t.grown[at[words]] += got[words, 1 + DIM].astype(np.float32)
-        rest = got[~words][np.argsort(at[~words])][:, 1:].ravel()
+        rest = got[~words][np.argsort(at[~words])][:, 1:]
         dense = t.dense()
-        t.set_dense(dense + rest[:len(dense)])
+        if len(rest):
+            t.set_dense(dense + rest.reshape(2, -1).sum(0)[:len(dense)])
     m = t.end()
     ready = spark.sparkContext.broadcast((m, rare))
 
     def logits(batches):
-        m, rare = ready.value
+        (m, rare), kept = ready.value, kept_rows()
         for batch in batches:
-            marks = [(language(w), round(LOGIT_STEPS * m.logit(np.maximum(winners(m, [known_rows(sequence(w), rare)])[0][0], 0))))
+            marks = [(language(w), round(LOGIT_STEPS * m.logit(np.maximum(winners(m, [known_rows(sequence(w, kept), rare)])[0][0], 0))))
                      for w in map(words_of, utf8(batch.column(3)))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in marks], pa.string()), pa.array([x for _, x in marks], pa.int64()),
                                               batch.column(1)], names=["lang", "at", "y"])
@@ -397,7 +424,7 @@ def one_round(batches, state: tuple[Training, np.ndarray], weights: np.ndarray,
     """What ``passes`` over a shard change: (row, changes of its vector and squares), the rest of the model after them."""
     base, rare = state
     t = copy.deepcopy(base)
-    rng, held = np.random.default_rng(SEED), []
+    rng, held, kept = np.random.default_rng(SEED), [], kept_rows()
 
     def steps(texts):
         seqs, y = [s for s, _ in texts], np.array([y for _, y in texts])
@@ -406,7 +433,7 @@ def one_round(batches, state: tuple[Training, np.ndarray], weights: np.ndarray,
     waiting: list = []
     for batch in batches:
         for text, y in zip(utf8(batch.column(3)), batch.column(1).to_pylist(), strict=True):
-            one = (known_rows(sequence(words_of(text)), rare), y)
+            one = (known_rows(sequence(words_of(text), kept), rare), y)
             if passes > 1:
                 held.append(one)
                 continue
@@ -424,9 +451,11 @@ def one_round(batches, state: tuple[Training, np.ndarray], weights: np.ndarray,
     at = np.flatnonzero(t.grown[:SIZE] != base.grown[:SIZE])
     if not len(at):
         return
-    rows = np.column_stack([(t.model.embed - base.model.embed)[at], (t.grown - base.grown)[at]]).astype(float)
+    rows = np.column_stack([t.model.embed[at] - base.model.embed[at], t.grown[at] - base.grown[at]])
     dense = t.dense() - base.dense()
     dense = np.concatenate([dense, np.zeros(-len(dense) % (DIM + 1))]).reshape(-1, DIM + 1)
+    high = dense.astype(np.float32)  # and what that leaves, so that two floats hold it
+    dense = np.concatenate([high, (dense - high).astype(np.float32)])
     at, rows = np.concatenate([at, SIZE + np.arange(len(dense))]), np.concatenate([rows, dense])
     for a in range(0, len(at), 10_000):
         part = rows[a:a + 10_000]

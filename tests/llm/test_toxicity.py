@@ -78,3 +78,34 @@ def test_all_labelled_rows_are_learned_from(spark, docs, monkeypatch):
         s = x.Scorer(m)
         assert np.mean([(s.score(t.encode()) >= 0.5) == bool(y) for (_, t), y in zip(rows, marks + [i % 2 for i in range(60)], strict=True)]) > 0.95
         assert s.score(far) > s.score(b"calm " * 3000)
+
+
+def test_rows_of_a_word_are_made_once(monkeypatch):
+    made = []
+    kept = x.Kept(lambda ws: made.extend(ws) or x.rows_of(ws), 3, np.int64, -1)
+    texts = [[b"a", b"b", b"a"], [], [b"b", b"c", b"c"]]
+    for words in texts:
+        assert (x.sequence(words, kept) == np.concatenate([x.rows_of(words), np.full((2 + (not words), 3), -1)])).all()
+    assert made == [b"a", b"b", b"c"]
+    monkeypatch.setattr(x, "CACHE_WORDS", 2)
+    assert (kept.rows([b"d", b"a"], 0) == x.rows_of([b"d", b"a"])).all() and len(kept.seen) == 2
+
+
+def test_training_texts_are_dealt_once(spark, docs, monkeypatch):
+    texts, marks = toy()
+    monkeypatch.setattr(x, "SHARD", 100)
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id bigint, toxic int")
+    texts = docs([(i, t.decode()) for i, t in enumerate(texts)])
+    for threshold in ("10MB", "-1"):
+        own = {"spark.sql.autoBroadcastJoinThreshold": threshold, "spark.sql.shuffle.partitions": "64"}
+        before = {k: spark.conf.get(k) for k in own}
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        try:
+            rows = x.training_rows(texts, labels)
+            above = rows._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+            assert "Exchange" not in above and rows.rdd.getNumPartitions() == 4
+            assert sorted(r["_id"] for r in rows.collect()) == [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
