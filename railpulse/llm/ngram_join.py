@@ -253,9 +253,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = wrapped(docs, row=F.xxhash64(id_col, text_col), key=row_key(F.col(id_col), F.col(text_col)))
     kept = rows.join(heads.select("head.row").distinct(), "row", "left_semi")
     # most rows are there once; those that repeat id and text are settled here
-    again = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    single = kept.join(again, "key", "left_anti")
-    several = kept.join(again, "key", "left_semi").dropDuplicates(["key"])
+    # (by the hash that the rows are dealt by already, so that no text is dealt again)
+    again = kept.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row")
+    single = kept.join(again, "row", "left_anti")
+    several = kept.join(again, "row", "left_semi").dropDuplicates(["key"])
     return single.select("doc.*").unionByName(several.select("doc.*"))
 
 

@@ -103,3 +103,9 @@ def test_equal_ids_do_not_join_unlike_texts(docs):
     assert kept in (sorted([(0, x), (1, y), (2, w), (2, z)]) for z in (v, v + " more"))
     same = [(7, " ".join(str(rng.randrange(10 ** 6)) for _ in range(20))) for _ in range(40)]
     assert sorted(tuple(r)[:2] for r in n.keep_one(docs(same)).collect()) == sorted(same)
+
+
+def test_kept_texts_are_not_dealt_again(docs):
+    plan = n.keep_one(docs([(i, f"a b c d e f{i}") for i in range(20)] * 2))._jdf.queryExecution().executedPlan().toString()
+    by_key = [line for line in plan.splitlines() if "Exchange hashpartitioning(key" in line]
+    assert len(by_key) == 1  # of the rows that repeat id and text
