@@ -17,14 +17,14 @@ their rows, repeated item ids give one, all items without an id together one wit
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +35,19 @@ BLOCK_PARTS = 2000
 RANK, SEED = 128, 5
 MAX_SHARE = 0.02  # words in a larger share of the passages weigh nothing, unless among the rarest of a part
 RAREST = 3
+SPAN = 20_000  # entries that are multiplied at once
 MIN_COSINE, MIN_COVER = 0.30, 0.35
 FULL, PARTIAL, ANSWER = 0.75, 0.55, 0.8
 _TO_SPACE = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" or c < 32 else c for c in range(256))
 
 
-def words_of(data: bytes) -> list[bytes]:
+def _plain(data: bytes) -> bytes:
     low = data.lower() if data.isascii() else data.decode().lower().encode()
-    return low.translate(_TO_SPACE).split()
+    return low.translate(_TO_SPACE)
+
+
+def words_of(data: bytes) -> list[bytes]:
+    return _plain(data).split()
 
 
 def answer_of(text: str) -> list[bytes]:
@@ -93,12 +98,22 @@ class Index:
     at: dict[bytes, int]
     weight: np.ndarray
     space: np.ndarray
-
-    def known(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and numbers of the words that are in the vocabulary."""
-        ids = np.fromiter(map(self.at.get, words, itertools.repeat(-1)), np.int32, len(words))
-        where = np.flatnonzero(ids >= 0)
-        return where, ids[where]
+    sets: dict[bool, tuple[pa.Array, np.ndarray]] = field(default_factory=dict, repr=False)
+
+    def known(self, texts: list[bytes], heavy: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of texts that are in the vocabulary, with ``heavy`` those of some weight: (text, position in it, number
+        of the word) of each, and how many words each text has."""
+        if heavy not in self.sets:
+            words = [w for w, i in self.at.items() if not heavy or self.weight[i] > 0]
+            self.sets[heavy] = pa.array(words, pa.large_string()), np.array([self.at[w] for w in words], np.int64)
+        of, numbers = self.sets[heavy]
+        plain = [_plain(x).strip() for x in texts]
+        split = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))  # only blanks are left between words
+        ends = np.asarray(split.offsets)
+        found = pc.index_in(split.values, value_set=of)
+        where = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        text = np.searchsorted(ends, where, "right") - 1
+        return text, where - ends[text], numbers[found.drop_null().to_numpy()], np.where([*map(len, plain)], np.diff(ends), 0)
 
 
 def entries(passage: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,22 +127,24 @@ def sums(weighted: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(weighted, starts, axis=0)
 
 
-def _passages(docs: DataFrame, index: Index, work, schema: str) -> DataFrame:
+def spans(row: np.ndarray, step: int) -> list[tuple[int, int]]:
+    """Cuts of sorted rows into spans of about ``step`` that part no row from its equals."""
+    begins = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
+    cuts = np.unique(begins[np.searchsorted(begins, np.arange(0, len(row), step), "right") - 1]).tolist()
+    return list(zip(cuts, [*cuts[1:], len(row)], strict=True)) if cuts else []
+
+
+def _passages(docs: DataFrame, index: Index, work, schema: str, heavy: bool) -> DataFrame:
     """Run ``work(state, passage, word, number of passages)`` over non-overlapping passages; it ends with None."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         ix, state = shared.value, {}
         for batch in batches:
-            rows, ids, n = [], [], 0
-            for data in utf8(batch.column(0)):
-                words = words_of(data)
-                where, found = ix.known(words)
-                rows.append(n + where // PASSAGE)
-                ids.append(found)
-                n += -(-len(words) // PASSAGE)
-            if n:
-                row, word = entries(np.concatenate(rows), np.concatenate(ids), len(ix.at))
+            text, where, ids, words = ix.known(utf8(batch.column(0)), heavy)
+            passages = -(-words // PASSAGE)
+            if n := int(passages.sum()):
+                row, word = entries((np.cumsum(passages) - passages)[text] + where // PASSAGE, ids, len(ix.at))
                 work(ix, state, row, word, n)
         yield from work(ix, state, None, None, 0) or ()
 
@@ -146,7 +163,7 @@ def document_frequencies(docs: DataFrame, index: Index) -> tuple[np.ndarray, int
                                                 pa.array(np.append(state["df"][some], state["n"]), pa.int64())], names=["word", "n"])]
 
     out, n = np.zeros(len(index.at), np.int64), 0
-    for r in _passages(docs, index, work, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for r in _passages(docs, index, work, "word bigint, n bigint", False).groupBy("word").agg(F.sum("n").alias("n")).collect():
         if r["word"] < 0:
             n = r["n"]
         else:
@@ -160,10 +177,8 @@ def gram_product(docs: DataFrame, index: Index, own: np.ndarray, x: np.ndarray)
 
     def work(ix, state, row, word, n):
         if row is not None:
-            keep = ix.weight[word] > 0
-            row, word = row[keep], word[keep]
-            for a in range(0, len(row), 200_000):
-                r, w = row[a:a + 200_000], word[a:a + 200_000]
+            for a, b in spans(row, SPAN):
+                r, w = row[a:b], word[a:b]
                 at, total = sums(wide.value[w], r)
                 back = total[np.searchsorted(at, r)]
                 order = np.argsort(w, kind="stable")
@@ -181,7 +196,7 @@ def gram_product(docs: DataFrame, index: Index, own: np.ndarray, x: np.ndarray)
             yield pa.RecordBatch.from_arrays([t.column("word").combine_chunks().slice(0, 1), pa.array([rows.sum(0).tolist()])],
                                              names=["word", "row"])
 
-    shares = _passages(docs, index, work, "word bigint, row array<float>")
+    shares = _passages(docs, index, work, "word bigint, row array<float>", True)
     out = own.T @ (own @ x)
     for r in shares.repartition("word").sortWithinPartitions("word").mapInArrow(add, "word bigint, row array<double>").collect():
         out[r["word"]] += r["row"]
@@ -262,28 +277,25 @@ def search(docs: DataFrame, parts: list[Part], index: Index, id_col: str, text_c
     kind = docs.schema[id_col].dataType.simpleString()
     fields = [("item_id", pa.int64()), ("cosine", pa.float64()), ("shared", pa.float64()), ("answer", pa.float64())]
 
-    def leaks(data: bytes) -> dict[int, tuple[float, float, float]]:
+    def leaks(data: bytes, where: np.ndarray, ids: np.ndarray) -> dict[int, tuple[float, float, float]]:
+        """Items in a text with the words ``ids`` of some weight at the positions ``where``."""
         ix, ps, items, sizes, with_word, first_word = shared.value
-        words = words_of(data)
-        where, ids = ix.known(words)
-        heavy = ix.weight[ids] > 0
-        where, ids = where[heavy], ids[heavy]
         found: dict[int, tuple[float, float, float]] = {}
-        if not len(ids):
-            return found
+        words: list[bytes] = []  # of the text, once a candidate asks for them
         last = where // STRIDE  # a word is in the passages that begin at this stride and the one before
         row, word = entries(np.concatenate([last, np.maximum(last - 1, 0)]), np.concatenate([ids, ids]), len(ix.at))
         step = max(1, 20_000_000 // (4 * items.shape[1] + 1))
-        begins = np.flatnonzero(np.append(True, row[1:] != row[:-1]))  # where a passage's entries begin
-        cuts = [int(x) for x in np.unique(begins[np.searchsorted(begins, np.arange(0, len(row), step), "right") - 1])]
         tried: set[tuple[int, int]] = set()
         begin, region, there = -1, [], set()
-        for a, b in zip(cuts, [*cuts[1:], len(row)], strict=True):
+        for a, b in spans(row, step):
             at, v = sums(ix.space[word[a:b]] * ix.weight[word[a:b], None], row[a:b])
             for c in range(0, len(at), 4096):
                 dots = v[c:c + 4096] @ items.T
-                cosine = dots / (np.linalg.norm(v[c:c + 4096], axis=1)[:, None] * sizes + 1e-12)
-                for k, i in zip(*np.nonzero((cosine >= MIN_COSINE) & (dots >= MIN_COVER * sizes * sizes)), strict=True):
+                length = np.linalg.norm(v[c:c + 4096], axis=1)
+                covers = np.nonzero(dots >= MIN_COVER * sizes * sizes)
+                cosines = dots[covers] / (length[covers[0]] * sizes[covers[1]] + 1e-12)
+                for k, i, cosine in zip(*(x[cosines >= MIN_COSINE] for x in (*covers, cosines)), strict=True):
+                    words = words or words_of(data)
                     if begin != (begin := int(at[c + k]) * STRIDE):
                         region = words[max(0, begin - STRIDE):begin + PASSAGE + STRIDE]
                         there = set(region)
@@ -293,9 +305,10 @@ def search(docs: DataFrame, parts: list[Part], index: Index, id_col: str, text_c
                     share, answer = judge(ps[i], region, there)
                     if share >= FULL or share >= PARTIAL and answer >= ANSWER:
                         item = ps[i].item
-                        found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (share, float(cosine[k, i]), answer))
+                        found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (share, float(cosine), answer))
         for h in np.flatnonzero(first_word[word]).tolist():
             for i in with_word[int(word[h])]:
+                words = words or words_of(data)
                 if begin != (begin := int(row[h]) * STRIDE):
                     region = words[max(0, begin - STRIDE):begin + PASSAGE + STRIDE]
                     there = set(region)
@@ -312,9 +325,11 @@ def search(docs: DataFrame, parts: list[Part], index: Index, id_col: str, text_c
         return found
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, got = [], []
-        for k, data in enumerate(utf8(batch.column(1))):
-            for item, (share, cosine, answer) in sorted(leaks(data).items(), key=lambda x: (x[0] is None, x[0])):
+        at, got, texts = [], [], utf8(batch.column(1))
+        text, where, ids, _ = shared.value[0].known(texts, True)
+        for k in np.unique(text).tolist():
+            a, b = np.searchsorted(text, [k, k + 1])
+            for item, (share, cosine, answer) in sorted(leaks(texts[k], where[a:b], ids[a:b]).items(), key=lambda x: (x[0] is None, x[0])):
                 at.append(k)
                 got.append((item, cosine, share, answer))
         cols = list(zip(*got, strict=True)) or [()] * 4

@@ -113,3 +113,24 @@ def test_items_without_an_id(spark, docs):
     got = sorted((r.doc_id, r.item_id or -1) for r in d.contaminated(df, bench).collect())
     assert got == [(1000, -1), (1001, -1), (1002, 2)]
     assert d.keep_uncontaminated(df, bench).count() == df.count() - 3
+
+
+def test_known_words_of_a_batch_equal_single_look_ups():
+    words = [b"the", b"caf\xc3\xa9", b"x\xc2\xa0y", b"q"]
+    ix = d.Index({w: i for i, w in enumerate(words)}, np.array([0, 1, 2, 3], np.float32), np.zeros((0, 0)))
+    texts = ["", "  ", "The,cafÉ", "\x0b q\x0c\x00q ", "x y x y", " the ", "none here", "!the q?\n"]
+    data = [t.encode() for t in texts]
+    for heavy in (False, True):
+        text, where, ids, n = ix.known(data, heavy)
+        split = [d.words_of(x) for x in data]
+        want = [(i, k, ix.at[w]) for i, ws in enumerate(split) for k, w in enumerate(ws) if w in ix.at and (not heavy or ix.at[w])]
+        assert list(zip(text.tolist(), where.tolist(), ids.tolist(), strict=True)) == want
+        assert n.tolist() == [len(ws) for ws in split]
+    assert [len(x) for x in ix.known([])] == [0, 0, 0, 0]
+
+
+def test_spans_keep_equal_rows_together():
+    row = np.array([0, 0, 1, 1, 1, 1, 2, 5, 5])
+    got = d.spans(row, 2)
+    assert [b for _, b in got] == [*[a for a, _ in got[1:]], len(row)] and got[0][0] == 0
+    assert all(row[b - 1] != row[b] for _, b in got[:-1]) and d.spans(row[:0], 2) == []
