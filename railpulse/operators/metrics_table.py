@@ -50,9 +50,12 @@ def day(date: dt.date) -> str:
 
 
 def write_dated(store: ParquetStore, table: str, rows: DataFrame, name: str) -> list[str]:
-    """Write rows of a dated table into folders of their own, in place of those that an earlier attempt has left."""
+    """Write rows of a dated table into folders of their own, in place of those that an earlier attempt has left.
+
+    Rows are gathered by date first: else every task would write a file for each date.
+    """
     attempt = f"{store.path(table)}/.{name}-{uuid.uuid4().hex}"
-    rows.withColumn(BATCH, F.lit(name)).write.partitionBy("service_date", BATCH).parquet(attempt)
+    rows.hint("rebalance", "service_date").withColumn(BATCH, F.lit(name)).write.partitionBy("service_date", BATCH).parquet(attempt)
     made = [f"{d}/{BATCH}={name}" for d in folders.children(store.spark, attempt, "service_date=")]
     for n in made:
         folders.move(store.spark, f"{attempt}/{n}", f"{store.path(table)}/{n}")
@@ -121,9 +124,9 @@ def refresh_dates(store: ParquetStore, dates: Iterable) -> None:
     for attempt in range(TRIES):
         if todo:
             name = f"refreshed-{uuid.uuid4().hex}"
-            states = trip_states(OnDates(store.at(base), todo)).select(*STATE_COLUMNS).hint("rebalance", "service_date")
+            states = trip_states(OnDates(store.at(base), todo)).select(*STATE_COLUMNS)
             added = write_dated(store, "states", states, name)
-            rows = metrics_from_states(store.read_folders("states", added, STATES_SCHEMA)).hint("rebalance", "service_date")
+            rows = metrics_from_states(store.read_folders("states", added, STATES_SCHEMA))
             for table, names in (("states", added), ("metrics", write_dated(store, "metrics", rows, name))):
                 for d in todo:
                     made[table][d] = [n for n in names if n.startswith(day(d))]

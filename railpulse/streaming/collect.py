@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,15 +69,16 @@ def read_landed_stream(spark: SparkSession, path: str, max_files: int | None = N
 
 
 def live_rows(landed: DataFrame, catalog: DataFrame | None = None, scope: str | None = None,
-              rules: bool = True) -> DataFrame:
+              rules: bool = True, columns: Iterable[str] | None = None) -> DataFrame:
     """Parse documents, stamp the poll instant, route to scopes.
 
     ``rules`` applies the service hours and the scope's filters; without them
-    every row is only stamped with ``scope``.
+    every row is only stamped with ``scope``.  ``columns`` are the fields of a
+    row that are parsed, all if none are given.
     """
     if rules:
         landed = landed.where(D.in_service_hours("polled_at"))
-    rows = parse_live(landed).withColumn("captured_at", F.col("polled_at")) \
+    rows = parse_live(landed, columns=columns).withColumn("captured_at", F.col("polled_at")) \
         .withColumn("_seq", F.col("position"))
     if catalog is not None:
         rows = route_live_rows(rows, catalog)
@@ -87,6 +89,9 @@ def live_rows(landed: DataFrame, catalog: DataFrame | None = None, scope: str |
     return rows
 
 
+# Fields of a live row that a store keeps.
+STORED_FIELDS = (*D.TRIP_KEY, *D.TRIP_ATTRS, "station_code", "station_full_name", "sch_depart", "sch_arrival",
+                 "exp_depart", "exp_arrival", "status", "late_minutes")
 # What tells a reading from another of the same poll.
 READING = ("trip_id", "station_code", "service_scope", "sch_depart", "late_minutes", "captured_at")
 TRIES = 20
@@ -94,20 +99,28 @@ TRIES = 20
 
 def write_batch(store: ParquetStore, batch: DataFrame, batch_id: int, run: str) -> None:
     """Write and commit one batch of the stream ``run``, unless it is committed already."""
-    # Read by several actions: without this, each would parse and run the state function again.
-    batch = batch.withColumn("poll_id", F.col("_seq").cast("long")).persist()
+    base = store.latest()
+    if base.runs.get(run, -1) >= batch_id:
+        return
+    # Read by several actions: without this, each would parse and run the state function again.  A batch comes with its
+    # stream's session, which plans every step for as many partitions as there are of the state; read from a folder
+    # it has the store's session, which sizes them by the rows.
+    place = f"{store.root}/_batches/{run}-{batch_id}"
+    batch = batch.withColumn("poll_id", F.col("_seq").cast("long"))
+    batch.write.mode("overwrite").parquet(place)
+    rows = store.spark.read.schema(batch.schema).parquet(place)
     try:
         for attempt in range(TRIES):
-            base = store.latest()
             if base.runs.get(run, -1) >= batch_id:
                 return
             try:
-                return _write_batch(store, base, batch, batch_id, run)
+                return _write_batch(store, base, rows, batch_id, run)
             except Conflict:  # maintenance or another stream has changed what this batch has read
                 if attempt == TRIES - 1:
                     raise
+                base = store.latest()
     finally:
-        batch.unpersist()
+        folders.delete(store.spark, place)
 
 
 def _write_batch(store: ParquetStore, base: Version, batch: DataFrame, batch_id: int, run: str) -> None:
@@ -158,7 +171,9 @@ def start_collect(spark: SparkSession, landing: str, store_root: str, checkpoint
     """Start the collector; ``trigger`` defaults to the 30 s poll period, ``checkpoint`` to a folder of the store."""
     checkpoint = checkpoint or f"{store_root.rstrip('/')}/_checkpoints/collect-{scope or 'routed'}"
     store = ParquetStore(spark, store_root)
-    changed = change_filter(live_rows(read_landed_stream(spark, landing, max_files), catalog, scope))
+    # The minutes due are not stored, but what is no number there spoils its row, so they are parsed.
+    rows = live_rows(read_landed_stream(spark, landing, max_files), catalog, scope, columns=(*STORED_FIELDS, "due_in"))
+    changed = change_filter(rows.select(*STORED_FIELDS, "service_scope", "captured_at", "_seq"))
     writer = changed.writeStream.foreachBatch(
         lambda df, bid: write_batch(store, df, bid, stream_id(spark, checkpoint))) \
         .option("checkpointLocation", checkpoint)

@@ -241,3 +241,14 @@ def test_commits_on_a_newer_version(spark, root):
     assert not log.create(taken) and log.latest().of("t") == ("a", "b", "c", "e", "f")
     log.prune(1)
     assert len(folders.children(spark, log.path, "0")) == 1 and log.latest().number == 3
+
+
+def test_a_batch_of_many_tasks_leaves_few_files(spark, store):
+    rows = [(f"2025-01-0{1 + i % 3} 12:{i // 3:02d}", f"T{i}", "S", 5) for i in range(90)]
+    write_batch(store, batch(spark, *rows).repartition(30), 0, "run")
+    v = store.latest()
+    for table in ("snapshots", "states", "metrics"):
+        assert len(v.of(table)) == 3
+        assert all(len(folders.files(spark, f"{store.path(table)}/{n}")) <= 2 for n in v.of(table))
+    assert len(stored(store)) == 90 and is_view(store)
+    assert folders.children(spark, f"{store.root}/_batches", "") == []
