@@ -375,8 +375,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     common = rows.mapInArrow(words_with, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TEXTS)
     rare = np.ones(SIZE + 1, bool)
-    rare[[r["row"] for r in common.select("row").collect()]] = False  # at most the rows of the embedding
-    rare = np.asarray(rare)
+    rare[common.select("row").toArrow()["row"].to_numpy()] = False  # at most the rows of the embedding
     alone = rows.rdd.getNumPartitions() == 1
     epochs = max(EPOCHS, -(-MIN_STEPS * BATCH // (y0 + y1)))
     rounds, passes = (1, epochs) if alone else (EPOCHS, -(-epochs // EPOCHS))
@@ -387,9 +386,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         changes = mine.mapInArrow(lambda batches, shared=shared: one_round(batches, shared.value, weights, passes),
                                   "row int, v array<float>")
         total = changes.groupBy("row").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM + 1)], F.count("*").alias("n"))
-        got = np.array([tuple(r) for r in total.collect()], float).reshape(-1, DIM + 3)  # rows of the model
-        got = np.column_stack([got[:, 0], got[:, 1:-1] / got[:, -1:]])
-        at = got[:, 0].astype(int)
+        # Rows of the model: as Arrow columns, since a Python object for each number would take many times as much.
+        got = total.toArrow()
+        shared.destroy()
+        at, times = got["row"].to_numpy(), got["n"].to_numpy()
+        got = np.column_stack([at, *(got[f"v{i}"].to_numpy() / times for i in range(DIM + 1))])
         words = at < SIZE
         t.model.embed[at[words]] += got[words, 1:1 + DIM].astype(np.float32)
         t.grown[at[words]] += got[words, 1 + DIM].astype(np.float32)
@@ -411,6 +412,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     within = F.greatest(F.least("at", F.lit(30 * LOGIT_STEPS)), F.lit(-30 * LOGIT_STEPS)).alias("at")  # scores are cut there as well
     found = rows.where(F.col("_held").isin(*calibrate)).mapInArrow(logits, "lang string, at long, y int") \
         .groupBy("lang", within, "y").count().collect()  # bounded by languages and steps
+    ready.destroy()
     langs = np.array([r["lang"] for r in found])
     at, y, c = (np.array([r[k] for r in found], float) for k in ("at", "y", "count"))
     for lang in ("", *sorted(set(langs))):

@@ -109,3 +109,21 @@ def test_training_texts_are_dealt_once(spark, docs, monkeypatch):
         finally:
             for k, v in before.items():
                 spark.conf.set(k, v)
+
+
+def test_the_model_reaches_the_driver_in_columns(spark, docs, monkeypatch):
+    texts, marks = toy()
+    df, many = docs([(i, t.decode()) for i, t in enumerate(texts)]), []
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id bigint, toxic int")
+    plain = type(df).collect
+
+    def collect(self):
+        many.append(self.columns)
+        return plain(self)
+
+    monkeypatch.setattr(type(df), "collect", collect)
+    for shard in (5000, 100):
+        monkeypatch.setattr(x, "SHARD", shard)
+        m = x.train(df, labels)
+        assert x.Scorer(m).score(b"word3 vileness") >= 0.5
+    assert many and not any("row" in columns for columns in many)  # else there is an object for each number of the model
