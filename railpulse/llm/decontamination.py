@@ -18,7 +18,6 @@ their rows, repeated item ids give one, all items without an id together one wit
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +35,8 @@ RANK, SEED = 128, 5
 MAX_SHARE = 0.02  # words in a larger share of the passages weigh nothing, unless among the rarest of a part
 RAREST = 3
 SPAN = 20_000  # entries that are multiplied at once
+MANY = 256  # entries of a word that are added up on their own
+CELLS = 20_000_000  # of a table of regions and words; of candidates and their words, a tenth
 MIN_COSINE, MIN_COVER = 0.30, 0.35
 FULL, PARTIAL, ANSWER = 0.75, 0.55, 0.8
 _TO_SPACE = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" or c < 32 else c for c in range(256))
@@ -64,9 +65,6 @@ class Part:
     words: list[bytes]
     answer: list[bytes]  # of the item, on its last part
 
-    def __post_init__(self):
-        self.times = Counter(self.words)
-
 
 def parts_of(item: int | None, text: str) -> list[Part]:
     """An item in one part, or, if it is longer than a passage, in parts of about equal length."""
@@ -118,13 +116,35 @@ class Index:
 
 def entries(passage: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (passage, word), each once, by passage."""
-    return np.divmod(np.unique(passage.astype(np.int64) * size + word), size)
+    key = np.sort(passage.astype(np.int64) * size + word)
+    return np.divmod(key[np.append(True, key[1:] != key[:-1])[:len(key)]], size)
+
+
+def sums(vectors: np.ndarray, index: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, sum of the rows ``vectors[index]`` of each key); ``keys`` are sorted.
 
+    The first rows of all keys are added, then their second ones, and so on; keys of over ``MANY`` rows on their own."""
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    n = np.diff(np.append(starts, len(keys)))
+    out = np.empty((len(starts), vectors.shape[1]), vectors.dtype)
+    for k in np.flatnonzero(n > MANY).tolist():
+        out[k] = vectors[index[starts[k]:starts[k] + n[k]]].sum(0)
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] <= MANY]
+    if len(order):
+        first = starts[order]
+        total = vectors[index[first]]
+        for t, on in enumerate(np.searchsorted(-n[order], -np.arange(2, n[order[0]] + 1), "right").tolist(), 1):
+            total[:on] += vectors[index[first[:on] + t]]
+        out[order] = total
+    return keys[starts], out
 
-def sums(weighted: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, sum of the rows of each key); ``keys`` are sorted."""
-    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-    return keys[starts], np.add.reduceat(weighted, starts, axis=0)
+
+def ranges(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) of all places in ranges."""
+    n = ends - begins
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) + np.repeat(begins - np.cumsum(n) + n, n)
 
 
 def spans(row: np.ndarray, step: int) -> list[tuple[int, int]]:
@@ -179,10 +199,9 @@ def gram_product(docs: DataFrame, index: Index, own: np.ndarray, x: np.ndarray)
         if row is not None:
             for a, b in spans(row, SPAN):
                 r, w = row[a:b], word[a:b]
-                at, total = sums(wide.value[w], r)
-                back = total[np.searchsorted(at, r)]
+                at, total = sums(wide.value, w, r)
                 order = np.argsort(w, kind="stable")
-                at, total = sums(back[order], w[order])
+                at, total = sums(total, np.searchsorted(at, r)[order], w[order])
                 state.setdefault("sum", np.zeros(wide.value.shape, np.float32))[at] += total * ix.weight[at, None]
         elif state:
             some = np.flatnonzero(state["sum"].any(1))
@@ -192,8 +211,8 @@ def gram_product(docs: DataFrame, index: Index, own: np.ndarray, x: np.ndarray)
 
     def add(batches):
         for t in runs(batches, ["word"]):
-            rows = np.stack([np.asarray(r, np.float64) for r in t.column("row").to_pylist()])
-            yield pa.RecordBatch.from_arrays([t.column("word").combine_chunks().slice(0, 1), pa.array([rows.sum(0).tolist()])],
+            rows = np.concatenate([c.flatten().to_numpy() for c in t.column("row").chunks]).reshape(t.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([t.column("word").chunk(0).slice(0, 1), pa.array([rows.sum(0, dtype=np.float64)])],
                                              names=["word", "row"])
 
     shares = _passages(docs, index, work, "word bigint, row array<float>", True)
@@ -241,15 +260,11 @@ def common(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - v.bit_count()
 
 
-def judge(part: Part, region: list[bytes], there: set[bytes]) -> tuple[float, float]:
-    """Largest share of the part in order within 1.5 times its length of ``region`` (with the words ``there``),
-    and of its answer there."""
+def judge(part: Part, region: list[bytes]) -> tuple[float, float]:
+    """Largest share of the part in order within 1.5 times its length of ``region``, and of its answer there."""
     n = len(part.words)
-    least = min(FULL, PARTIAL) * n
     best, answer = 0, 0.0
-    # words that are not there cannot be in a common subsequence
-    missing = part.times.keys() - there
-    if n - sum(map(part.times.__getitem__, missing)) < least or common(part.words, region) < least:
+    if common(part.words, region) < min(FULL, PARTIAL) * n:
         return 0.0, 0.0
     width = n + max(2, n // 2)
     for a in range(0, max(1, len(region) - n // 2), max(1, n // 4)):
@@ -270,69 +285,79 @@ def search(docs: DataFrame, parts: list[Part], index: Index, id_col: str, text_c
     size = np.linalg.norm(z, axis=1)
     # the heaviest word of a part is the rarest: a copy has it
     rarest = np.array([max((index.at[w] for w in p.words), key=lambda i: (index.weight[i], -i)) for p in parts])
-    parts_with = {int(w): np.flatnonzero(rarest == w).tolist() for w in np.unique(rarest)}
-    is_rarest = np.zeros(len(index.at), bool)
-    is_rarest[rarest] = True
-    shared = spark.sparkContext.broadcast((index, parts, z, np.where(size > 0, size, np.inf), parts_with, is_rarest))
+    by_rarest = np.argsort(rarest, kind="stable")  # parts
+    bounds = np.searchsorted(rarest[by_rarest], np.arange(len(index.at) + 1))  # of a word's parts in them
+    length = np.array([len(p.words) for p in parts])
+    inside = np.full((len(parts), length.max()), len(index.at))  # the words of parts; the number after the last one is none
+    for i, p in enumerate(parts):
+        inside[i, :length[i]] = [index.at[w] for w in p.words]
+    wide = index.space * index.weight[:, None]
+    shared = spark.sparkContext.broadcast((index, parts, z, np.where(size > 0, size, np.inf), wide, by_rarest, bounds, inside, length))
     kind = docs.schema[id_col].dataType.simpleString()
     fields = [("item_id", pa.int64()), ("cosine", pa.float64()), ("shared", pa.float64()), ("answer", pa.float64())]
 
-    def leaks(data: bytes, where: np.ndarray, ids: np.ndarray) -> dict[int, tuple[float, float, float]]:
-        """Items in a text with the words ``ids`` of some weight at the positions ``where``."""
-        ix, ps, items, sizes, with_word, first_word = shared.value
-        found: dict[int, tuple[float, float, float]] = {}
-        words: list[bytes] = []  # of the text, once a candidate asks for them
-        last = where // STRIDE  # a word is in the passages that begin at this stride and the one before
-        row, word = entries(np.concatenate([last, np.maximum(last - 1, 0)]), np.concatenate([ids, ids]), len(ix.at))
-        step = max(1, 20_000_000 // (4 * items.shape[1] + 1))
-        tried: set[tuple[int, int]] = set()
-        begin, region, there = -1, [], set()
-        for a, b in spans(row, step):
-            at, v = sums(ix.space[word[a:b]] * ix.weight[word[a:b], None], row[a:b])
+    def covered(passage: np.ndarray, part: np.ndarray, begins: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """How many words of each candidate's part are among the words ``ids`` from its begin to its end, which are
+        those beside its passage; ``passage`` is sorted."""
+        none, inside = len(shared.value[0].at), shared.value[7]
+        out = np.empty(len(part), np.int64)
+        for a, b in spans(passage, max(1, min(CELLS // (none + 1), CELLS // 10 // inside.shape[1]))):
+            new = np.append(True, passage[a + 1:b] != passage[a:b - 1])
+            there = np.zeros((int(new.sum()), none + 1), bool)
+            of, place = ranges(begins[a:b][new], ends[a:b][new])
+            there[of, ids[place]] = True
+            out[a:b] = there[np.cumsum(new)[:, None] - 1, inside[part[a:b]]].sum(1)
+        return out
+
+    def leaks(texts: list[bytes]) -> dict[tuple[int, int | None], tuple[float, float, float]]:
+        """(number of the text, item) of the items found in texts."""
+        ix, ps, items, sizes, wide, by_rarest, bounds, _, length = shared.value
+        found: dict[tuple[int, int | None], tuple[float, float, float]] = {}
+        text, where, ids, n = ix.known(texts)
+        strides = -(-n // STRIDE)
+        ends = np.cumsum(strides)  # a passage begins at every stride of the texts, numbered throughout
+        begins = ends - strides
+        stride = begins[text] + where // STRIDE
+        some = ix.weight[ids] > 0
+        # a word is in the passages that begin at its stride and the one before
+        row, word = entries(np.concatenate([stride[some], np.maximum(stride[some] - 1, begins[text[some]])]),
+                            np.concatenate([ids[some], ids[some]]), len(ix.at))
+        words, opened = [], -1
+        for a, b in spans(row, max(1, CELLS // (4 * items.shape[1] + 1))):
+            at, v = sums(wide, word[a:b], row[a:b])
+            has, place = ranges(bounds[word[a:b]], bounds[word[a:b] + 1])
+            has, copied = np.searchsorted(at, row[a:b][has]), by_rarest[place]  # passages with the rarest word of parts
             for c in range(0, len(at), 4096):
                 dots = v[c:c + 4096] @ items.T
-                length = np.linalg.norm(v[c:c + 4096], axis=1)
-                covers = np.nonzero(dots >= MIN_COVER * sizes * sizes)
-                cosines = dots[covers] / (length[covers[0]] * sizes[covers[1]] + 1e-12)
-                for k, i, cosine in zip(*(x[cosines >= MIN_COSINE] for x in (*covers, cosines)), strict=True):
-                    words = words or words_of(data)
-                    if begin != (begin := int(at[c + k]) * STRIDE):
-                        region = words[max(0, begin - STRIDE):begin + PASSAGE + STRIDE]
-                        there = set(region)
-                    if (begin, int(i)) in tried:
-                        continue
-                    tried.add((begin, int(i)))
-                    share, answer = judge(ps[i], region, there)
+                norm = np.linalg.norm(v[c:c + 4096], axis=1)
+                k, i = np.nonzero(dots >= MIN_COVER * sizes * sizes)
+                near = dots[k, i] / (norm[k] * sizes[i] + 1e-12) >= MIN_COSINE
+                near = k[near] * len(ps) + i[near]
+                x, y = np.searchsorted(has, [c, c + 4096])
+                pair = np.union1d(near, (has[x:y] - c) * len(ps) + copied[x:y])
+                k, i = np.divmod(pair, len(ps))
+                passage = at[c + k]
+                of = np.searchsorted(ends, passage, "right")
+                got = covered(passage, i, np.searchsorted(stride, np.maximum(passage - 1, begins[of])),
+                              np.searchsorted(stride, np.minimum(passage + PASSAGE // STRIDE, ends[of] - 1), "right"), ids)
+                # words that are not there cannot be in a common subsequence
+                on = got >= np.where(np.isin(pair, near), min(FULL, PARTIAL) * length[i], length[i])
+                k, i, of = k[on], i[on], of[on]
+                cosines = dots[k, i] / (norm[k] * sizes[i] + 1e-12)
+                first = (passage[on] - begins[of]) * STRIDE
+                for t, j, begin, cosine in zip(of.tolist(), i.tolist(), first.tolist(), cosines.tolist(), strict=True):
+                    if opened != t:
+                        words, opened = words_of(texts[t]), t
+                    share, answer = judge(ps[j], words[max(0, begin - STRIDE):begin + PASSAGE + STRIDE])
                     if share >= FULL or share >= PARTIAL and answer >= ANSWER:
-                        item = ps[i].item
-                        found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (share, float(cosine), answer))
-        for h in np.flatnonzero(first_word[word]).tolist():
-            for i in with_word[int(word[h])]:
-                words = words or words_of(data)
-                if begin != (begin := int(row[h]) * STRIDE):
-                    region = words[max(0, begin - STRIDE):begin + PASSAGE + STRIDE]
-                    there = set(region)
-                if (begin, i) in tried or not ps[i].times.keys() <= there:
-                    continue
-                tried.add((begin, i))
-                share, answer = judge(ps[i], region, there)
-                if share >= FULL or share >= PARTIAL and answer >= ANSWER:
-                    own = word[slice(*np.searchsorted(row, [row[h], row[h] + 1]))]
-                    v = ix.weight[own] @ ix.space[own]
-                    cos = float(v @ items[i] / (np.linalg.norm(v) * sizes[i] + 1e-12))
-                    item = ps[i].item
-                    found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (share, cos, answer))
+                        at_item = (t, ps[j].item)
+                        found[at_item] = max(found.get(at_item, (0.0, 0.0, 0.0)), (share, cosine, answer))
         return found
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, got, texts = [], [], utf8(batch.column(1))
-        text, where, ids, _ = shared.value[0].known(texts, True)
-        for k in np.unique(text).tolist():
-            a, b = np.searchsorted(text, [k, k + 1])
-            for item, (share, cosine, answer) in sorted(leaks(texts[k], where[a:b], ids[a:b]).items(), key=lambda x: (x[0] is None, x[0])):
-                at.append(k)
-                got.append((item, cosine, share, answer))
-        cols = list(zip(*got, strict=True)) or [()] * 4
+        found = sorted(leaks(utf8(batch.column(1))).items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1]))
+        at = [t for (t, _), _ in found]
+        cols = list(zip(*((item, cosine, share, answer) for (_, item), (share, cosine, answer) in found), strict=True)) or [()] * 4
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(
             pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True))], names=[id_col, *(n for n, _ in fields)])
 

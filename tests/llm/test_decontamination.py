@@ -134,3 +134,30 @@ def test_spans_keep_equal_rows_together():
     got = d.spans(row, 2)
     assert [b for _, b in got] == [*[a for a, _ in got[1:]], len(row)] and got[0][0] == 0
     assert all(row[b - 1] != row[b] for _, b in got[:-1]) and d.spans(row[:0], 2) == []
+
+
+def test_sums_of_rows_by_key(monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors, index, keys = rng.random((9, 3)), rng.integers(0, 9, 60), np.sort(rng.choice([2, 3, 5, 11], 60, p=[0.7, 0.1, 0.1, 0.1]))
+    for many in (256, 10, 0):
+        monkeypatch.setattr(d, "MANY", many)
+        at, got = d.sums(vectors, index, keys)
+        assert at.tolist() == sorted(set(keys.tolist()))
+        assert np.allclose(got, [vectors[index[keys == k]].sum(0) for k in at])
+    assert [x.tolist() for x in d.ranges(np.array([4, 7, 2]), np.array([6, 7, 5]))] == [[0, 0, 2, 2, 2], [4, 5, 2, 3, 4]]
+    assert [x.tolist() for x in d.entries(np.array([1, 0, 1, 1]), np.array([2, 3, 0, 2]), 4)] == [[0, 1, 1], [3, 0, 2]]
+    assert [len(x) for x in d.entries(np.zeros(0, int), np.zeros(0, int), 4)] == [0, 0]
+
+
+def test_small_tables_of_candidates_find_the_same(spark, docs, monkeypatch):
+    """Texts of a batch are searched together; a candidate's words are counted in its own text, in tables of any size."""
+    rows, items = world()
+    parts = [p for k, t in items for p in d.parts_of(k, t)]
+    frame = docs(rows)
+    index = d.build(frame.select("text"), parts)
+    found = []
+    for cells in (d.CELLS, 1):
+        monkeypatch.setattr(d, "CELLS", cells)
+        found.append(sorted((r.doc_id, r.item_id, r.shared, r.answer, round(r.cosine, 4)) for r in d.search(frame, parts, index, "doc_id", "text").collect()))
+    assert found[0] == found[1]
+    assert {x[:2] for x in found[0]} == {(1000 + k, k) for k, _ in items} | {(2000 + k, k) for k, _ in items if k < 99}
