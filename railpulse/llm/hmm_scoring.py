@@ -19,6 +19,7 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +37,7 @@ STATES, ITERATIONS, RUN, SEED = 6, 4, 64, 11
 SMOOTH = 0.1
 BUCKET_TOKENS = 2_000_000
 TRAIN_TOKENS = 500_000  # tokens of texts that are trained on side by side, or one text
+HELD = 8  # times as many are held, two bytes each, and put side by side by length
 LONG_TEXT = 50_000  # tokens of a text that is scored by transfer matrices
 COUNTER_WORDS = 400_000  # distinct words a task counts before it passes them on
 
@@ -109,29 +111,29 @@ def expected(model: Model, classes: list[np.ndarray], lengths: np.ndarray) -> tu
     n, k = int(lengths.sum()), len(model.start)
     begins = np.cumsum(lengths) - lengths
     place = np.arange(n) - np.repeat(begins, lengths)
-    # the texts' first tokens, then their second ones, and so on
+    # the texts' first tokens, then their second ones, and so on; of every table a row is a state
     c = np.concatenate([x[:m] for x, m in zip(classes, lengths, strict=True)])[np.argsort(place, kind="stable")]
     active = np.bincount(place)
     at = np.concatenate([[0], np.cumsum(active)]).tolist()
-    e = model.emit[c]
-    alpha, scale = np.empty((n, k)), np.empty((n, 1))
+    e = np.take(np.ascontiguousarray(model.emit.T), c, axis=1)
+    alpha, scale = np.empty((k, n)), np.empty(n)
+    back = np.ascontiguousarray(model.move.T)
     for t in range(len(active)):
         x, y = at[t], at[t + 1]
-        a = (model.start if t == 0 else alpha[at[t - 1]:at[t - 1] + y - x] @ model.move) * e[x:y]
-        scale[x:y, 0] = s = a.sum(1)
-        np.divide(a, s[:, None], out=alpha[x:y])
+        a = (model.start[:, None] if t == 0 else back @ alpha[:, at[t - 1]:at[t - 1] + y - x]) * e[:, x:y]
+        np.divide(a, np.add.reduce(a, 0, out=scale[x:y]), out=alpha[:, x:y])
     e /= scale
-    beta = np.ones((n, k))
+    beta = np.ones((k, n))
     for t in range(len(active) - 1, 0, -1):
         x, y = at[t], at[t + 1]
-        e[x:y] *= beta[x:y]
-        beta[at[t - 1]:at[t - 1] + y - x] = e[x:y] @ model.move.T
+        e[:, x:y] *= beta[:, x:y]
+        beta[:, at[t - 1]:at[t - 1] + y - x] = model.move @ e[:, x:y]
     before = np.arange(at[1], n) - np.repeat(active[:-1], active[1:])
-    moves = model.move * (alpha[before].T @ e[at[1]:])
-    gamma = alpha * beta
-    gamma /= gamma.sum(1, keepdims=True)
-    emits = np.stack([np.bincount(c, gamma[:, s], CLASSES) for s in range(k)], 1)
-    return gamma[:at[1]].sum(0), moves, emits
+    moves = model.move * (np.take(alpha, before, axis=1) @ e[:, at[1]:].T)
+    gamma = np.multiply(alpha, beta, out=beta)
+    gamma /= gamma.sum(0)
+    emits = np.stack([np.bincount(c, g, CLASSES) for g in gamma], 1)
+    return gamma[:, :at[1]].sum(1), moves, emits
 
 
 def coded(rows: DataFrame, top: dict[bytes, int]) -> DataFrame:
@@ -146,6 +148,17 @@ def coded(rows: DataFrame, top: dict[bytes, int]) -> DataFrame:
     return cut(rows.select("text").mapInArrow(run, "classes binary"))
 
 
+def side_by_side(held: list[bytes]) -> Iterator[list[np.ndarray]]:
+    """Coded texts, longest first, so that those of a group are about equally long; a group has ``TRAIN_TOKENS`` or one text."""
+    held = sorted(held, key=len, reverse=True)
+    ends = np.cumsum([0, *(len(x) // 2 for x in held)])
+    a = 0
+    while a < len(held):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + TRAIN_TOKENS, "right")) - 1)
+        yield [np.frombuffer(x, "<u2").astype(np.int64) for x in held[a:b]]
+        a = b
+
+
 def baum_welch_counts(rows: DataFrame, model: Model) -> dict[tuple[int, int], np.ndarray]:
     """Expected counts over the texts of ``rows`` (classes): (kind, index) -> a value for each state."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -155,22 +168,20 @@ def baum_welch_counts(rows: DataFrame, model: Model) -> dict[tuple[int, int], np
         m = shared.value
         total = [np.zeros((1, STATES)), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))]
 
-        def add(texts: list[np.ndarray]) -> None:
-            texts.sort(key=len, reverse=True)
-            for t, x in zip(total, expected(m, texts, np.array([len(x) for x in texts])), strict=True):
-                t += x
+        def add(held: list[bytes]) -> None:
+            for texts in side_by_side(held):
+                for t, x in zip(total, expected(m, texts, np.array([len(x) for x in texts])), strict=True):
+                    t += x
 
-        texts, n = [], 0
+        held, n = [], 0
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                got = np.frombuffer(data, "<u2").astype(np.int64)
-                if texts and n + len(got) > TRAIN_TOKENS:
-                    add(texts)
-                    texts, n = [], 0
-                texts.append(got)
-                n += len(got)
-        if texts:
-            add(texts)
+                held.append(data)
+                n += len(data) // 2
+                if n > HELD * TRAIN_TOKENS:
+                    add(held)
+                    held, n = [], 0
+        add(held)
         kind = np.repeat([0, 1, 2], [len(t) for t in total])
         index = np.concatenate([np.arange(len(t)) for t in total])
         every = np.concatenate(total)
@@ -342,7 +353,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             held.clear()
 
         n = 0
-        for data in utf8(texts.column("text")):
+        every = utf8(texts.column("text"))
+        by_length = sorted(range(len(every)), key=lambda i: -len(every[i]))  # a step of the recursion then moves many
+        for data in map(every.__getitem__, by_length):
             words = words_of(data)
             i = numbers(at, words, -1)
             new = i < 0  # held-out words that training texts do not have
@@ -355,7 +368,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 n = 0
         if held:
             flush()
-        return pa.table([texts.column("id"), texts.column("held_out"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+        ids = texts.select(["id", "held_out"]).take(pa.array(by_length, pa.int64()))
+        return pa.table([ids.column("id"), ids.column("held_out"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
                          pa.array([m.tokens] * len(cols[0]), pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())],
                         names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

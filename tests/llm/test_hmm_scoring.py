@@ -135,3 +135,23 @@ def test_long_and_short_forward_agree():
     short = h.forward_short(model, classes, ends - lengths, ends)
     assert np.allclose(short, h.forward_long(model, classes, ends), rtol=1e-10) and np.isfinite(short).all()
     assert np.allclose(short, h.forward(model, classes, ends))
+
+
+def test_texts_side_by_side_are_about_equally_long(monkeypatch):
+    """Long and short texts in turn: the steps of all groups are few, and no text is lost."""
+    monkeypatch.setattr(h, "TRAIN_TOKENS", 1000)
+    lengths = [200, 2, 1, 50] * 20 + [3000]
+    held = [np.full(n, i, "<u2").tobytes() for i, n in enumerate(lengths)]
+    groups = list(h.side_by_side(held))
+    assert sorted((int(x[0]), len(x)) for g in groups for x in g) == list(enumerate(lengths))
+    assert all(len(g) == 1 or sum(map(len, g)) <= 1000 for g in groups)
+    assert [len(x) for g in groups for x in g] == sorted(lengths, reverse=True)
+    assert sum(len(g[0]) for g in groups) < 3000 + 5 * 200
+    assert list(h.side_by_side([])) == []
+
+
+def test_scores_come_with_their_ids_whatever_the_lengths(docs, trained):
+    rows = [(i, "w " * ((i * 37) % 101) + f"x{i % 7}") for i in range(120)]
+    got = {r.doc_id: r for r in h.score(docs(rows)).collect()}
+    assert len(got) == len(rows)
+    check(rows, got, trained[0])
