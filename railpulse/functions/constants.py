@@ -80,3 +80,5 @@ DUE_NOW_TEXT = "A chegar"
 # --- end of fixed values --------------------------------------------------
 
 UNKNOWN_ENDPOINT = "Unknown"
+# Rows of a frame up to which it is broadcast, where a limit or a count proves that it has no more.
+BROADCAST_LIMIT = 10_000

@@ -46,10 +46,10 @@ def is_heuston_station(station_code="station_code") -> Column:
 
 
 def resolve_scope(service_scope="service_scope", station_code="station_code",
-                  origin="origin", destination="destination") -> Column:
-    """O-P1 as one column expression (needs the trip endpoints)."""
-    fallback = (F.when(is_heuston_station(station_code) | heuston_trip(origin, destination),
-                       F.lit(HEUSTON)).otherwise(F.lit(CONNOLLY)))
+                  origin="origin", destination="destination", related: Column | None = None) -> Column:
+    """O-P1 as one column expression (needs the trip endpoints, or whether they make it ``related`` to Heuston)."""
+    related = heuston_trip(origin, destination) if related is None else related
+    fallback = F.when(is_heuston_station(station_code) | related, F.lit(HEUSTON)).otherwise(F.lit(CONNOLLY))
     return F.coalesce(_c(service_scope), fallback)
 
 

@@ -74,22 +74,28 @@ GRAIN = ("service_date", "service_scope", "station_code", "origin", "destination
 
 def build_daily_metrics(data: RailData, window: TimeRange | None = None,
                         cap: int | None = MAX_STAT_DELAY, min_delay: int = DELAYED_MIN,
-                        with_updated_at: bool = True) -> DataFrame:
+                        with_updated_at: bool = True, names: DataFrame | None = None) -> DataFrame:
     """The metrics rows for all snapshots (or those inside ``window``)."""
-    return metrics_from_states(trip_states(data, window, cap), min_delay, with_updated_at)
+    return metrics_from_states(trip_states(data, window, cap), min_delay, with_updated_at, names)
 
 
-def metrics_from_states(rows: DataFrame, min_delay: int = DELAYED_MIN, with_updated_at: bool = True) -> DataFrame:
+def numbered(names: DataFrame) -> DataFrame:
+    """Distinct station names with their numbers in order.  One row each, numbered in one task."""
+    return names.select("station_full_name", F.row_number().over(Window.orderBy("station_full_name")).alias("_name"))
+
+
+def metrics_from_states(rows: DataFrame, min_delay: int = DELAYED_MIN, with_updated_at: bool = True,
+                        names: DataFrame | None = None) -> DataFrame:
     """Metrics rows of states, of which a trip may have several in a row.
 
     All buffers are fixed-width, so that every step is a hash aggregate: the largest station name of a row is found
-    as the largest number in the order of the distinct names.  Those are one row for each station name, and are
-    numbered in one task.
+    as the largest number in the order of the distinct names.  ``names`` are these, ``numbered``, of at least the
+    states, where the caller knows them.
     """
-    # The distinct names read the same columns as the measures, so that Spark shuffles the snapshots once for both.
-    names = rows.groupBy("station_full_name").agg(F.sum("n").alias("_n"), F.max("p").alias("_p")) \
-        .where((F.col("_n") > 0) & (F.col("_p").isNotNull() | (F.col("_n") < 2 ** 62))) \
-        .select("station_full_name", F.row_number().over(Window.orderBy("station_full_name")).alias("_name"))
+    if names is None:
+        # The distinct names read the same columns as the measures, so that Spark shuffles the snapshots once for both.
+        names = numbered(rows.groupBy("station_full_name").agg(F.sum("n").alias("_n"), F.max("p").alias("_p"))
+                         .where((F.col("_n") > 0) & (F.col("_p").isNotNull() | (F.col("_n") < 2 ** 62))))
     tp = rows.join(names, "station_full_name", "left").groupBy(*GRAIN, "trip_id").agg(
         F.sum("n").cast("long").alias("snapshot_count"), F.max("p").alias("peak_delay"), F.max("_name").alias("_name"))
     peak = F.col("peak_delay")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railpulse.functions.constants import (
-    CATEGORIES, CATEGORY_LABELS, DELAYED_MIN, LIMIT_DAYS, LIMIT_DESTINATIONS,
+    BROADCAST_LIMIT, CATEGORIES, CATEGORY_LABELS, DELAYED_MIN, LIMIT_DAYS, LIMIT_DESTINATIONS,
     LIMIT_RECENT_ROWS, LIMIT_RECENT_TRIPS, LIMIT_ROUTES, LIMIT_STATIONS, LIMIT_TRAINS,
     LIMIT_TRIPS, MAX_STAT_DELAY,
 )
@@ -221,10 +221,6 @@ def top_delayed_trips(data: RailData, window: TimeRange, filt: ScopeFilter = SCO
     ).orderBy(F.col("peak_delay").desc(), F.col("trip_id").asc()).drop("trip_id")
 
 
-#: Rows of a frame up to which the caller's limit is taken as the proof that it can be broadcast.
-BROADCAST_LIMIT = 10_000
-
-
 def bounded(df: DataFrame, limit: int) -> DataFrame:
     """``df`` of at most ``limit`` rows, broadcast if these are few."""
     return F.broadcast(df) if limit <= BROADCAST_LIMIT else df

@@ -13,25 +13,33 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from railpulse.functions.constants import DELAYED_MIN, LIMIT_STATIONS, MAX_STAT_DELAY
 from railpulse.functions.expr import count_if, delay_category, round1
 from railpulse.functions.ranges import TimeRange
-from railpulse.functions.scope import ScopeFilter, resolve_scope, scope_from_code
+from railpulse.functions.scope import ScopeFilter, heuston_trip, resolve_scope, scope_from_code
 from railpulse.operators import metrics as M
 from railpulse.operators import reports as R
 from railpulse.operators.live import board_counts, live_board
 from railpulse.session import ensure_checkpoint_dir
-from railpulse.sources.tables import FrameData, RailData
+from railpulse.sources.tables import FrameData, RailData, few
 
 
 # What the parts of a bundle read of a snapshot, beside its resolved scope; the others would only be written and shuffled.
 SNAPSHOT_PARTS = ("trip_id", "station_code", "station_full_name", "sch_depart", "sch_arrival", "late_minutes", "captured_at")
 
 
-def materialised(data: RailData) -> FrameData:
+class Written(FrameData):
+    """Snapshots and trips as ``materialised`` wrote them, with the numbered station names."""
+
+    def __init__(self, spark: SparkSession, snapshots: DataFrame, trips: DataFrame):
+        super().__init__(spark, snapshots, trips)
+        self.names = few(M.numbered(snapshots.select("station_full_name").distinct()))
+
+
+def materialised(data: RailData) -> Written:
     """All snapshots up to the outlier cap with their resolved scope, and all trips, written once.
 
     Reports take ``resolved_scope`` as a plain filter, so no part of a bundle scans the history or joins it with
@@ -42,9 +50,9 @@ def materialised(data: RailData) -> FrameData:
     snaps = data.snapshots().where(F.col("late_minutes") <= MAX_STAT_DELAY)
     if "resolved_scope" not in snaps.columns:
         # AQE splits a trip with very many snapshots
-        snaps = snaps.join(trips.select("trip_id", "origin", "destination"), "trip_id").withColumn(
-            "resolved_scope", resolve_scope()).drop("origin", "destination")
-    return FrameData(data.spark, snaps.select(*SNAPSHOT_PARTS, "resolved_scope").checkpoint(eager=True), trips)
+        snaps = snaps.join(trips.select("trip_id", heuston_trip().alias("_heuston_trip")), "trip_id").withColumn(
+            "resolved_scope", resolve_scope(related=F.col("_heuston_trip")))
+    return Written(data.spark, snaps.select(*SNAPSHOT_PARTS, "resolved_scope").checkpoint(eager=True), trips)
 
 
 def overview(data: RailData, window: TimeRange, station_code: str | None = None,
@@ -57,7 +65,8 @@ def overview(data: RailData, window: TimeRange, station_code: str | None = None,
     """
     has_scope = scope_from_code(station_code) is not None
     filt = ScopeFilter.scope(station_code) if has_scope else ScopeFilter.scopes()
-    metrics = metrics if metrics is not None else M.build_daily_metrics(data, with_updated_at=False)
+    if metrics is None:
+        metrics = M.build_daily_metrics(data, with_updated_at=False, names=getattr(data, "names", None))
     aggregate = aggregate_window or window
     parts = {
         "dashboard": R.dashboard(data, aggregate, filt),

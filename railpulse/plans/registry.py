@@ -869,8 +869,13 @@ FROM snapshot WHERE {WIN} AND late_minutes <= 500 AND late_minutes >= 5 GROUP BY
     lambda spark, d: OV.station_delay_summary(_a(spark, d), WHOLE))
 
 
+def _station_parts(spark, d):
+    data = OV.materialised(_a(spark, d))
+    return OV.station_page(data, P.live_payloads(spark, d, newest=True, trips=data.trips()), "CNLLY", WHOLE)
+
+
 def _station_page(spark, d):
-    parts = OV.station_page(OV.materialised(_a(spark, d)), P.live_payloads(spark, d, newest=True), "CNLLY", WHOLE)
+    parts = _station_parts(spark, d)
     doc = OV.overview_document({k: v for k, v in parts.items() if k not in ("board", "boardCounts")})
     board = parts["board"].select(F.struct("train_code", "station_code", "late_minutes", "due_in",
                                            "origin", "destination").alias("r")) \
@@ -888,7 +893,7 @@ BOARD_FIELDS = ("train_code", "station_code", "late_minutes", "due_in", "origin"
 
 
 def _station_page_rows(spark, d):
-    parts = OV.station_page(OV.materialised(_a(spark, d)), P.live_payloads(spark, d, newest=True), "CNLLY", WHOLE)
+    parts = _station_parts(spark, d)
     parts["board"] = parts["board"].select(*BOARD_FIELDS)
     parts["name"] = C.selected_station_name(C.tracked_stations(_catalog(spark, d)), "cnlly")
     return OV.overview_rows(parts)

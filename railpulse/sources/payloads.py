@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from railpulse.functions.expr import hhmmss
 from railpulse.sources.bindings import TpchBinding, read_table
+from railpulse.sources.tables import few
 
 LIVE_ROOT = "ArrayOfObjStationData"
 LIVE_ELEMENT = "objStationData"
@@ -164,8 +165,22 @@ def live_source_rows(spark: SparkSession, sf_dir: str, newest: bool = False) ->
     if newest:
         last = s.groupBy("station_code").agg(F.max("captured_at").alias("captured_at"))
         s = s.join(last, ["station_code", "captured_at"], "left_semi")
-    t = a.trips()
-    j = s.join(t, "trip_id")
+    return _live_columns(s.join(a.trips(), "trip_id"))
+
+
+def newest_source_rows(spark: SparkSession, sf_dir: str, trips: DataFrame) -> DataFrame:
+    """The rows of ``live_source_rows(newest=True)``, written in the shared folder, by binding A's trips that the caller
+    has written.
+
+    Stations, and the rows of their newest polls, are few as a rule; then neither the history nor the trips are shuffled.
+    """
+    s = TpchBinding(spark, sf_dir).snapshots()
+    last = few(s.groupBy("station_code").agg(F.max("captured_at").alias("captured_at")))
+    newest = few(s.join(last, ["station_code", "captured_at"], "left_semi"))
+    return _live_columns(newest.join(trips, "trip_id")).checkpoint(eager=True)
+
+
+def _live_columns(j: DataFrame) -> DataFrame:
     return j.select(
         "trip_id", "captured_at",
         F.col("train_code"), F.col("station_full_name"), F.col("station_code"),
@@ -216,10 +231,11 @@ def poll_documents(rows: DataFrame, poll: list[str], order: list[str], deal: lis
     return docs.select(*poll, page, _document(F.col("xs.xml"), LIVE_ROOT).alias("payload"))
 
 
-def live_payloads(spark: SparkSession, sf_dir: str, newest: bool = False) -> DataFrame:
+def live_payloads(spark: SparkSession, sf_dir: str, newest: bool = False, trips: DataFrame | None = None) -> DataFrame:
     """(station_code, captured_at, page, payload): the board documents of each station poll,
-    or with ``newest`` only those of each station's newest."""
-    return poll_documents(live_source_rows(spark, sf_dir, newest), ["station_code", "captured_at"],
+    or with ``newest`` only those of each station's newest.  A caller that has written the trips can hand them over."""
+    rows = live_source_rows(spark, sf_dir, newest) if trips is None or not newest else newest_source_rows(spark, sf_dir, trips)
+    return poll_documents(rows, ["station_code", "captured_at"],
                           ["trip_id", "sch_depart", "late_minutes"], ["train_code", "train_date", "sch_depart"])
 
 

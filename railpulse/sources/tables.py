@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from railpulse.functions.constants import BROADCAST_LIMIT
 from railpulse.functions.ranges import TimeRange
+from railpulse.session import ensure_checkpoint_dir
 from railpulse.sources import folders
 from railpulse.sources.commits import CommitLog, Version
 
@@ -78,6 +80,13 @@ METRICS_SCHEMA = T.StructType([
 ])
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df`` written in the shared folder, and broadcast if it turned out to have few rows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
+    return F.broadcast(df) if df.limit(BROADCAST_LIMIT + 1).count() <= BROADCAST_LIMIT else df
+
+
 class RailData:
     """Interface of a snapshot/trip source."""
 
