@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railpulse.functions.constants import (
@@ -190,6 +191,22 @@ def _pick_rows(data: RailData, window, filt: ScopeFilter, cap, top: DataFrame, m
     return j.groupBy("trip_id", *top_cols).agg(pick.alias("_row"))
 
 
+def _bare(data: RailData, spec: PeakSpec) -> PeakSpec:
+    """``spec`` without its trip join, where that would drop nothing."""
+    return replace(spec, trip_cols=(), need_join=False) if data.trips_complete else spec
+
+
+def _first_trips(data: RailData, spec: PeakSpec, order: list[Column], limit: int, where: Column | None = None) -> DataFrame:
+    """The first ``limit`` rows of ``trip_peaks``; if all snapshots have their trip, only the first ones' are looked up."""
+    bare = _bare(data, spec)
+    tp = trip_peaks(data, bare)
+    top = (tp if where is None else tp.where(where)).orderBy(*order).limit(limit)
+    if bare is spec:
+        return top
+    # A trip may come more than once.
+    return bounded(top, limit).join(data.trips().select("trip_id", *spec.trip_cols), "trip_id").orderBy(*order).limit(limit)
+
+
 def top_delayed_trips(data: RailData, window: TimeRange, filt: ScopeFilter = SCOPED, cap="auto",
                       min_delay: int = DELAYED_MIN, limit: int = LIMIT_TRIPS,
                       peak_lookup: str = "auto") -> DataFrame:
@@ -207,8 +224,7 @@ def top_delayed_trips(data: RailData, window: TimeRange, filt: ScopeFilter = SCO
         peak_lookup = "unfiltered" if filt.kind == "station" else "filtered"
     trip_cols = ("train_code", "train_date", "direction", "origin", "destination")
     spec = PeakSpec(window=window, filt=filt, cap=cap, trip_cols=trip_cols, need_join=True)
-    tp = trip_peaks(data, spec).where(F.col("peak_delay") >= min_delay)
-    top = tp.orderBy(F.col("peak_delay").desc(), F.col("trip_id").asc()).limit(limit)
+    top = _first_trips(data, spec, [F.col("peak_delay").desc(), F.col("trip_id").asc()], limit, F.col("peak_delay") >= min_delay)
     lookup_filter = filt if peak_lookup == "filtered" else ScopeFilter.network()
     pick = F.min(F.struct(*[F.col(f"_s_{f}").alias(f) for f in PEAK_ROW_FIELDS]))
     rows = _pick_rows(data, window, lookup_filter, cap, top,
@@ -260,14 +276,13 @@ def recent_delayed_trips(data: RailData, filt: ScopeFilter = SCOPED, cap="auto",
     """
     cap = _cap_for(filt, cap)
 
-    def latest(window: TimeRange | None) -> DataFrame:
-        return trip_peaks(data, PeakSpec(window=window, filt=filt, cap=cap, min_late=min_delay,
-                                         extra_max=(("last_seen", F.col("captured_at")),),
-                                         trip_cols=("train_code", "origin", "destination"), need_join=True))
+    def latest(window: TimeRange | None) -> PeakSpec:
+        return PeakSpec(window=window, filt=filt, cap=cap, min_late=min_delay,
+                        extra_max=(("last_seen", F.col("captured_at")),),
+                        trip_cols=("train_code", "origin", "destination"), need_join=True)
 
-    window = newest_window(data, latest, limit)
-    tp = latest(window)
-    top = tp.orderBy(F.col("last_seen").desc(), F.col("trip_id").asc()).limit(limit)
+    window = newest_window(data, lambda w: trip_peaks(data, _bare(data, latest(w))), limit)
+    top = _first_trips(data, latest(window), [F.col("last_seen").desc(), F.col("trip_id").asc()], limit)
     pick = F.max(F.struct(*[F.col(f"_s_{c}").alias(c) for c in LAST_ROW_FIELDS]))
     rows = _pick_rows(data, window, filt, cap, top, F.col("_s_captured_at") == F.col("last_seen"), pick,
                       min_late=min_delay, limit=limit)

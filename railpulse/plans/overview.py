@@ -34,8 +34,9 @@ SNAPSHOT_PARTS = ("trip_id", "station_code", "station_full_name", "sch_depart",
 class Written(FrameData):
     """Snapshots and trips as ``materialised`` wrote them, with the numbered station names."""
 
-    def __init__(self, spark: SparkSession, snapshots: DataFrame, trips: DataFrame):
+    def __init__(self, spark: SparkSession, snapshots: DataFrame, trips: DataFrame, trips_complete: bool):
         super().__init__(spark, snapshots, trips)
+        self.trips_complete = trips_complete
         self.names = few(M.numbered(snapshots.select("station_full_name").distinct()))
 
 
@@ -48,11 +49,12 @@ def materialised(data: RailData) -> Written:
     ensure_checkpoint_dir(data.spark)
     trips = data.trips().checkpoint(eager=True)
     snaps = data.snapshots().where(F.col("late_minutes") <= MAX_STAT_DELAY)
-    if "resolved_scope" not in snaps.columns:
+    joined = "resolved_scope" not in snaps.columns
+    if joined:
         # AQE splits a trip with very many snapshots
         snaps = snaps.join(trips.select("trip_id", heuston_trip().alias("_heuston_trip")), "trip_id").withColumn(
             "resolved_scope", resolve_scope(related=F.col("_heuston_trip")))
-    return Written(data.spark, snaps.select(*SNAPSHOT_PARTS, "resolved_scope").checkpoint(eager=True), trips)
+    return Written(data.spark, snaps.select(*SNAPSHOT_PARTS, "resolved_scope").checkpoint(eager=True), trips, joined)
 
 
 def overview(data: RailData, window: TimeRange, station_code: str | None = None,

@@ -91,6 +91,8 @@ class RailData:
     """Interface of a snapshot/trip source."""
 
     spark: SparkSession
+    #: Whether every snapshot is known to have its trip.
+    trips_complete = False
 
     def snapshots(self, window: TimeRange | None = None) -> DataFrame:  # pragma: no cover
         raise NotImplementedError

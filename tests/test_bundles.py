@@ -92,3 +92,21 @@ def test_the_newest_rows_are_not_shuffled(spark, monkeypatch):
     P.live_payloads(spark, SMALL, newest=True, trips=TpchBinding(spark, SMALL).trips().checkpoint())
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_a_bundle_looks_up_the_first_trips_only(spark, golden):
+    data = OV.materialised(odd(spark, golden))
+    assert data.trips_complete and not golden.trips_complete
+    parts, plain = OV.overview(data, registry.WHOLE), OV.overview(FrameData(spark, data.snapshots(), data.trips()), registry.WHOLE)
+    for name in ("top10Delays", "recentDelays"):
+        plan = parts[name]._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning\(trip_id#\d+L, \d+\)", plan)) == 1  # the snapshots', not the trips'
+        assert parts[name].collect() == plain[name].collect() != []
+
+
+def test_snapshots_with_a_scope_may_lack_their_trip(spark, golden):
+    """A store that keeps resolved scopes is not joined with the trips, so the lists of trips are."""
+    snaps = golden.snapshots().withColumn("resolved_scope", F.lit("CONNOLLY"))
+    data = OV.materialised(FrameData(spark, snaps, golden.trips().where("trip_id <> 3")))
+    assert not data.trips_complete
+    assert {r.train_code for r in OV.overview(data, registry.WHOLE)["top10Delays"].collect()} == {"E801", "P601"}
